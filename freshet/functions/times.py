@@ -5,8 +5,9 @@ Points in time are epoch seconds; ``now`` is always a parameter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 MINUTE, HOUR, DAY = 60, 3600, 86400
 
@@ -53,6 +54,19 @@ def whole_units(seconds: Column, unit: int) -> Column:
     return F.call_function("div", seconds.cast("bigint"), F.lit(unit))
 
 
+def epoch_micros(df: DataFrame, column: str) -> Column:
+    """A time column of ``df`` as epoch microseconds; one without a zone is taken as UTC."""
+    if isinstance(df.schema[column].dataType, TimestampNTZType):
+        # Undo the session's zone, which the cast applies.
+        instant = F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone())
+        return F.unix_micros(instant)
+    return F.unix_micros(column)
+
+
+def epoch_seconds(df: DataFrame, column: str) -> Column:
+    return F.floor(epoch_micros(df, column) / 1_000_000).cast("bigint")
+
+
 def _part(amount: Column, unit: str, shown: Column) -> Column:
     return F.when(shown, F.concat(amount.cast("string"), F.lit(unit)))
 

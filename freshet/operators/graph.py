@@ -1,11 +1,12 @@
 """The dependency graph: ``nodes(node, ...)`` and ``edges(src, dst)``; src reads dst.
 
-Loops run one round per step of depth.  Each round is a job over the frontier
-only; its result is staged in the shared folder.
+Loops run one round per step of depth.  A round is one job from the frontier; its
+result is staged in the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -45,52 +46,66 @@ def drop_attributes(nodes: DataFrame, *attributes: str) -> DataFrame:
     return nodes.drop(*attributes)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct nodes that ``nodes`` read."""
+    # What one node reads is bounded by its text; a node read by many collapses
+    # before the shuffle of the distinct.
+    ends = nodes.select(F.col("node").alias("src"))
+    return edges.join(ends, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+
+
+def readers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct nodes that read ``nodes``; many edges may share one target."""
+    ends = nodes.select(F.col("node").alias("dst"))
+    hit = spread_join(edges, ends, "dst", "left_semi", ["src"])
+    return hit.select(F.col("src").alias("node")).distinct()
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All nodes that can be reached from ``starts(node)``, starts included."""
-    edges, _ = stage(edges.distinct())
+    edges, _ = stage(edges.select("src", "dst"))
     frontier, n = stage(starts.select("node").distinct())
     seen = [frontier]
     while n:
-        step = (
-            edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi")
-            .select(F.col("dst").alias("node"))
-            .distinct()
-            .join(_union(seen), "node", "left_anti")
-        )
+        step = read_by(edges, frontier).join(union_all(seen), "node", "left_anti")
         frontier, n = stage(step)
         seen.append(frontier)
         if len(seen) == COMPACT_EVERY:
-            seen = [stage(_union(seen))[0]]
-    return _union(seen)
+            seen = [stage(union_all(seen))[0]]
+    return union_all(seen)
+
 
+def _downstream_of_cycles(edges: DataFrame, hop: Callable) -> tuple[DataFrame, int]:
+    """Nodes at the end of arbitrarily long walks; ``hop`` gives the direction.
 
-def _peel(edges: DataFrame, keep: str, test: str) -> DataFrame:
-    """Repeatedly drop edges whose ``keep`` end never appears as a ``test`` end."""
-    edges, n = stage(edges)
+    The ends of walks of growing length become ever fewer.  Without a cycle they
+    run out; with one they settle.
+    """
+    ends, n = stage(hop(edges, edges.select(F.explode(F.array("src", "dst")).alias("node"))))
     while n:
-        ends = edges.select(F.col(test).alias(keep)).distinct()
-        by = "src" if keep == "dst" else "dst"
-        smaller, left = stage(
-            spread_join(edges, ends, keep, "left_semi", [by]).select("src", "dst")
-        )
+        ends, left = stage(hop(edges, ends))
         if left == n:
             break
-        edges, n = smaller, left
-    return edges
+        n = left
+    return ends, n
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges that remain once nodes without readers, then nodes that read nothing, are peeled off.
-
-    Empty exactly if the graph has no cycle; otherwise it holds all cycles and
-    the paths between them.
-    """
-    no_sources = _peel(edges.select("src", "dst").distinct(), keep="src", test="dst")
-    return _peel(no_sources, keep="dst", test="src")
+    """The edges on cycles and on paths from cycle to cycle; empty if there is no cycle."""
+    edges, _ = stage(edges.select("src", "dst").distinct())
+    after, n = _downstream_of_cycles(edges, read_by)
+    if not n:
+        return edges.limit(0)
+    inner = edges.join(after.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
+    inner, _ = stage(inner)
+    before, _ = _downstream_of_cycles(inner, readers)
+    return spread_join(
+        inner, before.withColumnRenamed("node", "dst"), "dst", "left_semi", ["src"]
+    ).select("src", "dst")
 
 
 def is_acyclic(edges: DataFrame) -> bool:
@@ -103,21 +118,59 @@ def cycles(edges: DataFrame) -> DataFrame:
     Paths grow from each node of the cyclic core through greater nodes only, so
     each cycle is met from its least node alone.
     """
-    core, n = stage(cyclic_core(edges))
+    core, _ = stage(cyclic_core(edges))
     found = [core.where("src = dst").select(F.array("src").alias("cycle"))]
-    core = core.where("src <> dst")
-    paths = core.where("src < dst").select(F.array("src", "dst").alias("path"))
-    paths, n = stage(paths)
+    steps = core.where("src <> dst")
+    paths = steps.where("src < dst").select(F.array("src", "dst").alias("path"))
+    while True:
+        first, last, to = F.element_at("path", 1), F.element_at("path", -1), F.col("dst")
+        closes = (to == first).alias("closes")
+        grown = (
+            paths.withColumn("src", last)
+            .join(steps, "src")
+            .where((to == first) | ((to > first) & ~F.array_contains("path", to)))
+            .select(
+                F.when(to == first, F.col("path")).otherwise(F.array_append("path", to)).alias("path"),
+                closes,
+            )
+        )
+        grown, n_open = stage(grown, counted=~F.col("closes"))
+        found.append(grown.where("closes").select(F.col("path").alias("cycle")))
+        if not n_open:
+            break
+        paths = grown.where("NOT closes").select("path")
+    return union_all(found).withColumn("length", F.size("cycle").cast("int"))
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, level)``: the length of the longest walk down from each of ``nodes``.
+
+    Only edges between ``nodes`` count.  Level 0 reads none of the others, and
+    nodes of one level do not read each other.  Where edges form cycles, those of
+    the cyclic core that lead from a lesser to a greater name are left out.
+    """
+    nodes, n_before = stage(nodes.select("node").distinct())
+    links = edges.where("src <> dst").select("src", "dst").distinct()
+    for end, other in (("src", "dst"), ("dst", "src")):
+        links = spread_join(links, nodes.withColumnRenamed("node", end), end, "left_semi", [other])
+    links, _ = stage(links.select("src", "dst"))
+    # Round by round: the nodes where walks of that length start.
+    starts, level, n = nodes, 0, n_before
+    reached = [nodes.withColumn("level", F.lit(0))]
     while n:
-        last, first = F.element_at("path", -1), F.element_at("path", 1)
-        grown = paths.withColumn("src", last).join(core, "src")
-        closed = grown.where(F.col("dst") == first).select(F.col("path").alias("cycle"))
-        # A staged copy keeps each round's plan flat and its work done once.
-        closed, n_closed = stage(closed)
-        if n_closed:
-            found.append(closed)
-        longer = grown.where(
-            (F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))
-        ).select(F.concat("path", F.array("dst")).alias("path"))
-        paths, n = stage(longer)
-    return _union(found).withColumn("length", F.size("cycle").cast("int"))
+        level += 1
+        starts, n = stage(readers(links, starts))
+        # Longer walks start at no other nodes than shorter ones do; if at as many,
+        # walks of any length start there.
+        if n and n == n_before:
+            core = cyclic_core(links).where("src < dst")
+            return levels(nodes, links.join(core, ["src", "dst"], "left_anti"))
+        n_before = n
+        reached.append(starts.withColumn("level", F.lit(level)))
+        if len(reached) == COMPACT_EVERY:
+            reached = [stage(_deepest(reached))[0]]
+    return _deepest(reached)
+
+
+def _deepest(reached: list[DataFrame]) -> DataFrame:
+    return union_all(reached).groupBy("node").agg(F.max("level").alias("level"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from freshet.functions.times import epoch_micros
 from freshet.session import stage
 
 DEFAULT_SECONDS = 600
@@ -90,9 +91,10 @@ def _emitted(starts: DataFrame, jumps: DataFrame) -> DataFrame:
         jumps, n = stage(doubled.select("key", "src", F.col("end").alias("dst")))
     emitted = starts
     for jumps in reversed(levels):
-        reached = jumps.join(emitted.withColumnRenamed("at", "src"), ["key", "src"], "left_semi")
-        emitted, _ = stage(
-            emitted.unionByName(reached.select("key", F.col("dst").alias("at"))).distinct()
+        # Different stamps of a chain jump to different ones: nothing comes up twice.
+        onward = jumps.withColumnRenamed("src", "at")
+        emitted = emitted.join(onward, ["key", "at"], "left").select(
+            "key", F.explode(F.array_compact(F.array("at", "dst"))).alias("at")
         )
     return emitted
 
@@ -111,7 +113,7 @@ def throttle(
     parted by key and time, and no task takes in a whole key.
     """
     # One text stands for the key values, so NULL is a key like any other.
-    key, at = F.to_json(F.struct(*keys)), F.unix_micros(time)
+    key, at = F.to_json(F.struct(*keys)), epoch_micros(events, time)
     row = F.struct(*events.columns)
     order = F.col(tie_break) if tie_break else row
     firsts, _ = stage(

@@ -120,15 +120,15 @@ STEP_LABELS = [
 ]
 
 _STEP_ROWS = " union all ".join(
-    f"""select run_id, table_name, {i} as step_no, '{name}' as step, '{label}' as label, "{name}" as at
+    f"""select run_id, table_name, {i} as step_no, '{name}' as step, '{label}' as label, "{name}" as "at"
     from runs where "{name}" is not null"""
     for i, (name, label) in enumerate(STEP_LABELS)
 )
 STEPS = f"""{RUNS},
 taken as ({_STEP_ROWS}),
 steps as (
-    select run_id, table_name, cast(step_no as integer) as step_no, step, label, at,
-        at - lag(at) over (partition by run_id order by step_no) as seconds
+    select run_id, table_name, cast(step_no as integer) as step_no, step, label, "at",
+        "at" - lag("at") over (partition by run_id order by step_no) as seconds
     from taken
 )"""
 
@@ -548,27 +548,27 @@ def oracle_sql() -> dict[str, str]:
             select customers.table_name, "interval", "start", finish, cast(rank as integer) as rank
             from customers left join ranked
                 on ranked.table_name = customers.table_name and rank <= 20""",
-        "step_durations": f"with {STEPS} select run_id, table_name, step_no, step, at, seconds from steps",
+        "step_durations": f'with {STEPS} select run_id, table_name, step_no, step, "at", seconds from steps',
         "step_texts": f"""with {STEPS} select run_id, step_no,
                 case when step = 'start'
-                    then strftime(make_timestamp(at * 1000000), '%A, %B %d, %H:%M:%S')
-                    else strftime(make_timestamp(at * 1000000), '%H:%M:%S') || ': ' || label
+                    then strftime(make_timestamp("at" * 1000000), '%A, %B %d, %H:%M:%S')
+                    else strftime(make_timestamp("at" * 1000000), '%H:%M:%S') || ': ' || label
                         || ' (' || {_duration('seconds')} || ')' end as line
             from steps""",
         "duration_series": f"""with {RUNS} select run_id, table_name, "start",
                 {_iso('"start"', ' ')} as date, finish - "start" as duration
             from runs where "start" is not null""",
         "throttled_events": """with recursive stamps as (
-                select user_id, epoch_us(ts) as at, min(event_id) as event_id from events group by 1, 2
+                select user_id, epoch_us(ts) as moment, min(event_id) as event_id from events group by 1, 2
             ),
             kept as (
-                select user_id, min(at) as at from stamps group by user_id
+                select user_id, min(moment) as moment from stamps group by user_id
                 union all
-                select kept.user_id, min(stamps.at) from kept join stamps
-                    on stamps.user_id = kept.user_id and stamps.at >= kept.at + 86400000000
+                select kept.user_id, min(stamps.moment) from kept join stamps
+                    on stamps.user_id = kept.user_id and stamps.moment >= kept.moment + 86400000000
                 group by kept.user_id
             )
-            select event_id, user_id, at from kept join stamps using (user_id, at)""",
+            select event_id, user_id, moment as "at" from kept join stamps using (user_id, moment)""",
         "duration_text": f"""
             with s as (select *, cast(floor(o_totalprice) as bigint) as seconds from orders)
             select o_orderkey, {_duration('seconds')} as duration,
@@ -583,19 +583,19 @@ def oracle_sql() -> dict[str, str]:
             from part""",
         "epoch_text": f"""
             with s as (
-                select *, case when event_type <> 'error' then epoch_us(ts) // 1000000 end as at from events
+                select *, case when event_type <> 'error' then epoch_us(ts) // 1000000 end as moment from events
             )
             select event_id,
-                coalesce(strftime(make_timestamp(at * 1000000), '%A, %B %d, %H:%M:%S'), '') as long_text,
-                coalesce(strftime(make_timestamp(at * 1000000), '%H:%M:%S'), '') as clock,
-                coalesce({_iso('at')}, '') as iso, {_age('at')} as age,
+                coalesce(strftime(make_timestamp(moment * 1000000), '%A, %B %d, %H:%M:%S'), '') as long_text,
+                coalesce(strftime(make_timestamp(moment * 1000000), '%H:%M:%S'), '') as clock,
+                coalesce({_iso('moment')}, '') as iso, {_age('moment')} as age,
                 case when event_type = 'view' then event_type else '' end as blank
             from s""",
         "age_text": f"""
             with s as (
                 select o_orderkey, {NOW} - (o_orderkey % 3 - 1) * (o_orderkey * o_orderkey % 100000007)
-                    as at from orders
+                    as moment from orders
             )
-            select o_orderkey, {_age('at')} as age from s""",
+            select o_orderkey, {_age('moment')} as age from s""",
     }
     return sql

@@ -555,7 +555,7 @@ def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user at least a day apart."""
     events = samples.table(spark, sf_dir, "events")
     kept = throttle(events, ["user_id"], "ts", 86400, tie_break="event_id")
-    return kept.select("event_id", "user_id", F.unix_micros("ts").alias("at"))
+    return kept.select("event_id", "user_id", times.epoch_micros(events, "ts").alias("at"))
 
 
 # Scalars ------------------------------------------------------------------------
@@ -586,8 +586,9 @@ def interval_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def epoch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.when(F.col("event_type") != "error", F.unix_seconds("ts"))
-    return samples.table(spark, sf_dir, "events").select(
+    events = samples.table(spark, sf_dir, "events")
+    at = F.when(F.col("event_type") != "error", times.epoch_seconds(events, "ts"))
+    return events.select(
         "event_id",
         times.long_text(at).alias("long_text"),
         times.clock_text(at).alias("clock"),

@@ -28,6 +28,7 @@ from freshet.operators.publish import (
     select_rows,
 )
 from freshet.operators.runlog import RUN_SCHEMA, STEP_COLUMNS, finish_time
+from freshet.session import stage
 from freshet.sources.definitions import declared_schema, decode_config, load_ddl, load_tests
 
 
@@ -125,6 +126,7 @@ def rebuild_set(
     stop those above it.  Outcomes are ``(table_name, level, status, error)``.
     """
     processors = processors or {}
+    views, _ = stage(views)
     fields = [f for f in View._fields if f in views.columns]
 
     def attempt(row) -> tuple[tuple, dict | None]:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.times import MINUTE, whole_units
 from freshet.operators.catalog import is_deleted, set_flag
-from freshet.operators.graph import COMPACT_EVERY, cyclic_core
-from freshet.operators.skew import spread_join
+from freshet.operators.graph import COMPACT_EVERY, levels, union_all
 from freshet.session import stage
 
 # Seconds after which a waiting flag no longer counts, and the
@@ -128,20 +125,22 @@ def planned_tables(catalog: DataFrame, edges: DataFrame, now: int) -> DataFrame:
             .select("table_name", applies.cast("int").alias("interval"))
         )
 
-    first = catalog.where(_in_queue(now)).select("table_name", F.lit(_NO_INTERVAL).alias("asked"))
-    frontier, n = stage(to_build(first))
-    rounds = [frontier]
-    while n:
-        asked = (
+    def ask(frontier: DataFrame) -> DataFrame:
+        return (
             edges.join(frontier.withColumnRenamed("table_name", "src"), "src")
             .groupBy(F.col("dst").alias("table_name"))
             .agg(F.min("interval").alias("asked"))
         )
-        best = _best(rounds).withColumnRenamed("interval", "known")
+
+    first = catalog.where(_in_queue(now)).select("table_name", F.lit(_NO_INTERVAL).alias("asked"))
+    frontier, n = stage(to_build(first))
+    rounds = [frontier]
+    while n:
+        known = _best(rounds).withColumnRenamed("interval", "known")
         # Only what is new, or goes by a shorter interval than before, asks on.
         step = (
-            to_build(asked)
-            .join(best, "table_name", "left")
+            to_build(ask(frontier))
+            .join(known, "table_name", "left")
             .where(F.col("known").isNull() | (F.col("interval") < F.col("known")))
             .select("table_name", "interval")
         )
@@ -155,43 +154,13 @@ def planned_tables(catalog: DataFrame, edges: DataFrame, now: int) -> DataFrame:
 
 
 def _best(rounds: list[DataFrame]) -> DataFrame:
-    merged = reduce(DataFrame.unionByName, rounds)
-    return merged.groupBy("table_name").agg(F.min("interval").alias("interval"))
+    return union_all(rounds).groupBy("table_name").agg(F.min("interval").alias("interval"))
 
 
 def build_levels(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(table_name, level)``: a table's level is above the levels of all it reads.
-
-    Level 0 reads none of the others; tables of one level do not depend on each
-    other.  When only cycles and what hangs on them are left, the tables of the
-    cyclic core with the least name among their neighbours there go next.
-    """
-    left, n_left = stage(names.select("table_name"))
-    links = edges.where("src <> dst").select("src", "dst").distinct()
-    for end, other in (("src", "dst"), ("dst", "src")):
-        inside = left.withColumnRenamed("table_name", end)
-        links = spread_join(links, inside, end, "left_semi", [other])
-    links, _ = stage(links.select("src", "dst"))
-    done = [left.limit(0).withColumn("level", F.lit(0))]
-    level = 0
-    while n_left:
-        busy = links.select(F.col("src").alias("table_name")).distinct()
-        ready, n_ready = stage(left.join(busy, "table_name", "left_anti"))
-        if not n_ready:
-            core = cyclic_core(links)
-            ends = core.select(F.greatest("src", "dst").alias("more"), F.least("src", "dst").alias("less"))
-            less = ends.select(F.col("less").alias("table_name")).distinct()
-            more = ends.select(F.col("more").alias("table_name")).distinct()
-            ready, _ = stage(less.join(more, "table_name", "left_anti"))
-            links = links.join(ready.withColumnRenamed("table_name", "src"), "src", "left_anti")
-        done.append(ready.withColumn("level", F.lit(level)))
-        left, n_left = stage(left.join(ready, "table_name", "left_anti"))
-        built = ready.withColumnRenamed("table_name", "dst")
-        links, _ = stage(
-            spread_join(links, built, "dst", "left_anti", ["src"]).select("src", "dst")
-        )
-        level += 1
-    return reduce(DataFrame.unionByName, done)
+    """``(table_name, level)``: a table's level is above the levels of all it reads."""
+    nodes = names.select(F.col("table_name").alias("node"))
+    return levels(nodes, edges).withColumnRenamed("node", "table_name")
 
 
 def refresh_plan(catalog: DataFrame, edges: DataFrame, now: int) -> DataFrame:

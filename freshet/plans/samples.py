@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions.times import epoch_seconds
+
 # 2024-01-31 00:00:00 UTC, just after the last sample event.
 NOW = 1706659200
 
@@ -143,8 +145,9 @@ def customer_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(run_id, table_name, steps...)``, one per event; runs on error events stop at the tests."""
+    events = table(spark, sf_dir, "events")
     e, user = F.col("event_id"), F.col("user_id")
-    start = F.unix_seconds("ts")
+    start = epoch_seconds(events, "ts")
     processed, done = mod(e, 4) == 0, F.col("event_type") != "error"
 
     def at(base: int, spread: int, when: Column | None = None) -> Column:
@@ -168,7 +171,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "make_snapshot": at(130, 29, done & (mod(e, 6) == 0)),
         "finish": at(95, 23, done),
     }
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         e.alias("run_id"),
         name_of(user).alias("table_name"),
         *[column.alias(name) for name, column in steps.items()],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,16 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> tuple[DataFrame, int]:
+def stage(df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
     """Write ``df`` once to the shared folder; give back the stored table and its row count.
 
-    Loops use this to cut lineage.  Unlike a cached block the files outlive a lost
-    executor, and their real size lets the optimizer pick the next join.
+    With ``counted`` only rows that meet the condition are counted.  Loops use this
+    to cut lineage.  Unlike a cached block the files outlive a lost executor, and
+    their real size lets the optimizer pick the next join.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    rows = F.count(F.lit(1) if counted is None else F.when(counted, 1))
+    df.observe(seen, rows.alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
