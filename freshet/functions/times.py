@@ -54,6 +54,11 @@ def whole_units(seconds: Column, unit: int) -> Column:
     return F.call_function("div", seconds.cast("bigint"), F.lit(unit))
 
 
+def floor_units(amount: Column, unit: int) -> Column:
+    """Whole units in an amount, cut downwards, also below zero."""
+    return whole_units(amount - F.pmod(amount, F.lit(unit)), unit)
+
+
 def epoch_micros(df: DataFrame, column: str) -> Column:
     """A time column of ``df`` as epoch microseconds; one without a zone is taken as UTC."""
     if isinstance(df.schema[column].dataType, TimestampNTZType):
@@ -64,7 +69,7 @@ def epoch_micros(df: DataFrame, column: str) -> Column:
 
 
 def epoch_seconds(df: DataFrame, column: str) -> Column:
-    return F.floor(epoch_micros(df, column) / 1_000_000).cast("bigint")
+    return floor_units(epoch_micros(df, column), 1_000_000)
 
 
 def _part(amount: Column, unit: str, shown: Column) -> Column:

@@ -7,13 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators.publish import (
-    HISTORY,
-    candidate_name,
-    drop_candidate,
-    drop_previous,
-    publish,
-)
+from freshet.operators.publish import HISTORY
 
 STAMP = "snapshot_timestamp"
 KEY = "snapshot_key"
@@ -58,33 +52,32 @@ def create_history(spark: SparkSession, name: str, now: int) -> None:
     empty.write.partitionBy(KEY).format("parquet").saveAsTable(name + HISTORY)
 
 
-def check_columns(spark: SparkSession, name: str) -> None:
-    live = {(f.name, f.dataType.simpleString()) for f in spark.table(name).schema}
+def column_drift(spark: SparkSession, name: str) -> tuple[dict, dict]:
+    """Columns (name to type) that only the live table has, and that only the history has."""
+    live = {f.name: f.dataType.simpleString() for f in spark.table(name).schema}
     kept = {
-        (f.name, f.dataType.simpleString())
+        f.name: f.dataType.simpleString()
         for f in spark.table(name + HISTORY).schema
         if f.name not in (STAMP, KEY)
     }
-    if live != kept:
-        raise SnapshotSchemaError(
-            f"{name}: only live {sorted(live - kept)}, only in history {sorted(kept - live)}"
-        )
+    return dict(live.items() - kept.items()), dict(kept.items() - live.items())
 
 
 def append_snapshot(spark: SparkSession, name: str, now: int, allow_missing: bool = False) -> None:
     """Add the live rows as the snapshot of ``now``; doing it again replaces that snapshot.
 
     If columns differ, this is an error unless ``allow_missing``: then the history
-    is rewritten with the columns of both, NULL where a side has none.
+    gets the live table's new columns, and either side reads NULL where it has none.
     """
     history, key = name + HISTORY, snapshot_key(now)
     rows = stamped(spark.table(name), now).withColumn(KEY, F.lit(key))
-    try:
-        check_columns(spark, name)
-    except SnapshotSchemaError:
-        if not allow_missing:
-            raise
-        widen_history(spark, name)
+    added, gone = column_drift(spark, name)
+    # A column whose type changed is in both; it cannot be brought together.
+    if (added or gone) and (not allow_missing or added.keys() & gone.keys()):
+        raise SnapshotSchemaError(f"{name}: only live {added}, only in history {gone}")
+    if added:
+        listed = ", ".join(f"`{column}` {kind}" for column, kind in added.items())
+        spark.sql(f"ALTER TABLE {history} ADD COLUMNS ({listed})")
     spark.sql(f"ALTER TABLE {history} DROP IF EXISTS PARTITION ({KEY}='{key}')")
     columns = spark.table(history).columns
     missing = [c for c in columns if c not in rows.columns]
@@ -92,21 +85,6 @@ def append_snapshot(spark: SparkSession, name: str, now: int, allow_missing: boo
     rows.write.mode("append").partitionBy(KEY).format("parquet").saveAsTable(history)
 
 
-def widen_history(spark: SparkSession, name: str) -> None:
-    """Give the history the live table's new columns, NULL in old snapshots."""
-    history = spark.table(name + HISTORY)
-    shape = spark.table(name).limit(0)
-    wide = history.unionByName(shape, allowMissingColumns=True)
-    columns = [c for c in wide.columns if c not in (STAMP, KEY)] + [STAMP, KEY]
-    history_name = name + HISTORY
-    drop_candidate(spark, history_name)
-    wide.select(*columns).write.partitionBy(KEY).format("parquet").saveAsTable(
-        candidate_name(history_name)
-    )
-    publish(spark, history_name)
-    drop_previous(spark, history_name)
-
-
 def prune_snapshots(spark: SparkSession, name: str, now: int, keep_minutes: int) -> int:
     """Drop snapshots older than the retention; returns how many went.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.functions.times import epoch_micros
+from freshet.functions.times import epoch_micros, floor_units
 from freshet.session import stage
 
 DEFAULT_SECONDS = 600
@@ -19,7 +19,7 @@ def _next_emissions(stamps: DataFrame, hold: int) -> tuple[DataFrame, DataFrame]
     first stamp from ``at + hold`` on.  That lies in the next slot, or is the first
     stamp of a later one, so no window over stamps spans more than a slot of a key.
     """
-    slotted = stamps.withColumn("slot", F.call_function("div", F.col("at"), F.lit(hold)))
+    slotted = stamps.withColumn("slot", floor_units(F.col("at"), hold))
     # One row per key and slot; windows over these summaries are short.
     by_slot = Window.partitionBy("key").orderBy("slot")
     slots = (

@@ -133,21 +133,21 @@ def mv_delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_delimited(spark, path, rows.schema)
 
 
-def _cents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        cents = (batch["o_totalprice"] * 100).round().astype("int64")
-        status = batch["o_orderstatus"].str.lower()
-        yield pd.DataFrame({"order_key": batch["o_orderkey"], "status": status, "cents": cents})
-
-
 @query
 def mv_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A select, a Python function over its rows, a declared output, a swap."""
+
+    def in_cents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cents = (batch["o_totalprice"] * 100).round().astype("int64")
+            status = batch["o_orderstatus"].str.lower()
+            yield pd.DataFrame({"order_key": batch["o_orderkey"], "status": status, "cents": cents})
+
     schema = _warehouse(spark, sf_dir, "orders")
     view = View(
         name=f"{schema}.order_cents",
         query=f"select o_orderkey, o_orderstatus, o_totalprice from {schema}.orders;",
-        processor=_cents,
+        processor=in_cents,
         ddl=f"create table {schema}.order_cents(\norder_key bigint,\nstatus text encode zstd,\ncents bigint\n)",
     )
     rebuild(spark, view, _clock())

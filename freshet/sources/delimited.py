@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 # Fixed values of the file format.
-FORMAT = {"sep": ";", "header": "true", "escape": "\\"}
+FORMAT = {
+    "sep": ";",
+    "header": "true",
+    "escape": "\\",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 # A field may hold line ends, so a file is read by one task; this bounds the file.
 ROWS_PER_FILE = 1_000_000

@@ -13,17 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from freshet.operators.throttle import DEFAULT_SECONDS
 
 
-def _let_through(stamps: np.ndarray, last: int | None, hold: int) -> tuple[list[int], int | None]:
-    """Times let through among sorted ones; each step is one binary search."""
-    kept = []
-    at = 0 if last is None else int(np.searchsorted(stamps, last + hold, "left"))
-    while at < len(stamps):
-        last = int(stamps[at])
-        kept.append(last)
-        at = int(np.searchsorted(stamps, last + hold, "left"))
-    return kept, last
-
-
 def throttle_stream(
     events: DataFrame,
     keys: list[str],
@@ -47,13 +36,16 @@ def throttle_stream(
             return
         stamps = np.unique(np.concatenate([b["_at"].to_numpy("int64") for b in batches]))
         before = state.get[0] if state.exists else None
-        kept, last = _let_through(stamps, before, hold)
-        if last is not None:
-            state.update((last,))
-            # A stamp from here on is let through whatever the state says.
-            state.setTimeoutTimestamp(
-                max((last + hold) // 1000, state.getCurrentWatermarkMs() + 1)
-            )
+        kept, last = [], before
+        while True:
+            at = 0 if last is None else int(np.searchsorted(stamps, last + hold, "left"))
+            if at >= len(stamps):
+                break
+            last = int(stamps[at])
+            kept.append(last)
+        state.update((last,))
+        # A stamp from last + hold on is let through whatever the state says.
+        state.setTimeoutTimestamp(max((last + hold) // 1000, state.getCurrentWatermarkMs() + 1))
         if kept:
             yield pd.DataFrame({**dict(zip(keys, key)), "_at": kept})
 
