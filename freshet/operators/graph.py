@@ -6,7 +6,6 @@ result is staged in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -79,33 +78,24 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return union_all(seen)
 
 
-def _downstream_of_cycles(edges: DataFrame, hop: Callable) -> tuple[DataFrame, int]:
-    """Nodes at the end of arbitrarily long walks; ``hop`` gives the direction.
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """The edges on cycles and on paths from cycle to cycle; empty if there is no cycle.
 
-    The ends of walks of growing length become ever fewer.  Without a cycle they
-    run out; with one they settle.
+    Edges from nodes nothing reads, and to nodes that read nothing, are peeled off
+    from both sides until none is left to peel.
     """
-    ends, n = stage(hop(edges, edges.select(F.explode(F.array("src", "dst")).alias("node"))))
+    core, n = stage(edges.select("src", "dst").distinct())
     while n:
-        ends, left = stage(hop(edges, ends))
+        read = core.select(F.col("dst").alias("src")).distinct()
+        reading = core.select(F.col("src").alias("dst")).distinct()
+        inner = core.join(read, "src", "left_semi")
+        # Many edges may lead to one node.
+        inner = spread_join(inner, reading, "dst", "left_semi", ["src"])
+        core, left = stage(inner.select("src", "dst"))
         if left == n:
             break
         n = left
-    return ends, n
-
-
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """The edges on cycles and on paths from cycle to cycle; empty if there is no cycle."""
-    edges, _ = stage(edges.select("src", "dst").distinct())
-    after, n = _downstream_of_cycles(edges, read_by)
-    if not n:
-        return edges.limit(0)
-    inner = edges.join(after.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")
-    inner, _ = stage(inner)
-    before, _ = _downstream_of_cycles(inner, readers)
-    return spread_join(
-        inner, before.withColumnRenamed("node", "dst"), "dst", "left_semi", ["src"]
-    ).select("src", "dst")
+    return core
 
 
 def is_acyclic(edges: DataFrame) -> bool:
@@ -118,7 +108,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     Paths grow from each node of the cyclic core through greater nodes only, so
     each cycle is met from its least node alone.
     """
-    core, _ = stage(cyclic_core(edges))
+    core = cyclic_core(edges)
     found = [core.where("src = dst").select(F.array("src").alias("cycle"))]
     steps = core.where("src <> dst")
     paths = steps.where("src < dst").select(F.array("src", "dst").alias("path"))
