@@ -88,21 +88,19 @@ def duration_text(seconds: Column) -> Column:
     Exactly one day still reads ``24h``; after a number of days the hours are
     shown even if 0, as long as something follows the days.
     """
-    days = F.when(seconds > DAY, whole_units(seconds, DAY)).otherwise(F.lit(0))
-    rest = seconds - days * DAY
-    hours = whole_units(rest, HOUR)
-    minutes = whole_units(rest - hours * HOUR, MINUTE)
-    secs = F.pmod(seconds, F.lit(MINUTE))
+    in_day = F.pmod(seconds, F.lit(DAY))
+    in_hour, in_minute = F.pmod(seconds, F.lit(HOUR)), F.pmod(seconds, F.lit(MINUTE))
     parts = F.concat_ws(
         " ",
-        _part(days, "d", days > 0),
-        _part(hours, "h", (hours > 0) | ((days > 0) & (rest > 0))),
-        _part(minutes, "m", minutes > 0),
-        _part(secs, "s", secs > 0),
+        _part(whole_units(seconds, DAY), "d", seconds >= DAY),
+        _part(whole_units(in_day, HOUR), "h", (in_day >= HOUR) | ((seconds > DAY) & (in_day > 0))),
+        _part(whole_units(in_hour, MINUTE), "m", in_hour >= MINUTE),
+        _part(in_minute, "s", in_minute > 0),
     )
     return (
         F.when(seconds.isNull(), "")
         .when(seconds < MINUTE, F.concat(seconds.cast("string"), F.lit("s")))
+        .when(seconds == DAY, "24h")
         .otherwise(parts)
     )
 
@@ -180,9 +178,6 @@ def age_text(epoch: Column, now: int | Column) -> Column:
     for below, words, unit in AGE_YEAR_STEPS:
         reached = F.lit(True) if below is None else size < below
         ladder = ladder.when(reached, text(words, unit and whole_units(size, unit)))
-    return (
-        F.when(epoch.isNull(), "")
-        .when(size < AGE_NOW_BELOW, ladder)
-        .when(behind > 0, F.concat(ladder, F.lit(" ago")))
-        .otherwise(F.concat(F.lit("in "), ladder))
-    )
+    before = F.when((behind < 0) & (size >= AGE_NOW_BELOW), "in ").otherwise("")
+    after = F.when((behind > 0) & (size >= AGE_NOW_BELOW), " ago").otherwise("")
+    return F.when(epoch.isNull(), "").otherwise(F.concat(before, ladder, after))

@@ -19,8 +19,9 @@ def spread_join(
     """Join a left side whose keys may be hot with a right side of one row per key.
 
     Left rows of a key are parted into ``salts`` groups by a hash of ``by``; each
-    right row is repeated once per group.  Every row keeps its partners.  If the
-    right side is small, Spark broadcasts it as in any other join.
+    right row is repeated once per group.  Every row keeps its partners.  What is
+    still uneven, AQE splits on the left; a small right side Spark broadcasts, as
+    in any other join.
     """
     salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
     parted = left.withColumn("_salt", salt)

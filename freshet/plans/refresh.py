@@ -111,9 +111,9 @@ def planned_tables(catalog: DataFrame, edges: DataFrame, now: int) -> DataFrame:
     reads; those without an interval of their own go by the asking table's, and
     a table that need not be built asks for nothing.  If several tables ask, the
     shortest interval decides: if it does not call for a build, no other does.
+    ``edges`` is read in every round, so pass a stored table.
     """
     state, _ = stage(catalog.where(~is_deleted()).select(*_STATE))
-    edges, _ = stage(edges.select("src", "dst").distinct())
     own = F.when(F.col("interval") != 0, F.col("interval"))
     applies = F.coalesce(own, F.col("asked"))
     real = F.when(applies != _NO_INTERVAL, applies)
@@ -165,6 +165,7 @@ def build_levels(names: DataFrame, edges: DataFrame) -> DataFrame:
 
 def refresh_plan(catalog: DataFrame, edges: DataFrame, now: int) -> DataFrame:
     """``(table_name, interval, level)``: what to rebuild now, lower levels first."""
+    edges, _ = stage(edges.select("src", "dst").distinct())
     planned, _ = stage(planned_tables(catalog, edges, now))
     return planned.join(build_levels(planned, edges), "table_name")
 

@@ -147,7 +147,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(run_id, table_name, steps...)``, one per event; runs on error events stop at the tests."""
     events = table(spark, sf_dir, "events")
     e, user = F.col("event_id"), F.col("user_id")
-    start = epoch_seconds(events, "ts")
+    events = events.withColumn("start", epoch_seconds(events, "ts"))
+    start = F.col("start")
     processed, done = mod(e, 4) == 0, F.col("event_type") != "error"
 
     def at(base: int, spread: int, when: Column | None = None) -> Column:

@@ -51,7 +51,8 @@ def stage(df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]
     seen = Observation()
     rows = F.count(F.lit(1) if counted is None else F.when(counted, 1))
     df.observe(seen, rows.alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+    # No metric comes back from a plan that was found to be empty beforehand.
+    return spark.read.schema(df.schema).parquet(path), seen.get.get("n") or 0
 
 
 def scratch_schema(spark: SparkSession, prefix: str = "freshet") -> str:

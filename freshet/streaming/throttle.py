@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import TimestampNTZType
 
 from freshet.operators.throttle import DEFAULT_SECONDS
 
@@ -24,9 +25,12 @@ def throttle_stream(
 
     Events are put in order within a trigger.  A key's stamps of one trigger (eight
     bytes each) meet in one task, so bound a trigger at the source, for example
-    with ``maxFilesPerTrigger``.  State is dropped once the watermark has passed
-    the hold time of the last event let through.
+    with ``maxFilesPerTrigger``.  Events later than ``lateness`` are dropped; state
+    goes once the watermark has passed the hold time of the last event let through.
     """
+    if isinstance(events.schema[time].dataType, TimestampNTZType):
+        # Watermarks need a point in time; a wall clock is taken in the session's zone.
+        events = events.withColumn(time, F.col(time).cast("timestamp"))
     hold = seconds * 1_000_000
     key_types = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
 
