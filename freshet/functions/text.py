@@ -75,19 +75,21 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]*\z", "")
 
 
-def file_table_name(path: Column) -> Column:
+def file_table_name(path: Column, strict: bool = True) -> Column:
     """``schema.table`` for a path relative to the definition folder.
 
-    The folder is the schema unless the file name itself has a dot.
+    The folder is the schema unless the file name itself has a dot.  Without a
+    schema it raises, or gives NULL when ``strict`` is off.
     """
     head = F.regexp_extract(_stem(path), rf"\A[^{NAME_SEPARATORS}]*", 0)
     file_name = F.regexp_extract(head, r"[^/]*\z", 0)
     folder = F.regexp_extract(head, r"\A(.*)/", 1)
-    return (
-        F.when(F.contains(file_name, F.lit(".")), file_name)
-        .when((folder != "") & ~F.contains(folder, F.lit("/")), F.concat(folder, F.lit("."), file_name))
-        .otherwise(F.raise_error(F.concat(F.lit("no schema in file name: "), path)))
+    named = F.when(F.contains(file_name, F.lit(".")), file_name).when(
+        (folder != "") & ~F.contains(folder, F.lit("/")), F.concat(folder, F.lit("."), file_name)
     )
+    if not strict:
+        return named
+    return named.otherwise(F.raise_error(F.concat(F.lit("no schema in file name: "), path)))
 
 
 def file_interval(path: Column) -> Column:

@@ -57,10 +57,10 @@ def read_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ends, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
 
 
-def readers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The distinct nodes that read ``nodes``; many edges may share one target."""
+def readers(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The distinct nodes that read the ``n`` nodes; many edges may share one target."""
     ends = nodes.select(F.col("node").alias("dst"))
-    hit = spread_join(edges, ends, "dst", "left_semi", ["src"])
+    hit = spread_join(edges, ends, "dst", "left_semi", ["src"], right_rows=n)
     return hit.select(F.col("src").alias("node")).distinct()
 
 
@@ -90,7 +90,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
         reading = core.select(F.col("src").alias("dst")).distinct()
         inner = core.join(read, "src", "left_semi")
         # Many edges may lead to one node.
-        inner = spread_join(inner, reading, "dst", "left_semi", ["src"])
+        inner = spread_join(inner, reading, "dst", "left_semi", ["src"], right_rows=n)
         core, left = stage(inner.select("src", "dst"))
         if left == n:
             break
@@ -142,14 +142,15 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes, n_before = stage(nodes.select("node").distinct())
     links = edges.where("src <> dst").select("src", "dst").distinct()
     for end, other in (("src", "dst"), ("dst", "src")):
-        links = spread_join(links, nodes.withColumnRenamed("node", end), end, "left_semi", [other])
+        ends = nodes.withColumnRenamed("node", end)
+        links = spread_join(links, ends, end, "left_semi", [other], right_rows=n_before)
     links, _ = stage(links.select("src", "dst"))
     # Round by round: the nodes where walks of that length start.
     starts, level, n = nodes, 0, n_before
     reached = [nodes.withColumn("level", F.lit(0))]
     while n:
         level += 1
-        starts, n = stage(readers(links, starts))
+        starts, n = stage(readers(links, starts, n_before))
         # Longer walks start at no other nodes than shorter ones do; if at as many,
         # walks of any length start there.
         if n and n == n_before:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 
+# A right side known to have no more rows than this is left to a broadcast join.
+FEW_ROWS = 100_000
+
 
 def spread_join(
     left: DataFrame,
@@ -14,18 +17,20 @@ def spread_join(
     on: str,
     how: str,
     by: list[str],
-    salts: int = SALTS,
+    right_rows: int | None = None,
 ) -> DataFrame:
     """Join a left side whose keys may be hot with a right side of one row per key.
 
-    Left rows of a key are parted into ``salts`` groups by a hash of ``by``; each
-    right row is repeated once per group.  Every row keeps its partners.  What is
-    still uneven, AQE splits on the left; a small right side Spark broadcasts, as
-    in any other join.
+    Left rows of a key are parted into groups by a hash of ``by``; each right row
+    is repeated once per group.  Every row keeps its partners.  What is still
+    uneven, AQE splits on the left.  A right side of few rows, if their number is
+    known, is not repeated: Spark broadcasts it by its size, so no key is shuffled.
     """
-    salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+    if right_rows is not None and right_rows <= FEW_ROWS:
+        return left.join(right, on, how)
+    salt = F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
     parted = left.withColumn("_salt", salt)
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return parted.join(repeated, [on, "_salt"], how).drop("_salt")
 
 

@@ -569,6 +569,15 @@ def oracle_sql() -> dict[str, str]:
                 group by kept.user_id
             )
             select event_id, user_id, moment as "at" from kept join stamps using (user_id, moment)""",
+        "throttled_stream": """with recursive
+            kept as (
+                select user_id, min(epoch_us(ts)) as moment from events group by user_id
+                union all
+                select kept.user_id, min(epoch_us(ts)) from kept join events
+                    on events.user_id = kept.user_id and epoch_us(ts) >= kept.moment + 86400000000
+                group by kept.user_id
+            )
+            select user_id, moment as "at" from kept""",
         "duration_text": f"""
             with s as (select *, cast(floor(o_totalprice) as bigint) as seconds from orders)
             select o_orderkey, {_duration('seconds')} as duration,

@@ -31,6 +31,7 @@ from freshet.plans.samples import NOW
 from freshet.session import scratch_schema, shared_dir
 from freshet.sources import definitions as folder
 from freshet.sources.delimited import read_delimited, write_delimited
+from freshet.streaming.throttle import throttle_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -558,6 +559,24 @@ def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("event_id", "user_id", times.epoch_micros(events, "ts").alias("at"))
 
 
+@query
+def throttled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, read as a stream until its end and written to files."""
+    events = samples.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(sf_dir, pathGlobFilter="events.parquet")
+    folder = f"{shared_dir(spark)}/{scratch_schema(spark, 'stream')}"
+    running = (
+        throttle_stream(stream, ["user_id"], "ts", 86400)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start(f"{folder}/kept")
+    )
+    running.awaitTermination()
+    kept = spark.read.parquet(f"{folder}/kept")
+    return kept.select("user_id", times.epoch_micros(kept, "ts").alias("at"))
+
+
 # Scalars ------------------------------------------------------------------------
 
 

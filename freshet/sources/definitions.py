@@ -57,19 +57,23 @@ def classify(files: DataFrame) -> DataFrame:
     one kind for a table: 0 in the schema's folder, 1 beside it, 2 elsewhere.
     """
     path = F.col("path")
-    settings = _ends(path, ".conf")
-    named = files.withColumn(
-        "file_table", F.when(settings, F.lit(None)).otherwise(file_table_name(path))
+    settings, requirements = _ends(path, ".conf"), _ends(path, REQUIREMENTS_ENDING)
+    known = F.rlike(path, F.lit(r"\.(?:sql|py|conf)\z")) | requirements
+    named = files.where(known).withColumn(
+        "file_table",
+        F.when(requirements, file_table_name(path, strict=False)).when(
+            ~settings, file_table_name(path)
+        ),
     ).withColumn(
         "rough_kind",
         F.when(settings, "settings")
         .when(_ends(path, ".py"), "processor")
-        .when(_ends(path, REQUIREMENTS_ENDING), "requirements")
+        .when(requirements, "requirements")
         .when(_ends(path, f"{TEST_ENDING}.sql"), "test")
         .when(_ends(path, f"{SELECT_ENDING}.sql"), "select")
         .when(_ends(path, ".sql"), "query"),
     )
-    named = named.where("rough_kind IS NOT NULL").withColumn(
+    named = named.withColumn(
         "table_name",
         F.when(F.col("rough_kind") == "test", _cut(F.col("file_table"), TEST_ENDING))
         .when(F.col("rough_kind") == "select", _cut(F.col("file_table"), SELECT_ENDING))

@@ -16,7 +16,7 @@ FORMAT = {
 }
 
 # A field may hold line ends, so a file is read by one task; this bounds the file.
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 100_000
 
 
 def write_delimited(df: DataFrame, path: str) -> None:

@@ -28,6 +28,7 @@ FILES = {
     "first.countries.conf": "grant_select=-jane, +joan",
     "second.conf": "diststyle=even",
     "second/child.conf": "distkey=city\ndiststyle=all\nsnapshots_interval=null\n",
+    "requirements.txt": "for the whole folder",
     "notes.md": "not a definition",
 }
 
@@ -66,6 +67,7 @@ def test_kinds(classified):
     assert kinds["first/cities_test.sql"] == ("test", "first.cities", None)
     assert kinds["second.parent 24m.sql"] == ("query", "second.parent", "24m")
     assert kinds["second.conf"] == ("settings", None, None)
+    assert kinds["requirements.txt"] == ("requirements", None, None)
 
 
 def test_definitions(classified):
