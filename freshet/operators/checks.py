@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.operators.publish import select_rows
 from freshet.operators.skew import name_lines
 
 TEST_WITHOUT_QUERY = "test without query"
@@ -69,6 +71,24 @@ def unknown_layout_keys(definitions: DataFrame, config: Column, text: str = "que
     )
 
 
+def analysed_columns(spark: SparkSession, definitions: DataFrame) -> DataFrame:
+    """``(table_name, key)``: the columns of each definition's query, as Spark resolves them.
+
+    One analysis per definition and no job.  Queries that cannot be resolved yet,
+    because their inputs do not exist, have no rows: leave those to the text check.
+    """
+    rows = []
+    for row in definitions.select("table_name", "query").toLocalIterator():
+        try:
+            rows += [(row.table_name, column) for column in select_rows(spark, row.query).columns]
+        except AnalysisException:
+            continue
+    return spark.createDataFrame(rows, "table_name string, key string")
+
+
 def unknown_layout_columns(keys: DataFrame, columns: DataFrame) -> DataFrame:
-    """Declared keys ``(table_name, setting, key)`` missing from ``columns(table_name, key)``."""
+    """Declared keys ``(table_name, setting, key)`` missing from ``columns(table_name, key)``.
+
+    Only pass keys of tables whose columns are known.
+    """
     return keys.join(columns, ["table_name", "key"], "left_anti")

@@ -30,14 +30,15 @@ def readers_of(definitions: DataFrame, name: str) -> DataFrame:
     )
 
 
-def catalog_views(spark: SparkSession, schema: str) -> DataFrame:
-    """``(table_name, query)`` of the plain views of a schema, read from the catalog."""
-    listed = spark.sql(f"SHOW VIEWS IN {schema}").where("NOT isTemporary")
+def catalog_views(spark: SparkSession, schemas: list[str] | None = None) -> DataFrame:
+    """``(table_name, query)`` of the plain views of some or all schemas, from the catalog alone."""
+    if schemas is None:
+        schemas = [row.namespace for row in spark.sql("SHOW SCHEMAS").toLocalIterator()]
     rows = []
-    for view in listed.toLocalIterator():
-        name = f"{view.namespace}.{view.viewName}"
-        described = spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").first()[0]
-        rows.append((name, described))
+    for schema in schemas:
+        for view in spark.sql(f"SHOW VIEWS IN {schema}").where("NOT isTemporary").toLocalIterator():
+            name = f"{view.namespace}.{view.viewName}"
+            rows.append((name, spark.sql(f"DESCRIBE TABLE EXTENDED {name} AS JSON").first()[0]))
     described = spark.createDataFrame(rows, "table_name string, described string")
     return described.select(
         "table_name", F.get_json_object("described", "$.view_text").alias("query")
@@ -45,8 +46,8 @@ def catalog_views(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def dependent_views(spark: SparkSession, name: str) -> DataFrame:
-    """Plain views of the table's schema whose text reads the table."""
-    return readers_of(catalog_views(spark, name.split(".")[0]), name).distinct()
+    """Plain views, of any schema, whose text reads the table."""
+    return readers_of(catalog_views(spark), name).distinct()
 
 
 def refresh_dependent_views(spark: SparkSession, name: str) -> list[str]:

@@ -37,7 +37,7 @@ class View(NamedTuple):
 
     name: str
     query: str
-    config: dict = {}
+    config: dict | None = None
     tests: str | None = None
     processor: Processor | None = None
     ddl: str | None = None
@@ -65,7 +65,7 @@ def rebuild(spark: SparkSession, view: View, clock: Clock = wall_clock) -> dict:
 
     log("start")
     log("connect")
-    layout, grantees = Layout.from_config(view.config), view.config.get("grant_select")
+    layout, grantees = Layout.from_config(view.config), (view.config or {}).get("grant_select")
     if view.processor is not None:
         rows = process_query(spark, view.query, view.processor, declared_schema(view.ddl or ""))
         build_candidate(rows, view.name, layout, grantees)

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import expectations, lineage, publish, snapshots
+from freshet.operators import checks, expectations, lineage, publish, snapshots
 from freshet.operators.layout import Layout, read_table, table_bytes
 from freshet.plans.rebuild import View, rebuild, rebuild_set
 from freshet.sources.delimited import read_delimited, write_delimited
@@ -51,7 +51,7 @@ def test_rebuild(spark, cities):
     assert logged == {
         "start": 0, "connect": 1, "create_temp": 2, "tests": 3, "replace_old": 4, "drop_old": 5, "finish": 5,
     }
-    left = {t.name for t in spark.catalog.listTables(cities)}
+    left = {t.name for t in spark.catalog.listTables(cities) if not t.isTemporary}
     assert left == {"cities", "cities_raw"}
 
 
@@ -106,6 +106,24 @@ def test_dependent_views(spark, cities):
     assert spark.table(f"{cities}.french").columns == ["city", "country", "n"]
 
 
+def test_columns_by_analysis(spark, cities):
+    definitions = spark.createDataFrame(
+        [
+            ("a.b", f"select city, country as land from {cities}.cities_raw;", {"distkey": "country", "sortkey": "land"}),
+            ("a.c", "select x from not_there.yet", {"distkey": "y"}),
+        ],
+        "table_name string, query string, config map<string,string>",
+    )
+    columns = checks.analysed_columns(spark, definitions)
+    assert rows(columns) == [("a.b", "city"), ("a.b", "land")]
+    keys = checks.declared_keys(definitions, F.col("config")).join(columns.select("table_name").distinct(), "table_name")
+    unknown = checks.unknown_layout_columns(keys.select("table_name", "setting", "key"), columns)
+    assert rows(unknown) == [("a.b", "country", "distkey")]
+    by_text = checks.unknown_layout_keys(definitions, F.col("config"))
+    # The text check finds "country" in the text, and "y" in "yet".
+    assert rows(by_text) == []
+
+
 def test_statement_forms(spark, cities):
     text = f"select true as t from {cities}.cities_raw; ; select false as f;\nselect null as n;\n"
     results = expectations.run_tests(spark, text)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from freshet.functions.times import epoch_micros
 from freshet.operators.throttle import throttle
 from freshet.plans import samples
-from freshet.streaming.throttle import throttle_stream
+from freshet.streaming.throttle import throttle_batches, throttle_stream
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -58,19 +58,25 @@ def test_one_dense_key_of_the_samples(spark):
     assert got == by_hand([(1, r.at, r.event_id) for r in rows], 3600 * 1_000_000)
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def files_in_time_order(spark, folder):
+    """The sample events in three files; a stream reads one per trigger."""
     events = samples.table(spark, SF_DIR, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    # Three files, read one per trigger, in time order.
-    for part, (low, high) in enumerate([("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-20"), ("2024-01-20", "2025-01-01")]):
-        events.where((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.mode("append").parquet(
-            f"{tmp_path}/in/{part}"
-        )
+    days = ["2024-01-01", "2024-01-12", "2024-01-20", "2025-01-01"]
+    for part, (low, high) in enumerate(zip(days, days[1:])):
+        inside = events.where((F.col("ts") >= low) & (F.col("ts") < high))
+        inside.coalesce(1).write.parquet(f"{folder}/in/{part}")
     stream = (
         spark.readStream.schema(events.schema)
         .option("maxFilesPerTrigger", 1)
         .option("recursiveFileLookup", "true")
-        .parquet(f"{tmp_path}/in")
+        .parquet(f"{folder}/in")
     )
+    want = throttle(events, ["user_id"], "ts", 86400, "event_id")
+    return stream, sorted(tuple(r) for r in want.select("user_id", "ts").collect())
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    stream, want = files_in_time_order(spark, tmp_path)
     running = (
         throttle_stream(stream, ["user_id"], "ts", 86400)
         .writeStream.format("memory")
@@ -82,6 +88,23 @@ def test_stream_equals_batch(spark, tmp_path):
         running.processAllAvailable()
     finally:
         running.stop()
-    got = sorted(tuple(r) for r in spark.table("throttled").collect())
-    want = throttle(events, ["user_id"], "ts", 86400).select("user_id", "ts")
-    assert got == sorted(tuple(r) for r in want.collect())
+    assert sorted(tuple(r) for r in spark.table("throttled").collect()) == want
+
+
+def test_stream_by_batches_equals_batch(spark, tmp_path):
+    stream, want = files_in_time_order(spark, tmp_path)
+
+    def sink(kept, epoch):
+        kept.write.mode("overwrite").parquet(f"{tmp_path}/out/epoch={epoch}")
+
+    writer = throttle_batches(
+        stream, ["user_id"], "ts", sink, f"{tmp_path}/last", 86400, tie_break="event_id"
+    )
+    running = writer.option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.select("epoch").distinct().count() == 3
+    assert sorted(tuple(r) for r in out.select("user_id", "ts").collect()) == want
