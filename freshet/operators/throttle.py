@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,91 +12,83 @@ from freshet.session import stage
 DEFAULT_SECONDS = 600
 
 
-def _next_emissions(stamps: DataFrame, hold: int) -> tuple[DataFrame, DataFrame]:
-    """Where a chain starts for sure, and what follows each stamp if it is emitted.
+def _slots(stamps: DataFrame, hold: int) -> DataFrame:
+    """One row per key and slot of the hold time.
 
-    Time is cut into slots of the hold time.  What follows a stamp ``at`` is the
-    first stamp from ``at + hold`` on.  That lies in the next slot, or is the first
-    stamp of a later one, so no window over stamps spans more than a slot of a key.
+    ``follows``: the slot before holds stamps.  ``starts``: the first stamp comes
+    after a pause of the hold time or more, so it is let through in any case.
+    ``later``: the first stamp of the next slot, unless that one starts.
     """
-    slotted = stamps.withColumn("slot", floor_units(F.col("at"), hold))
-    # One row per key and slot; windows over these summaries are short.
     by_slot = Window.partitionBy("key").orderBy("slot")
-    slots = (
-        slotted.groupBy("key", "slot")
+    pause = F.col("first") - F.lag("last").over(by_slot)
+    return (
+        stamps.groupBy("key", "slot")
         .agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        .withColumn("last_before", F.lag("last").over(by_slot))
-        .withColumn("next_slot", F.lead("slot").over(by_slot))
-        .withColumn("next_first", F.lead("first").over(by_slot))
-        .withColumn("second_next_first", F.lead("first", 2).over(by_slot))
-    )
-    # After a pause of the hold time or more a stamp is let through in any case.
-    starts = slots.where(
-        F.col("last_before").isNull() | (F.col("first") - F.col("last_before") >= hold)
-    ).select("key", F.col("first").alias("at"))
-
-    # Each stamp also looks into the next slot, from ``at + hold`` on.
-    looks = slotted.select(
-        "key",
-        (F.col("slot") + 1).alias("slot"),
-        (F.col("at") + hold).alias("from_at"),
-        F.col("at").alias("src"),
-    )
-    marks = slotted.select(
-        "key", "slot", F.col("at").alias("from_at"), F.lit(None).cast("bigint").alias("src")
+        .withColumn("follows", F.coalesce(F.lag("slot").over(by_slot) == F.col("slot") - 1, F.lit(False)))
+        .withColumn("starts", F.coalesce(pause >= hold, F.lit(True)))
+        .withColumn("later", F.when(~F.lead("starts").over(by_slot), F.lead("first").over(by_slot)))
+        .drop("last")
     )
+
+
+def _jumps(stamps: DataFrame, slots: DataFrame, hold: int) -> DataFrame:
+    """``(key, src, dst)``: if ``src`` is let through, ``dst`` is next; none if the next one starts.
+
+    What follows a stamp is the first one from ``at + hold`` on.  It lies in the next
+    slot or is the first of the slot after that; further on it comes after a pause
+    and starts.  So each stamp looks into the next slot, and no window over stamps
+    spans more than a slot of a key.
+    """
+
+    def probe(slot: Column, from_at: Column, src: Column) -> Column:
+        return F.struct(slot.alias("slot"), from_at.alias("from_at"), src.alias("src"))
+
+    mark = probe(F.col("slot"), F.col("at"), F.lit(None).cast("bigint"))
+    look = probe(F.col("slot") + 1, F.col("at") + hold, F.col("at"))
     from_there_on = (
         Window.partitionBy("key", "slot")
         .orderBy(F.col("from_at").desc(), F.col("src").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = F.min(F.when(F.col("src").isNull(), F.col("from_at"))).over(from_there_on)
-    in_next_slot = looks.unionByName(marks).withColumn("dst", found).where("src IS NOT NULL")
-    # Nothing there: the first stamp of the first slot after that one.
-    after = slots.select(
-        "key",
-        (F.col("slot") + 1).alias("slot"),
-        F.when(F.col("next_slot") == F.col("slot") + 1, F.col("second_next_first"))
-        .otherwise(F.col("next_first"))
-        .alias("later"),
+    return (
+        stamps.select("key", F.inline(F.array(mark, look)))
+        .join(slots, ["key", "slot"])
+        .where("src IS NOT NULL OR follows")
+        .withColumn("dst", F.coalesce(found, "later"))
+        .where("src IS NOT NULL AND dst IS NOT NULL AND NOT (starts AND dst = first)")
+        .select("key", "src", "dst")
     )
-    jumps = (
-        in_next_slot.join(after, ["key", "slot"])
-        .select("key", "src", F.coalesce("dst", "later").alias("dst"))
-        .where("dst IS NOT NULL")
-    )
-    return starts, jumps
 
 
-def _emitted(starts: DataFrame, jumps: DataFrame) -> DataFrame:
-    """All stamps on the chains that begin at ``starts`` and follow ``jumps``.
+def _chained(starts: DataFrame, jumps: DataFrame) -> DataFrame:
+    """The stamps that chains of jumps from ``starts`` lead to, without the starts.
 
     Jumps are doubled until none is left, each time only from stamps that jumps of
     the same size lead to; then chains are filled in from the longest jumps down.
     The rounds grow with the logarithm of the longest chain.
     """
-    # A chain may end before a start: that one is emitted anyway.
-    into_starts = starts.withColumnRenamed("at", "dst")
-    jumps, n = stage(
-        jumps.join(into_starts, ["key", "dst"], "left_anti").select("key", "src", "dst")
+    jumps, n = stage(jumps)
+    origins, _ = stage(
+        starts.join(jumps.withColumnRenamed("src", "at"), ["key", "at"], "left_semi")
     )
     levels = []
     while n:
         levels.append(jumps)
         landed = jumps.select("key", F.col("dst").alias("src"))
-        origins = starts.withColumnRenamed("at", "src").unionByName(landed).distinct()
-        first = jumps.join(origins, ["key", "src"], "left_semi")
+        reached = origins.withColumnRenamed("at", "src").unionByName(landed).distinct()
+        first = jumps.join(reached, ["key", "src"], "left_semi")
         second = jumps.select("key", F.col("src").alias("dst"), F.col("dst").alias("end"))
         doubled = first.join(second, ["key", "dst"])
         jumps, n = stage(doubled.select("key", "src", F.col("end").alias("dst")))
-    emitted = starts
+    chained = origins.withColumn("chained", F.lit(False))
     for jumps in reversed(levels):
         # Different stamps of a chain jump to different ones: nothing comes up twice.
-        onward = jumps.withColumnRenamed("src", "at")
-        emitted = emitted.join(onward, ["key", "at"], "left").select(
-            "key", F.explode(F.array_compact(F.array("at", "dst"))).alias("at")
+        onward = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("at"), F.lit(True).alias("chained")))
+        chained = chained.join(jumps.withColumnRenamed("src", "at"), ["key", "at"], "left").select(
+            "key", F.inline(F.array_compact(F.array(F.struct("at", "chained"), onward)))
         )
-    return emitted
+    return chained.where("chained").select("key", "at")
 
 
 def throttle(
@@ -112,16 +104,22 @@ def throttle(
     Exact to the microsecond.  A key may hold any share of the events: work is
     parted by key and time, and no task takes in a whole key.
     """
-    # One text stands for the key values, so NULL is a key like any other.
-    key, at = F.to_json(F.struct(*keys)), epoch_micros(events, time)
+    hold = seconds * 1_000_000
+    # A struct of the key values is never NULL itself, so NULL is a key like any other.
+    key, at = F.struct(*keys).alias("key"), epoch_micros(events, time).alias("at")
+    timed = events.where(F.col(time).isNotNull())
+    stamps, _ = stage(timed.select(key, at).distinct())
+    stamps = stamps.withColumn("slot", floor_units(F.col("at"), hold))
+    slots, _ = stage(_slots(stamps, hold))
+    starts = slots.where("starts").select("key", F.col("first").alias("at"))
+    kept = starts.unionByName(_chained(starts, _jumps(stamps, slots, hold)))
+
     row = F.struct(*events.columns)
-    order = F.col(tie_break) if tie_break else row
-    firsts, _ = stage(
-        events.where(F.col(time).isNotNull())
-        .groupBy(key.alias("key"), at.alias("at"))
-        .agg(F.min_by(row, order).alias("event"))
+    order = F.col(tie_break) if tie_break else F.col("event")
+    return (
+        timed.select(key, at, row.alias("event"), *([tie_break] if tie_break else []))
+        .join(kept, ["key", "at"], "left_semi")
+        .groupBy("key", "at")
+        .agg(F.min_by("event", order).alias("event"))
+        .select("event.*")
     )
-    starts, jumps = _next_emissions(firsts.select("key", "at"), seconds * 1_000_000)
-    starts, _ = stage(starts)
-    kept = _emitted(starts, jumps)
-    return firsts.join(kept, ["key", "at"], "left_semi").select("event.*")
