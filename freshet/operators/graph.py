@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.skew import spread_join
+from freshet.operators.skew import HotKeys, find_hot_keys, spread_join
 from freshet.session import stage
 
 COMPACT_EVERY = 8
@@ -57,10 +57,10 @@ def read_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ends, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
 
 
-def readers(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The distinct nodes that read the ``n`` nodes; many edges may share one target."""
+def readers(edges: DataFrame, nodes: DataFrame, hot: HotKeys) -> DataFrame:
+    """The distinct nodes that read ``nodes``; ``hot`` are the targets of many edges."""
     ends = nodes.select(F.col("node").alias("dst"))
-    hit = spread_join(edges, ends, "dst", "left_semi", ["src"], right_rows=n)
+    hit = spread_join(edges, ends, "dst", "left_semi", ["src"], hot)
     return hit.select(F.col("src").alias("node")).distinct()
 
 
@@ -85,12 +85,12 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     from both sides until none is left to peel.
     """
     core, n = stage(edges.select("src", "dst").distinct())
+    hot = find_hot_keys(core, "dst", n)
     while n:
         read = core.select(F.col("dst").alias("src")).distinct()
         reading = core.select(F.col("src").alias("dst")).distinct()
         inner = core.join(read, "src", "left_semi")
-        # Many edges may lead to one node.
-        inner = spread_join(inner, reading, "dst", "left_semi", ["src"], right_rows=n)
+        inner = spread_join(inner, reading, "dst", "left_semi", ["src"], hot)
         core, left = stage(inner.select("src", "dst"))
         if left == n:
             break
@@ -141,16 +141,16 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     nodes, n_before = stage(nodes.select("node").distinct())
     links = edges.where("src <> dst").select("src", "dst").distinct()
-    for end, other in (("src", "dst"), ("dst", "src")):
-        ends = nodes.withColumnRenamed("node", end)
-        links = spread_join(links, ends, end, "left_semi", [other], right_rows=n_before)
-    links, _ = stage(links.select("src", "dst"))
+    links, n = stage(links.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi"))
+    hot = find_hot_keys(links, "dst", n)
+    inside = nodes.withColumnRenamed("node", "dst")
+    links, _ = stage(spread_join(links, inside, "dst", "left_semi", ["src"], hot).select("src", "dst"))
     # Round by round: the nodes where walks of that length start.
     starts, level, n = nodes, 0, n_before
     reached = [nodes.withColumn("level", F.lit(0))]
     while n:
         level += 1
-        starts, n = stage(readers(links, starts, n_before))
+        starts, n = stage(readers(links, starts, hot))
         # Longer walks start at no other nodes than shorter ones do; if at as many,
         # walks of any length start there.
         if n and n == n_before:

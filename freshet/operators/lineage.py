@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.text import mentioned_names
-from freshet.operators.skew import spread_join
+from freshet.operators.skew import find_hot_keys, spread_join
+from freshet.session import stage
 
 
 def dependency_edges(definitions: DataFrame) -> DataFrame:
@@ -14,13 +15,16 @@ def dependency_edges(definitions: DataFrame) -> DataFrame:
 
     The text is cut into dotted pairs once and joined on the name, so the cost is
     linear in the text.  A name that a large share of all definitions reads is a
-    hot join key, hence the spread join.  ``definitions`` has one row per table.
+    hot join key.  ``definitions`` has one row per table.
     """
-    mentioned = definitions.select(
-        F.col("table_name").alias("src"), F.explode(mentioned_names(F.col("query"))).alias("dst")
+    mentioned, n = stage(
+        definitions.select(
+            F.col("table_name").alias("src"), F.explode(mentioned_names(F.col("query"))).alias("dst")
+        )
     )
     names = definitions.select(F.col("table_name").alias("dst"))
-    return spread_join(mentioned, names, "dst", "left_semi", ["src"]).select("src", "dst")
+    hot = find_hot_keys(mentioned, "dst", n)
+    return spread_join(mentioned, names, "dst", "left_semi", ["src"], hot).select("src", "dst")
 
 
 def readers_of(definitions: DataFrame, name: str) -> DataFrame:

@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.session import stage
+
 SALTS = 16
 
-# A right side known to have no more rows than this is left to a broadcast join.
-FEW_ROWS = 100_000
+# A key is hot with more than this share of all rows, so there are at most 1,000.
+HOT_SHARE = 1 / 1000
+# Below this many rows a key is never hot.
+HOT_ROWS = 50_000
+
+
+class HotKeys(NamedTuple):
+    """The hot values of a key column, as a stored table of that column, and their number."""
+
+    keys: DataFrame
+    n: int
+
+
+def find_hot_keys(rows: DataFrame, key: str, n_rows: int) -> HotKeys:
+    """The keys that hold a large share of ``rows``; counts collapse before the shuffle."""
+    least = max(HOT_ROWS, int(n_rows * HOT_SHARE))
+    if n_rows <= least:
+        return HotKeys(rows.select(key).limit(0), 0)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return HotKeys(*stage(counts.where(F.col("n") > least).select(key)))
 
 
 def spread_join(
@@ -17,20 +39,28 @@ def spread_join(
     on: str,
     how: str,
     by: list[str],
-    right_rows: int | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Join a left side whose keys may be hot with a right side of one row per key.
 
-    Left rows of a key are parted into groups by a hash of ``by``; each right row
-    is repeated once per group.  Every row keeps its partners.  What is still
-    uneven, AQE splits on the left.  A right side of few rows, if their number is
-    known, is not repeated: Spark broadcasts it by its size, so no key is shuffled.
+    Left rows of a hot key are parted into groups by a hash of ``by``; its right
+    row is repeated once per group.  Every row keeps its partners.  If it is not
+    known which keys are hot, all are treated so: do that for short right sides.
     """
-    if right_rows is not None and right_rows <= FEW_ROWS:
+    if hot is not None and not hot.n:
         return left.join(right, on, how)
     salt = F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
-    parted = left.withColumn("_salt", salt)
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if hot is None:
+        parted, repeated = left.withColumn("_salt", salt), right.withColumn("_salt", F.explode(copies))
+    else:
+        # A thousand keys at most: these two joins shuffle neither side.
+        marked = hot.keys.withColumn("_hot", F.lit(True))
+        parted = left.join(marked, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+        repeated = right.join(marked, on, "left").withColumn(
+            "_salt", F.explode(F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0))))
+        )
+        parted, repeated = parted.drop("_hot"), repeated.drop("_hot")
     return parted.join(repeated, [on, "_salt"], how).drop("_salt")
 
 
