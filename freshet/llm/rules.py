@@ -89,6 +89,15 @@ def _literals(rows: DataFrame, cuts: dict[str, list[float]]) -> list[tuple[Liter
     return found
 
 
+def _centred(literal: Literal, rows: DataFrame) -> Literal:
+    """The same literal with its threshold halfway between the rows on either side of it."""
+    value = F.col("s")[literal.feature].cast("double")
+    below, above = rows.agg(
+        F.max(F.when(value <= literal.threshold, value)), F.min(F.when(value > literal.threshold, value))
+    ).first()
+    return literal if below is None or above is None else literal._replace(threshold=(below + above) / 2)
+
+
 def learn_rules(
     labelled: DataFrame,
     max_rules: int = 8,
@@ -127,7 +136,7 @@ def learn_rules(
             best, p, n = max(_literals(rows, cuts), key=lambda x: _gain(x[1], x[2], p0, n0))
             if _gain(p, n, p0, n0) <= 0:
                 break
-            rule.append(best)
+            rule.append(_centred(best, rows))
             p0, n0 = p, n
         if not rule:
             break
