@@ -12,9 +12,10 @@ last window is cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations_with_replacement
+from itertools import combinations_with_replacement, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,19 @@ class WordIds(dict):
 
     def __init__(self, path: str, width: str):
         super().__init__()
-        self.path, self.width = path, width
+        self.path, self.width, self.code = path, width, {"<u2": "H", "<u4": "I"}[width]
 
     def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        made = _tokenizer(self.path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(x.ids, self.width).tobytes() for w, x in zip(words, made, strict=True)}
+        """Words of letters from a to z are whole pre-tokens and go to the model directly."""
+        tokenizer = _tokenizer(self.path)
+        model, made, others = tokenizer.model, {}, []
+        for word in words:
+            if word.isalpha() and word.islower() and len(word) <= CACHE_KEY_CHARS:
+                made[word] = array(self.code, [t.id for t in model.tokenize(word.decode())]).tobytes()
+            else:
+                others.append(word)
+        ids = tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        return made | {w: np.array(x.ids, self.width).tobytes() for w, x in zip(others, ids, strict=True)}
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Encode the words that are not known yet, all in one call.
@@ -58,7 +67,10 @@ class WordIds(dict):
         A comma or full stop after a letter from a to z is a token sequence of its own.
         """
         if len(self) > CACHE_ENTRIES:
+            # Words met first are the frequent ones.
+            kept = dict(islice(self.items(), CACHE_ENTRIES // 2))
             self.clear()
+            self.update(kept)
         new = {word for words in texts for word in words if word not in self}
         stems = {w: w[:-1] for w in new if w[-1:] in (b",", b".") and 97 <= (w[-2:-1] or b" ")[0] <= 122}
         ids = self.encoded(list({stems.get(w, w) for w in new} | {b",", b"."}))
@@ -74,7 +86,7 @@ class WordIds(dict):
 def known_words(path: str, width: str) -> WordIds:
     """This worker's words; refuses a tokenizer whose ids are not those of its words."""
     known, tokenizer = WordIds(path, width), _tokenizer(path)
-    for probe in ("Ab, cD.\n e's\tF, 1.2 g..", "\u00c9a, b\u0301. \x0b ,x\r.y"):
+    for probe in ("Ab, cD.\n e's\tF, 1.2 g..", "\u00c9a, b\u0301. \x0b ,x\r.y", "the hotdogs unbelievably"):
         words = probe.lower().split()
         known.learn([[w.encode() for w in words]])
         made = b"".join(known[w.encode()] for w in words)
