@@ -54,7 +54,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-Match fingerprints of each text and its edited text, and how alike they are."""
     made = imatch.fingerprint_edits(table(spark, sf_dir, "documents"))
     for name in ("fingerprint", "edited_fingerprint"):
-        made = made.withColumn(name, F.array_join(name, ""))
+        made = made.withColumn(name, imatch.as_text(F.col(name)))
     return made
 
 
