@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,3 +93,18 @@ def running_sum(rows: DataFrame, key: str, value: str, out: str, n_rows: int, bl
         .withColumn(out, F.col(out) + F.col("_base"))
     )
     return Running(summed.drop("_block", "_base"), total)
+
+
+def byte_slices(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Cut a string column into runs ``(first, rows)`` of about ``limit`` bytes, a row at least.
+
+    Keeps what a task builds from a batch small even where many texts are long.
+    """
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield at, end - at
+        at = end

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import like
+from freshet.llm.common import byte_slices, like
 
 FREQUENT = 32_768
 LOCAL_FREQUENT = 4_096
@@ -94,10 +94,10 @@ def frequent_pretokens(df: DataFrame, text: str = "text", n: int = FREQUENT, loc
     def favourites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen.update(x for x in pretokens(value or "") if len(x) <= CACHE_KEY_CHARS)
-                if len(seen) > 4 * CACHE_ENTRIES:
-                    seen = Counter(dict(seen.most_common(CACHE_ENTRIES)))
+            for value in batch.column(0):
+                seen.update(x for x in pretokens(value.as_py() or "") if len(x) <= CACHE_KEY_CHARS)
+                if len(seen) > CACHE_ENTRIES:
+                    seen = Counter(dict(seen.most_common(CACHE_ENTRIES // 2)))
         top = seen.most_common(local)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["piece", "n"]
@@ -121,8 +121,9 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", out: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiers = TwoTier(shared.value, model_path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            totals = [n for at in range(0, len(texts), 1000) for n in tiers.totals(texts[at : at + 1000])]
+            column, totals = batch.column(text), []
+            for at, rows in byte_slices(column):
+                totals += tiers.totals([x or "" for x in column.slice(at, rows).to_pylist()])
             made = pa.array(totals, pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 

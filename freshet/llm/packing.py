@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from freshet.llm.common import running_sum
+from freshet.llm.common import byte_slices, running_sum
 from freshet.session import stage
 
 WINDOW = 4096
@@ -114,8 +114,8 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         known = known_words(tokenizer_path, width)
         end = np.array([end_id], width).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at, rows in byte_slices(whole.column("text"), 4_000_000):
+                batch = whole.slice(at, rows)
                 # White space of the ASCII range only: bytes split at no other.
                 texts = [words_of_text(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
                 known.learn(texts)

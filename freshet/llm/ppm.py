@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import lower_ascii, text_of, words_of
+from freshet.llm.common import byte_slices, lower_ascii, text_of, words_of
 from freshet.session import stage
 
 ORDER = 5
@@ -36,7 +36,7 @@ SYMBOLS = 257
 # Taken from the count of each window and given to its context's escape.
 DISCOUNT = 0.5
 # Symbols that are worked on at once.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
@@ -90,20 +90,22 @@ def count_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
         def merged() -> tuple[np.ndarray, np.ndarray]:
             codes = np.concatenate([c for c, _ in held])
             counts = np.concatenate([n for _, n in held])
-            kinds, where = np.unique(codes, return_inverse=True)
-            return kinds, np.bincount(where, counts, len(kinds)).astype(np.int64)
+            order_of = np.argsort(codes, kind="stable")
+            codes, counts = codes[order_of], counts[order_of]
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            return codes[first], np.add.reduceat(counts, first)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                symbols, ends = framed(batch.column(0).slice(at, 500), order)
+            for at, rows in byte_slices(batch.column(0)):
+                symbols, ends = framed(batch.column(0).slice(at, rows), order)
                 codes = windows(symbols, order)
                 codes = codes[_starts_inside(codes, ends, order)]
                 for lo in range(0, len(codes), STEP):
                     held.append(np.unique(codes[lo : lo + STEP], return_counts=True))
-            if sum(len(c) for c, _ in held) > 4 * STEP:
-                held = [merged()]
-                if len(held[0][0]) > 2 * STEP:
-                    yield _pairs(*held.pop())
+                if sum(len(c) for c, _ in held) > 8 * STEP:
+                    held = [merged()]
+                    if len(held[0][0]) > 4 * STEP:
+                        yield _pairs(*held.pop())
         if held:
             yield _pairs(*merged())
 
@@ -274,11 +276,11 @@ def score(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFr
     def made(texts: pd.Series) -> pd.Series:
         own, scores = shared.value, []
         column = pa.array(texts, pa.string())
-        for at in range(0, len(column), 500):
-            symbols, ends = framed(column.slice(at, 500), own.order)
+        for at, rows in byte_slices(column):
+            symbols, ends = framed(column.slice(at, rows), own.order)
             each = np.empty(max(0, len(symbols) - own.order))
-            for lo in range(0, len(each), STEP // 4):
-                codes = windows(symbols[lo : lo + STEP // 4 + own.order], own.order)
+            for lo in range(0, len(each), STEP):
+                codes = windows(symbols[lo : lo + STEP + own.order], own.order)
                 each[lo : lo + len(codes)] = own.log10(codes)
             each[~_starts_inside(each, ends, own.order)] = 0
             # The window of a text's end symbol is at ``end - 1 - order``.
@@ -303,7 +305,7 @@ class WordModel:
     total: float
 
 
-def train_words(texts: DataFrame, frequent: int = 1 << 16) -> WordModel:
+def train_words(texts: DataFrame, frequent: int = 1 << 18) -> WordModel:
     """Count lower-cased words and ends over all rows of ``texts``.
 
     At most ``frequent`` words, those with 1 / ``frequent`` of all tokens, reach the driver.
@@ -336,8 +338,8 @@ def base_scores(docs: DataFrame, model: WordModel, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at, rows in byte_slices(whole.column("text")):
+                batch = whole.slice(at, rows)
                 tokens, known, total, rare = [], [], [], []
                 for value in batch.column("text").cast(pa.binary()).to_pylist():
                     words = value.lower().split()
