@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from freshet.llm.common import like
+from freshet.llm.common import like, modest_batches
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -77,6 +77,7 @@ def encode_text(text: str, ranks_path: str, pattern: str, chunk: int = CHUNK, ov
 
 def _each_batch(df: DataFrame, source: str, out: str, kind: T.DataType, convert: Callable) -> DataFrame:
     """Append a column that ``convert`` makes of an Arrow array, in slices of rows."""
+    modest_batches(df.sparkSession)
     df = df.drop(out) if out != source else df
     schema = like(df, out, kind)
 

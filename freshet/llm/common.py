@@ -108,3 +108,13 @@ def byte_slices(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int,
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield at, end - at
         at = end
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches have fewer rows than Spark's default: here rows are whole documents.
+
+    A number that the user has set is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.llm.common import byte_slices, like
+from freshet.llm.common import byte_slices, like, modest_batches
 
 FREQUENT = 32_768
 LOCAL_FREQUENT = 4_096
@@ -112,6 +112,7 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", out: str =
 
     Rows and other columns stay as they are; a column named ``out`` is replaced.
     """
+    modest_batches(df.sparkSession)
     df = df.drop(out)
     schema = like(df, out, T.LongType())
     frequent = frequent_pretokens(df, text)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from freshet.llm.common import byte_slices, running_sum
+from freshet.llm.common import byte_slices, modest_batches, running_sum
 from freshet.session import stage
 
 WINDOW = 4096
@@ -324,6 +324,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
     empty text is packed as its end id alone; repeated rows and rows without an id are
     packed like any other; other columns are not read.  An empty table gives no piece.
     """
+    modest_batches(docs.sparkSession)
     tokens, _ = stage(token_ids(docs, tokenizer_path, end_id))
     pieces = plan_pieces(tokens.select("uid", "n"), window)
     # A document's pieces go to its ids together: one row a document on either side.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import byte_slices, lower_ascii, text_of, words_of
+from freshet.llm.common import byte_slices, lower_ascii, modest_batches, text_of, words_of
 from freshet.session import stage
 
 ORDER = 5
@@ -102,7 +102,7 @@ def count_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 codes = codes[_starts_inside(codes, ends, order)]
                 for lo in range(0, len(codes), STEP):
                     held.append(np.unique(codes[lo : lo + STEP], return_counts=True))
-                if sum(len(c) for c, _ in held) > 8 * STEP:
+                if sum(len(c) for c, _ in held) > 6 * STEP:
                     held = [merged()]
                     if len(held[0][0]) > 4 * STEP:
                         yield _pairs(*held.pop())
@@ -244,6 +244,7 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
 
 def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
     """Learn from all rows of ``texts``; the driver gets ``nodes`` windows of each order at most."""
+    modest_batches(texts.sparkSession)
     counted, _ = stage(count_windows(texts, order))
     n = counted.agg(F.sum("n")).first()[0] or 0
     masks = F.array(*(F.lit((1 << BITS * (k + 1)) - 1).cast("long") for k in range(order + 1)))
@@ -270,6 +271,7 @@ def score(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFr
     A null text is empty: its score is that of an end at the start.  Rows are scored one by
     one; other columns stay as they are.
     """
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -327,6 +329,7 @@ def base_scores(docs: DataFrame, model: WordModel, text: str = "text") -> DataFr
     scored where the text is; of the others one row for each text and word is joined by
     word with the counts.  A null text is empty.  Names that clash are replaced.
     """
+    modest_batches(docs.sparkSession)
     made = ("n_tokens", "n_known", "base_score")
     rest = docs.drop(*made)
     row = rest.drop(text)

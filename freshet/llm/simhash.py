@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import fresh
+from freshet.llm.common import fresh, modest_batches
 from freshet.session import stage
 
 SHINGLE = 3
@@ -60,6 +60,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def with_fingerprint(docs: DataFrame, out: str, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
     """Add long ``out``; a null text is empty and has the fingerprint 0."""
 
+    modest_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def made(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint((x or "").encode(), shingle) for x in texts], dtype="int64")
