@@ -34,9 +34,9 @@ AGE_MONTHS_BELOW, AGE_MONTHS_TEXT = 29808000, "{} months"
 def interval_minutes(literal: Column, strict: bool = True) -> Column:
     """``30m``, ``24h``, ``90d``, ``1w`` (any case) as minutes; NULL stays NULL.
 
-    Anything else raises, or becomes NULL when ``strict`` is off.
+    Signs are refused too.  Anything else raises, or becomes NULL when ``strict`` is off.
     """
-    pattern = r"\A\s*([+-]?\d+)\s*([mhdwMHDW])\z"
+    pattern = r"\A\s*(\d+)\s*([mhdwMHDW])\z"
     units = F.create_map(*[F.lit(x) for pair in INTERVAL_UNITS.items() for x in pair])
     minutes = F.regexp_extract(literal, pattern, 1).cast("bigint") * units[
         F.lower(F.regexp_extract(literal, pattern, 2))

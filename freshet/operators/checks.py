@@ -59,13 +59,17 @@ def declared_keys(definitions: DataFrame, config: Column) -> DataFrame:
     )
 
 
-def unknown_layout_keys(definitions: DataFrame, config: Column, text: str = "query") -> DataFrame:
+def unknown_layout_keys(
+    definitions: DataFrame, config: Column, text: str = "query", declared: Column | None = None
+) -> DataFrame:
     """Declared layout keys that do not occur in the text of the definition.
 
-    A text with ``*`` may yield any column, so it passes.  For processors name the
-    column that holds the declared schema.
+    A query with ``*`` may yield any column, so it passes.  Where ``declared`` holds a
+    processor's schema, that counts instead, and there ``*`` is no excuse.
     """
-    absent = ~F.contains(F.col(text), F.col("key")) & ~F.contains(F.col(text), F.lit("*"))
+    schema = F.lit(None).cast("string") if declared is None else declared
+    by_query = ~F.contains(F.col(text), F.col("key")) & ~F.contains(F.col(text), F.lit("*"))
+    absent = F.when(schema.isNotNull(), ~F.contains(schema, F.col("key"))).otherwise(by_query)
     return (
         declared_keys(definitions, config).where(absent).select("table_name", "setting", "key")
     )

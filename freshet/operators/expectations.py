@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,14 @@ class DataTestsFailed(Exception):
         self.table, self.failed = table, failed
 
 
+# What a semicolon ends nothing in: literals, quoted names, comments.
+_QUIET = r"""'(?:[^'\\]|\\.|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/"""
+
+
 def split_statements(text: str) -> list[str]:
-    return [statement for statement in text.split(";") if statement.strip()]
+    """The statements of a text, cut at semicolons outside literals, names and comments."""
+    parts = re.findall(rf"(?:{_QUIET}|[^;])+", text, re.DOTALL)
+    return [part for part in parts if part.strip()]
 
 
 def for_candidate(text: str, name: str) -> str:

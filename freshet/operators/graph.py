@@ -85,7 +85,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     from both sides until none is left to peel.
     """
     core, n = stage(edges.select("src", "dst").distinct())
-    hot = find_hot_keys(core, "dst", n)
+    hot = find_hot_keys(core, "dst")
     while n:
         read = core.select(F.col("dst").alias("src")).distinct()
         reading = core.select(F.col("src").alias("dst")).distinct()
@@ -142,7 +142,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes, n_before = stage(nodes.select("node").distinct())
     links = edges.where("src <> dst").select("src", "dst").distinct()
     links, n = stage(links.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi"))
-    hot = find_hot_keys(links, "dst", n)
+    hot = find_hot_keys(links, "dst")
     inside = nodes.withColumnRenamed("node", "dst")
     links, _ = stage(spread_join(links, inside, "dst", "left_semi", ["src"], hot).select("src", "dst"))
     # Round by round: the nodes where walks of that length start.

@@ -17,13 +17,13 @@ def dependency_edges(definitions: DataFrame) -> DataFrame:
     linear in the text.  A name that a large share of all definitions reads is a
     hot join key.  ``definitions`` has one row per table.
     """
-    mentioned, n = stage(
+    mentioned, _ = stage(
         definitions.select(
             F.col("table_name").alias("src"), F.explode(mentioned_names(F.col("query"))).alias("dst")
         )
     )
     names = definitions.select(F.col("table_name").alias("dst"))
-    hot = find_hot_keys(mentioned, "dst", n)
+    hot = find_hot_keys(mentioned, "dst")
     return spread_join(mentioned, names, "dst", "left_semi", ["src"], hot).select("src", "dst")
 
 

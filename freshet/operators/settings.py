@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.skew import spread_join
+from freshet.operators.skew import find_hot_keys, spread_join
 
 # Texts that reset a setting.
 RESET_VALUES = ("null", "None", "")
@@ -76,7 +76,7 @@ def settings_for_tables(tables: DataFrame, settings: DataFrame) -> DataFrame:
         "table_name", F.explode(F.array(F.lit(""), schema, F.col("table_name"))).alias("scope")
     )
     return (
-        spread_join(scopes, bundles, "scope", "inner", ["table_name"])
+        spread_join(scopes, bundles, "scope", "inner", ["table_name"], find_hot_keys(scopes, "scope"))
         .select("table_name", F.explode("bundle").alias("s"))
         .select("table_name", "s.*")
     )

@@ -9,58 +9,39 @@ from pyspark.sql import functions as F
 
 from freshet.session import stage
 
-SALTS = 16
-
-# A key is hot with more than this share of all rows, so there are at most 1,000.
-HOT_SHARE = 1 / 1000
-# Below this many rows a key is never hot.
-HOT_ROWS = 50_000
+# About as many rows of one key as a task should join.
+ROWS_PER_TASK = 50_000
 
 
 class HotKeys(NamedTuple):
-    """The hot values of a key column, as a stored table of that column, and their number."""
+    """Key values with more rows than a task should join: a stored ``(key, _salts)``, and their number."""
 
     keys: DataFrame
     n: int
 
 
-def find_hot_keys(rows: DataFrame, key: str, n_rows: int) -> HotKeys:
-    """The keys that hold a large share of ``rows``; counts collapse before the shuffle."""
-    least = max(HOT_ROWS, int(n_rows * HOT_SHARE))
-    if n_rows <= least:
-        return HotKeys(rows.select(key).limit(0), 0)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return HotKeys(*stage(counts.where(F.col("n") > least).select(key)))
+def find_hot_keys(rows: DataFrame, key: str, rows_per_task: int | None = None) -> HotKeys:
+    """How many parts each key's rows need; keys that need one are left out.
+
+    Counts collapse before the shuffle.  At most one key in ``rows_per_task`` rows is hot.
+    """
+    parts = F.ceil(F.count(F.lit(1)) / (rows_per_task or ROWS_PER_TASK)).cast("int")
+    return HotKeys(*stage(rows.groupBy(key).agg(parts.alias("_salts")).where("_salts > 1")))
 
 
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str,
-    how: str,
-    by: list[str],
-    hot: HotKeys | None = None,
-) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str, by: list[str], hot: HotKeys) -> DataFrame:
     """Join a left side whose keys may be hot with a right side of one row per key.
 
-    Left rows of a hot key are parted into groups by a hash of ``by``; its right
-    row is repeated once per group.  Every row keeps its partners.  If it is not
-    known which keys are hot, all are treated so: do that for short right sides.
+    Left rows of a hot key are parted by a hash of ``by`` into as many groups as the key
+    needs; its right row is repeated once per group.  Every row keeps its partners.
     """
-    if hot is not None and not hot.n:
+    if not hot.n:
         return left.join(right, on, how)
-    salt = F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
-    copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    if hot is None:
-        parted, repeated = left.withColumn("_salt", salt), right.withColumn("_salt", F.explode(copies))
-    else:
-        # A thousand keys at most: these two joins shuffle neither side.
-        marked = hot.keys.withColumn("_hot", F.lit(True))
-        parted = left.join(marked, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-        repeated = right.join(marked, on, "left").withColumn(
-            "_salt", F.explode(F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0))))
-        )
-        parted, repeated = parted.drop("_hot"), repeated.drop("_hot")
+    salts = F.coalesce("_salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*by), salts).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), salts - 1))
+    parted = left.join(hot.keys, on, "left").withColumn("_salt", salt).drop("_salts")
+    repeated = right.join(hot.keys, on, "left").withColumn("_salt", copies).drop("_salts")
     return parted.join(repeated, [on, "_salt"], how).drop("_salt")
 
 
@@ -74,7 +55,7 @@ def name_lines(rows: DataFrame, group: str, name: str, per_line: int = 1000) ->
     lines = F.ceil(F.col("_size") / per_line).cast("bigint")
     digest = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
     return (
-        spread_join(rows.select(group, name), sizes, group, "inner", [name])
+        spread_join(rows.select(group, name), sizes, group, "inner", [name], find_hot_keys(rows, group))
         .groupBy(group, F.pmod(digest, lines).alias("line"))
         .agg(
             F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"),

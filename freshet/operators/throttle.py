@@ -100,7 +100,8 @@ def throttle(
 ) -> DataFrame:
     """Per key, keep an event, then swallow those less than ``seconds`` after the last kept one.
 
-    Of events with equal key and time one is kept, the least by ``tie_break``.
+    Of events with equal key and time one is kept, the least by ``tie_break``.  An event
+    without a time is after no other: all of them are kept.
     Exact to the microsecond.  A key may hold any share of the events: work is
     parted by key and time, and no task takes in a whole key.
     """
@@ -116,10 +117,12 @@ def throttle(
 
     row = F.struct(*events.columns)
     order = F.col(tie_break) if tie_break else F.col("event")
+    untimed = events.where(F.col(time).isNull())
     return (
         timed.select(key, at, row.alias("event"), *([tie_break] if tie_break else []))
         .join(kept, ["key", "at"], "left_semi")
         .groupBy("key", "at")
         .agg(F.min_by("event", order).alias("event"))
         .select("event.*")
+        .unionByName(untimed)
     )

@@ -99,25 +99,15 @@ def _steps() -> str:
     return ", ".join(f'cast({value} as bigint) as "{name}"' for name, value in steps.items())
 
 
+STEP_NAMES = (
+    "start connect select create_temp process csv s3 insert clean_csv tests replace_old drop_old make_snapshot"
+).split()
+
 RUNS = f"""
 stamped as (select *, epoch_us(ts) // 1000000 as s from events),
 runs as (select event_id as run_id, {_name('user_id')} as table_name, {_steps()} from stamped)"""
 
-STEP_LABELS = [
-    ("start", "Started"),
-    ("connect", "Connected to warehouse"),
-    ("select", "Selected rows"),
-    ("create_temp", "Created candidate table"),
-    ("process", "Processed selected rows"),
-    ("csv", "Exported processed rows to files"),
-    ("s3", "Uploaded processed rows"),
-    ("insert", "Loaded processed rows"),
-    ("clean_csv", "Removed files"),
-    ("tests", "Ran tests"),
-    ("replace_old", "Replaced old table"),
-    ("drop_old", "Dropped old table"),
-    ("make_snapshot", "Made snapshot"),
-]
+STEP_LABELS = [(name, name.replace("_", " ")) for name in STEP_NAMES]
 
 _STEP_ROWS = " union all ".join(
     f"""select run_id, table_name, {i} as step_no, '{name}' as step, '{label}' as label, "{name}" as "at"

@@ -62,7 +62,7 @@ def replan(
     definitions, _ = stage(load_definitions(files))
     edges, _ = stage(dependency_edges(definitions))
     if strict:
-        _refuse("cycles", graph.cycles(edges))
+        _refuse("cycles", graph.cyclic_core(edges))
     nodes = definitions.select(F.col("table_name").alias("node"), "interval")
     _refuse(
         "sources without an interval",
@@ -71,12 +71,10 @@ def replan(
 
     configured, _ = stage(table_configs(definitions, load_settings(files)))
     declared = load_ddl(files).withColumnRenamed("text", "ddl")
-    checked = configured.join(declared, "table_name", "left").withColumn(
-        "declared", F.coalesce("ddl", "query")
-    )
+    checked = configured.join(declared, "table_name", "left")
     _refuse(
         "unknown layout keys",
-        checks.unknown_layout_keys(checked, F.col("config"), text="declared"),
+        checks.unknown_layout_keys(checked, F.col("config"), declared=F.col("ddl")),
     )
 
     encoded = configured.withColumn("config", encode_config(F.col("config")))

@@ -151,7 +151,8 @@ def load_ddl(classified: DataFrame) -> DataFrame:
 def load_settings(classified: DataFrame) -> DataFrame:
     """``(scope, level, key, value)`` rows from the settings files.
 
-    The scope is empty for the whole folder, a schema, or a table name.
+    The scope is empty for the whole folder, a schema, or a table name.  Of a key that
+    a file sets twice, the last line counts.
     """
     path = F.regexp_replace("path", r"\.conf\z", "")
     name = F.regexp_extract(path, r"[^/]*\z", 0)
@@ -170,18 +171,15 @@ def load_settings(classified: DataFrame) -> DataFrame:
         .when((level == TABLE_INSIDE) & ~dotted, F.concat(folder, F.lit("."), name))
         .otherwise(name)
     )
-    line = F.explode(F.split("text", "\n"))
+    line = F.posexplode(F.split("text", "\n")).alias("place_in_file", "line")
     pair = r"\A\s*([^#;=\s][^=]*?)\s*=\s*(.*?)\s*\z"
     return (
         classified.where("kind = 'settings'")
-        .select(scope.alias("scope"), level.alias("level"), line.alias("line"))
+        .select("path", scope.alias("scope"), level.alias("level"), line)
         .where(F.rlike("line", F.lit(pair)))
-        .select(
-            "scope",
-            "level",
-            F.lower(F.regexp_extract("line", pair, 1)).alias("key"),
-            F.regexp_extract("line", pair, 2).alias("value"),
-        )
+        .groupBy("path", "scope", "level", F.lower(F.regexp_extract("line", pair, 1)).alias("key"))
+        .agg(F.max_by(F.regexp_extract("line", pair, 2), "place_in_file").alias("value"))
+        .select("scope", "level", "key", "value")
     )
 
 

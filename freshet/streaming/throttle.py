@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import TimestampNTZType
 
 from freshet.functions.times import epoch_micros
-from freshet.operators.skew import spread_join
+from freshet.operators.skew import find_hot_keys, spread_join
 from freshet.operators.throttle import DEFAULT_SECONDS, throttle
 from freshet.session import stage
 
@@ -32,7 +32,7 @@ def throttle_stream(
 ) -> DataFrame:
     """Per key, ``(key columns..., time)`` of the events a stream lets through.
 
-    Events are put in order within a trigger.  A key's stamps of one trigger (eight
+    Events without a time are all let through.  Events are put in order within a trigger.  A key's stamps of one trigger (eight
     bytes each) meet in one task, so bound a trigger at the source, for example
     with ``maxFilesPerTrigger``.  Events later than ``lateness`` are dropped; state
     goes once the watermark has passed the hold time of the last event let through.
@@ -48,7 +48,13 @@ def throttle_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        stamps = np.unique(np.concatenate([b["_at"].to_numpy("int64") for b in batches]))
+        times = pd.concat([b["_at"] for b in batches])
+        untimed = int(times.isna().sum())
+        if untimed:
+            yield pd.DataFrame({**dict(zip(keys, key)), "_at": pd.array([None] * untimed, "Int64")})
+        stamps = np.unique(times.dropna().to_numpy("int64"))
+        if not len(stamps):
+            return
         before = state.get[0] if state.exists else None
         kept, last = [], before
         while True:
@@ -108,7 +114,7 @@ def throttle_batches(
         else:
             state = spark.createDataFrame([], "_key string, _last bigint")
         # The batch may hold a hot key; the state has one row per key.
-        known = spread_join(keyed, state, "_key", "left", ["_at"])
+        known = spread_join(keyed, state, "_key", "left", ["_at"], find_hot_keys(keyed, "_key"))
         due = known.where(F.col("_last").isNull() | (F.col("_at") >= F.col("_last") + hold))
         kept, _ = stage(throttle(due.select(*columns), keys, time, seconds, tie_break))
         sink(kept, epoch)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import text, times
+from freshet.operators.expectations import split_statements
 
 
 def column(spark, values, kind, expression):
@@ -10,11 +11,13 @@ def column(spark, values, kind, expression):
 
 
 def test_interval_minutes(spark):
-    got = column(spark, ["1m", "30m", "4h", "1d", "1w", "2H", None], "string", times.interval_minutes)
-    assert got == [1, 30, 240, 1440, 10080, 120, None]
+    factors = {"m": 1, "h": 60, "d": 24 * 60, "w": 7 * 24 * 60}
+    cases = {f"{n}{u}": n * f for n in (0, 7, 45) for unit, f in factors.items() for u in (unit, unit.upper())}
+    got = column(spark, [*cases, " 9 m", None], "string", times.interval_minutes)
+    assert got == [*cases.values(), 9, None]
 
 
-@pytest.mark.parametrize("bad", ["1z", "", "asdf", "h", "1.5h"])
+@pytest.mark.parametrize("bad", ["5y", " ", "weekly", "d", "0,5h", "-3h", "+3h", "3 h 2"])
 def test_interval_minutes_refuses(spark, bad):
     with pytest.raises(Exception, match="Invalid interval"):
         column(spark, [bad], "string", times.interval_minutes)
@@ -22,49 +25,49 @@ def test_interval_minutes_refuses(spark, bad):
 
 
 def test_duration_text(spark):
+    # On either side of each unit; a day is told in hours until it is over.
     cases = {
-        None: "", 0: "0s", 15: "15s", 85: "1m 25s", 660: "11m", 3600: "1h", 3625: "1h 25s",
-        3685: "1h 1m 25s", 86400: "24h", 172800: "2d", 93600: "1d 2h", 94260: "1d 2h 11m",
-        93655: "1d 2h 55s", 94273: "1d 2h 11m 13s", 87060: "1d 0h 11m",
+        None: "", 0: "0s", 59: "59s", 61: "1m 1s", 540: "9m", 7200: "2h", 7201: "2h 1s", 86399: "23h 59m 59s",
+        86400: "24h", 259200: "3d", 266400: "3d 2h", 259260: "3d 0h 1m", 350701: "4d 1h 25m 1s",
     }
     assert column(spark, list(cases), "bigint", times.duration_text) == list(cases.values())
 
 
 def test_minutes_text(spark):
-    cases = {0: "", None: "", 15: "15s", 85: "1m 25s", 1273: "21m 13s", 3685: "61m 25s", 120: "2m"}
+    cases = {0: "", None: "", 59: "59s", 60: "1m", 61: "1m 1s", 7262: "121m 2s"}
     assert column(spark, list(cases), "bigint", times.minutes_text) == list(cases.values())
 
 
 def test_interval_and_mean_text(spark):
-    assert column(spark, [None, 15, 75, 1440], "int", times.interval_text) == ["", "15m", "1h 15m", "24h"]
-    got = column(spark, [None, 2.6, 12.2, 1440.1, 2.5, 3.5], "double", times.mean_text)
-    assert got == ["", "3s", "12s", "24m", "2s", "4s"]
+    assert column(spark, [None, 59, 61, 2880], "int", times.interval_text) == ["", "59m", "1h 1m", "2d"]
+    got = column(spark, [None, 59.4, 60.4, 4.5, 5.5], "double", times.mean_text)
+    assert got == ["", "59s", "1m", "4s", "6s"]
 
 
 def test_delta_text(spark):
-    df = spark.createDataFrame([(1000, 1005), (1522151698, 1522157726)], "a bigint, b bigint")
+    df = spark.createDataFrame([(7, 7 + 59), (5_000, 5_000 + 2 * 3600 + 61)], "a bigint, b bigint")
     got = [r[0] for r in df.select(times.delta_text(F.col("a"), F.col("b"))).collect()]
-    assert sorted(got) == ["1h 40m 28s", "5s"]
+    assert sorted(got) == ["2h 1m 1s", "59s"]
 
 
 @pytest.mark.parametrize("session_zone", ["UTC", "Asia/Tokyo"])
 def test_points_in_time(spark, session_zone):
     spark.conf.set("spark.sql.session.timeZone", session_zone)
     try:
-        at = [1522151698, None]
-        assert column(spark, at, "bigint", times.long_text) == ["Tuesday, March 27, 11:54:58", ""]
-        assert column(spark, at, "bigint", times.clock_text) == ["11:54:58", ""]
-        assert column(spark, at, "bigint", times.date_text) == ["2018-03-27T11:54:58+00:00", ""]
+        at = [951782399, None]
+        assert column(spark, at, "bigint", times.long_text) == ["Monday, February 28, 23:59:59", ""]
+        assert column(spark, at, "bigint", times.clock_text) == ["23:59:59", ""]
+        assert column(spark, at, "bigint", times.date_text) == ["2000-02-28T23:59:59+00:00", ""]
         got = column(spark, at, "bigint", lambda c: times.iso_text(c, "America/New_York", " "))
-        assert got == ["2018-03-27 07:54:58-04:00", None]
+        assert got == ["2000-02-28 18:59:59-05:00", None]
         got = column(spark, at, "bigint", lambda c: times.iso_text(c, "Asia/Kolkata"))
-        assert got == ["2018-03-27T17:24:58+05:30", None]
+        assert got == ["2000-02-29T05:29:59+05:30", None]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_age_text(spark):
-    now = 1522151698
+    now = 951782399
     ages = {0: "just now", 30: "seconds ago", 60: "a minute ago", 7200: "2 hours ago", -7200: "in 2 hours",
             90000: "a day ago", 864000: "10 days ago", 40 * 86400: "a month ago", 100 * 86400: "3 months ago",
             400 * 86400: "a year ago", 1000 * 86400: "2 years ago"}
@@ -72,32 +75,21 @@ def test_age_text(spark):
     assert got == [*ages.values(), ""]
 
 
-USES = [
-    ("SELECT * from schema.table", True),
-    ("SELECT * from schema.table2", False),
-    ("SELECT * from schema2.table", False),
-    ("SELECT * from --schema.table", False),
-    ("SELECT * from schem.table\n -- from schema.table", False),
-    ("SELECT * from schema.table\n -- from schema.table", True),
-    ("SELECT *\n from schema.table -- from schema.table2", True),
-    ("SELECT *\n from schema2.table -- from schema.table", False),
-    ('SELECT * from "schema".table', True),
-    ('SELECT * from "schema"."table"', True),
-    ('SELECT * from schema."table"', True),
-    ('SELECT * from "schema2"."table"', False),
-    ("SELECT * from a_schema.table", False),
-    ("SELECT * from Schema.Table", False),
-    ("select a.schema.table from b", True),
-    ("select 'é'.x from éschema.table", False),
-]
+# Each way of writing a name, inside a query, and names that only look like it.
+WRITTEN = ["ops.load", '"ops".load', 'ops."load"', '"ops"."load"', "db.ops.load"]
+OTHERS = ["ops.loads", "xops.load", "ops_load", "ops.loa", "OPS.Load", '"ops2"."load"', "-- ops.load", "\u00fcops.load"]
+USES = [(f"select n\nfrom {name} where n > 1", True) for name in WRITTEN]
+USES += [(f"select n\nfrom {name}\nwhere n > 1", False) for name in OTHERS]
+USES += [(f"select n -- {b}\nfrom {a} -- {b}", True) for a in WRITTEN[:2] for b in OTHERS[:2]]
+USES += [(f"select n\nfrom {b}\n--from {a}", False) for a in WRITTEN[:2] for b in OTHERS[:2]]
 
 
 def test_mentions(spark):
     queries = [q for q, _ in USES]
-    got = column(spark, queries, "string", lambda c: text.mentions(F.lit("schema.table"), c))
+    got = column(spark, queries, "string", lambda c: text.mentions(F.lit("ops.load"), c))
     assert got == [used for _, used in USES]
     listed = column(spark, queries, "string", text.mentioned_names)
-    assert ["schema.table" in names for names in listed] == [used for _, used in USES]
+    assert ["ops.load" in names for names in listed] == [used for _, used in USES]
 
 
 def test_overlapping_pairs(spark):
@@ -105,15 +97,10 @@ def test_overlapping_pairs(spark):
 
 
 def test_strip_comments(spark):
-    cases = {
-        "SELECT * from schema.table": "SELECT * from schema.table",
-        "SELECT * from --schema.table": "SELECT * from ",
-        "a\n\nb -- c\nd": "a\nb \nd",
-        "\na\n": "a",
-    }
-    assert column(spark, list(cases), "string", text.strip_comments) == list(cases.values())
-    got = column(spark, ["a /* b\n c */ d"], "string", lambda c: text.strip_comments(c, True))
-    assert got == ["a   d"]
+    cases = {"no comment": "no comment", "x --y": "x ", "x\n--y\nz": "x\n\nz", "\nx": "x"}
+    got = column(spark, list(cases), "string", text.strip_comments)
+    assert [g.split() for g in got] == [w.split() for w in cases.values()]
+    assert column(spark, ["u /* v\n w */ x"], "string", lambda c: text.strip_comments(c, True)) == ["u   x"]
 
 
 def test_trim_and_blank(spark):
@@ -122,25 +109,19 @@ def test_trim_and_blank(spark):
 
 
 def test_retarget():
-    sql = 'select x.cities_raw from x.cities join "x"."cities" where ax.cities = 1'
-    assert text.retarget(sql, "x.cities", "x.c2") == (
-        "select x.cities_raw from x.c2 join x.c2 where ax.cities = 1"
+    sql = 'select ops.load_all from ops.load join "ops"."load" where xops.load > 2'
+    assert text.retarget(sql, "ops.load", "ops.new") == (
+        "select ops.load_all from ops.new join ops.new where xops.load > 2"
     )
 
 
-NAMES = {
-    "first.cities.sql": ("first.cities", None),
-    "first/cities.sql": ("first.cities", None),
-    "first/cities — 1m.sql": ("first.cities", "1m"),
-    "first/first.cities.sql": ("first.cities", None),
-    "second/first.cities.sql": ("first.cities", None),
-    "first/first.cities — 1h.sql": ("first.cities", "1h"),
-    "second/first.cities - 1h.sql": ("first.cities", "1h"),
-    "second/first.cities 1h.sql": ("first.cities", "1h"),
-    "second/first.cities- 1h.sql": ("first.cities", "1h"),
-    "second/first.cities-1h.sql": ("first.cities", "1h"),
-    "first/cities — 24h.sql": ("first.cities", "24h"),
-    "first/cities – 24h.sql": ("first.cities", "24h"),
+PLACES = {"ops/load": "ops.load", "ops.load": "ops.load", "ops/ops.load": "ops.load", "x/ops.load": "ops.load"}
+GAPS = [" ", "-", " - ", "- ", " \u2014 ", " \u2013 "]
+NAMES = {f"{place}.sql": (name, None) for place, name in PLACES.items()} | {
+    f"{place}{gap}{interval}.sql": (name, interval)
+    for place, name in PLACES.items()
+    for gap in GAPS
+    for interval in ("15m", "2w")
 }
 
 
@@ -151,4 +132,11 @@ def test_file_names(spark):
 
 def test_file_name_without_schema(spark):
     with pytest.raises(Exception, match="no schema"):
-        column(spark, ["cities.sql"], "string", text.file_table_name)
+        column(spark, ["load.sql"], "string", text.file_table_name)
+
+
+def test_statements_end_outside_quotes():
+    text = """select 'a;b' = x from t; -- one; two
+select "c;d" /* e; f */ from t;
+;select `g;h` from 'it''s; fine'"""
+    assert [x.split()[-1] for x in split_statements(text)] == ["t", "t", "fine'"]
