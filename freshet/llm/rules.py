@@ -159,7 +159,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
     """
     sample = with_stats(labelled_sample(docs, labels, "quality", sample_rows), "s")
     sample = sample.where(~base_failed(F.col("s"))).select("_id", "s", F.col("_y").alias("y"))
-    stored, _ = stage(sample.coalesce(4))
+    # A few small files, without holding back the scan.
+    stored, _ = stage(sample.repartition(4))
     return learn_rules(stored)
 
 
