@@ -48,7 +48,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-# Learned verdicts and tokenizers are beyond SQL; tests/llm holds the run against brute force.
+# Learned verdicts and tokenizers are beyond SQL; tests/llm tests the operators of the stages.
 ORACLE_SQL = None
 
 
