@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline against plain versions, on ordinary and odd tables."""
+"""The ten queries against plain versions, on ordinary and odd tables."""
 
 import math
 import re
