@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,29 +23,38 @@ def by_name(df):
     return {r.table_name: r for r in df.collect()}
 
 
-def four(spark, **changes):
+# Five tables of a shop; margins is built whenever weekly is.
+SHOP = {
+    "report.margins": ("select day, price from shop.sales", None),
+    "report.shortage": ("select * from shop.stock where pieces < 5", 120),
+    "report.weekly": ("select max(price) as best from report.margins", 10080),
+    "shop.sales": ("select day, price from shop.receipts", 45),
+    "shop.stock": ("select item, pieces from shop.movements", 4320),
+}
+
+
+def shop(spark, **changes):
     rows = [
-        {"table_name": "first.cities", "query": "select city from first.raw", "interval": 1440},
-        {"table_name": "first.countries", "query": "select 1", "interval": 60},
-        {"table_name": "second.child", "query": "select city from first.cities"},
-        {"table_name": "second.parent", "query": "select * from second.child", "interval": 24},
+        {"table_name": n, "query": q, "interval": m, "mean": 0.0, "times_run": 0, **changes.get(n, {})}
+        for n, (q, m) in SHOP.items()
     ]
-    return catalog_of(spark, [{**r, "mean": 0.0, "times_run": 0, **changes.get(r["table_name"], {})} for r in rows])
+    return catalog_of(spark, rows)
 
 
 def test_running_mean_by_batches(spark):
-    catalog = four(spark)
-    for start, duration, mean in ((10, 127, 127), (20, 367, 247), (30, 406, 300)):
+    catalog = shop(spark)
+    durations = [12, 30, 3, 55]
+    for n, duration in enumerate(durations, 1):
         built = spark.createDataFrame(
-            [("first.cities", start, duration)], "table_name string, start bigint, duration bigint"
+            [("shop.stock", 100 * n, duration)], "table_name string, start bigint, duration bigint"
         )
         catalog = catalogs.record_builds(
             catalogs.set_flag(catalog, "started", 5, built.select("table_name")), built
         )
-        row = by_name(catalog)["first.cities"]
-        assert (row.mean, row.last_created, row.started, row.force, row.waiting) == (mean, start, None, None, None)
-    assert row.times_run == 3
-    assert by_name(catalog)["first.countries"].times_run == 0
+        row = by_name(catalog)["shop.stock"]
+        assert (row.mean, row.times_run, row.last_created) == (sum(durations[:n]) / n, n, 100 * n)
+        assert (row.started, row.force, row.waiting) == (None, None, None)
+    assert by_name(catalog)["shop.sales"].times_run == 0
 
 
 def test_running_mean_without_earlier_mean(spark):
@@ -54,33 +65,36 @@ def test_running_mean_without_earlier_mean(spark):
 
 
 def test_flags(spark):
-    one = spark.createDataFrame([("first.cities",), ("non.existent",)], "table_name string")
-    catalog = catalogs.mark_waiting(four(spark), one, NOW)
-    assert {n: r.waiting for n, r in by_name(catalog).items() if r.waiting} == {"first.cities": NOW}
-    catalog = catalogs.clear_waiting(catalog, one)
-    assert by_name(catalog)["first.cities"].waiting == 0
-    catalog = catalogs.set_flag(catalogs.set_flag(catalog, "started", 9, one), "started", None)
+    names = spark.createDataFrame([("shop.stock",), ("shop.unknown",)], "table_name string")
+    catalog = catalogs.mark_waiting(shop(spark), names, NOW)
+    assert {n: r.waiting for n, r in by_name(catalog).items() if r.waiting} == {"shop.stock": NOW}
+    catalog = catalogs.clear_waiting(catalog, names)
+    assert by_name(catalog)["shop.stock"].waiting == 0
+    catalog = catalogs.set_flag(catalogs.set_flag(catalog, "started", 9, names), "started", None)
     assert {r.started for r in catalog.collect()} == {None}
 
 
 def test_queue(spark):
     def queue(**changes):
-        return [r.table_name for r in refresh.refresh_queue(four(spark, **changes), NOW).collect()]
-
-    fresh = {n: {"last_created": NOW} for n in ("first.cities", "first.countries", "second.child", "second.parent")}
-    assert len(queue()) == 4
-    assert queue(**{**fresh, "first.cities": {}}) == ["first.cities"]
-    assert queue(**fresh) == []
-    week_old = {"last_created": NOW - 7 * 86400}
-    old = {**fresh, "second.child": week_old, "second.parent": week_old}
-    assert queue(**old) == ["second.parent"]
-    forced = {**old, "first.cities": {"last_created": NOW, "force": 1}}
-    assert queue(**forced) == ["first.cities", "second.parent"]
-    gone = {**old, "first.cities": {"force": 1, "deleted": 1522151835}}
-    assert queue(**gone) == ["second.parent"]
-    # Whole minutes count: 24 minutes and 59 seconds are not more than 24.
-    for seconds, due in ((24 * 60 + 59, []), (25 * 60, ["second.parent"])):
-        assert queue(**{**fresh, "second.parent": {"last_created": NOW - seconds}}) == due
+        ages = {n: {"last_created": NOW} for n in SHOP}
+        made = shop(spark, **{n: {**ages[n], **changes.get(n, {})} for n in SHOP})
+        return [r.table_name for r in refresh.refresh_queue(made, NOW).collect()]
+
+    def aged(seconds):
+        return {"last_created": NOW - seconds}
+
+    assert queue() == []
+    assert queue(**{n: {"last_created": None} for n in SHOP}) == sorted(SHOP)
+    assert queue(**{"report.shortage": {"last_created": None}}) == ["report.shortage"]
+    # Age does not count without an interval, and counts in whole minutes with one.
+    assert queue(**{"report.margins": aged(10**7)}) == []
+    for name, (_, minutes) in SHOP.items():
+        if minutes:
+            assert queue(**{name: aged(60 * minutes + 59)}) == []
+            assert queue(**{name: aged(60 * minutes + 60)}) == [name]
+    due = {"report.shortage": aged(10**7), "shop.sales": aged(10**7)}
+    assert queue(**due, **{"shop.stock": {"force": 1}}) == ["shop.stock", "report.shortage", "shop.sales"]
+    assert queue(**due, **{"shop.stock": {"force": 1, "deleted": NOW - 1}}) == ["report.shortage", "shop.sales"]
 
 
 @pytest.mark.parametrize(
@@ -163,43 +177,40 @@ def test_plan_ends_on_a_cycle(spark):
 
 
 def test_diff_of_equal_sets_is_unchanged(spark):
-    catalog = four(spark)
+    catalog = shop(spark)
     statuses = catalogs.definition_diff(catalog, catalog.select("table_name", "query", "interval", "config"))
-    assert {r.status for r in statuses.collect()} == {"unchanged"}
+    assert {r.table_name: r.status for r in statuses.collect()} == dict.fromkeys(SHOP, "unchanged")
 
 
 def test_diff_and_apply(spark):
-    catalog = four(
+    catalog = shop(
         spark,
         **{
-            "first.cities": {"started": 3, "waiting": 4, "force": 1},
-            "first.countries": {"deleted": 77},
-            "second.parent": {"deleted": 88},
+            "report.shortage": {"deleted": 41},
+            "report.weekly": {"deleted": 17},
+            "shop.stock": {"started": 8, "waiting": 9, "force": 1},
         },
     )
+    kept = [(n, *SHOP[n], None) for n in ("report.margins", "report.weekly")]
     new = spark.createDataFrame(
-        [
-            ("second.child", "select city from first.cities", 5, None),
-            ("second.parent", "select * from second.child", 24, None),
-            ("third.new", "select", 40, None),
-        ],
+        [*kept, ("shop.sales", "select day from shop.receipts", 45, None), ("shop.returns", "select 1", 30, None)],
         "table_name string, query string, interval int, config string",
     )
     diff = {r.table_name: r.status for r in catalogs.definition_diff(catalog, new).collect()}
     assert diff == {
-        "first.cities": "deleted", "first.countries": "gone", "second.child": "updated",
-        "second.parent": "revived", "third.new": "new",
+        "report.margins": "unchanged", "report.shortage": "gone", "report.weekly": "revived",
+        "shop.returns": "new", "shop.sales": "updated", "shop.stock": "deleted",
     }
     after = by_name(catalogs.apply_definitions(catalog, new, NOW))
-    cities = after["first.cities"]
-    assert (cities.deleted, cities.started, cities.waiting, cities.force) == (NOW, None, None, None)
-    assert after["first.countries"].deleted == 77
-    assert (after["second.child"].force, after["second.child"].interval) == (1, 5)
-    assert (after["second.parent"].force, after["second.parent"].deleted) == (1, None)
-    new_row = after["third.new"]
-    assert (new_row.mean, new_row.times_run, new_row.force, new_row.last_created) == (0.0, 0, 1, None)
+    stock = after["shop.stock"]
+    assert (stock.deleted, stock.started, stock.waiting, stock.force) == (NOW, None, None, None)
+    assert after["report.shortage"].deleted == 41 and after["report.margins"].force is None
+    assert (after["shop.sales"].force, after["shop.sales"].query) == (1, "select day from shop.receipts")
+    assert (after["report.weekly"].force, after["report.weekly"].deleted) == (1, None)
+    returns = after["shop.returns"]
+    assert (returns.mean, returns.times_run, returns.force, returns.last_created) == (0.0, 0, 1, None)
     notice = catalogs.change_notice(catalogs.definition_diff(catalog, new))
-    assert sorted(r.notice for r in notice.collect()) == ["New tables: third.new.", "Updated tables: second.child."]
+    assert sorted(r.notice for r in notice.collect()) == ["New tables: shop.returns.", "Updated tables: shop.sales."]
 
 
 def test_long_lists_are_parted_and_whole(spark):
@@ -210,49 +221,56 @@ def test_long_lists_are_parted_and_whole(spark):
 
 
 def test_listing_keeps_recent_deletions(spark):
-    day = 86400
-    catalog = four(
+    week = 7 * 86400
+    catalog = shop(
         spark,
         **{
-            "first.cities": {"deleted": NOW - 7 * day, "last_created": 9},
-            "first.countries": {"deleted": NOW - 7 * day + 1, "last_created": 5},
-            "second.child": {"deleted": 0, "last_created": 7},
+            "report.margins": {"last_created": 60},
+            "report.weekly": {"deleted": NOW - week + 1, "last_created": 50},
+            "shop.sales": {"deleted": 0, "last_created": 70},
+            "shop.stock": {"deleted": NOW - week, "last_created": 80},
         },
     )
     got = [r.table_name for r in catalogs.catalog_listing(catalog, NOW).collect()]
-    assert got == ["second.child", "first.countries", "second.parent"]
+    assert got == ["shop.sales", "report.margins", "report.weekly", "report.shortage"]
 
 
 def test_lookup(spark):
-    assert find_definition(four(spark), "first.cities").interval == 1440
+    assert find_definition(shop(spark), "shop.stock").interval == 4320
     with pytest.raises(LookupError):
-        find_definition(four(spark), "non.existent")
-
-
-def grants(spark, *layers):
-    rows = [("a.b", level, value) for level, value in layers]
+        find_definition(shop(spark), "shop.unknown")
+
+
+GRANTS = ["ana", "bo, cy", "di, ana ", "+di", "-bo", "+bo, -cy", "ana, +cy", "+di, -di", "-ana,-bo", "null", "", None]
+
+
+def folded(layers):
+    """The rule for grants, layer by layer, on a set of names."""
+    held = set()
+    for _, value in sorted(layers):
+        names = [x.strip() for x in (value or "").split(",") if x.strip()]
+        if names == ["null"]:
+            held = set()
+        elif any(x[0] in "+-" for x in names):
+            held |= {x[1:] for x in names if x[0] == "+"}
+            held -= {x[1:] for x in names if x[0] == "-"}
+        elif names:
+            held = set(names)
+    return ", ".join(sorted(held))
+
+
+def test_grants(spark):
+    """Every pair of values, and random values in all four layers, in any order."""
+    pick = random.Random(7)
+    cases = [[(0, x), (3, y)] for x in GRANTS for y in GRANTS]
+    cases += [list(enumerate(pick.choices(GRANTS, k=4))) for _ in range(150)]
+    rows = [(f"t.t{i}", level, value) for i, layers in enumerate(cases) for level, value in layers]
+    pick.shuffle(rows)
     df = spark.createDataFrame(rows, "table_name string, level int, value string")
-    return settings.effective_grants(df).select(settings.grant_text(F.col("grantees"))).first()[0]
-
-
-@pytest.mark.parametrize(
-    "layers, expected",
-    [
-        ([(0, "Jane"), (1, "Tegan, Sara"), (3, "+Kendrick")], "Kendrick, Sara, Tegan"),
-        ([(0, "Jane"), (1, "Tegan, Sara"), (3, "-Sara")], "Tegan"),
-        ([(0, "Jane"), (1, "Tegan, Sara"), (3, "-Valerie")], "Sara, Tegan"),
-        ([(0, "Jane"), (3, "+Kendrick")], "Jane, Kendrick"),
-        ([(3, "+Kendrick"), (0, None)], "Kendrick"),
-        ([(1, "jane, john"), (3, "-jane, +joan")], "joan, john"),
-        ([(1, "jane"), (3, "joe, +ann")], "ann, jane"),
-        ([(1, "jane"), (3, "null")], ""),
-        ([(1, "jane"), (3, "")], "jane"),
-        ([(1, "jane"), (3, "+x, -x")], "jane"),
-    ],
-)
-def test_grants(spark, layers, expected):
-    assert grants(spark, *layers) == expected
-    assert grants(spark, *reversed(layers)) == expected
+    made = settings.effective_grants(df).select("table_name", settings.grant_text(F.col("grantees")).alias("names"))
+    got = {r.table_name: r["names"] for r in made.collect()}
+    for i, layers in enumerate(cases):
+        assert (got.get(f"t.t{i}") or "") == folded(layers), layers
 
 
 def test_settings_layers(spark):
@@ -264,84 +282,91 @@ def test_settings_layers(spark):
     assert got == {("a.b", "diststyle"): None, ("a.b", "sortkey"): "x", ("a.c", "sortkey"): None}
 
 
-RUNS = [
-    ("first.cities", 1522151698, 1522151699, 1522151773, 1522151783, None, 1522151793, None, None, None,
-     1522151799, 1522151825, 1522151825, None, 1522151825),
-    ("first.cities", 1522151835, 1522151849, 1522152053, 1522152063, None, 1522152073, None, None, None,
-     1522152155, 1522152202, 1522152202, None, 1522152202),
-    ("first.cities", 1523544406, *[None] * 13),
+# A Friday, 05:20:00 UTC.
+T0 = 1_650_000_000
+
+
+def run_of(name, start, **seconds):
+    """A row of the log: each step so many seconds after the one before; without steps it still runs."""
+    at, row = start, {"table_name": name, "start": start}
+    for step, more in seconds.items():
+        at += more
+        row[step] = row["finish"] = at
+    return tuple(row.get(c) for c in ("table_name", *runlog.STEP_COLUMNS))
+
+
+LOG = [
+    run_of("shop.sales", T0, select=30, insert=10),
+    run_of("shop.stock", T0 + 100, connect=5, process=3600),
+    run_of("shop.sales", T0 + 3600, create_temp=15, insert=5),
+    run_of("shop.sales", T0 + 7200),
 ]
 
 
 @pytest.fixture
 def runs(spark):
-    return spark.createDataFrame(RUNS, runlog.RUN_SCHEMA)
+    return spark.createDataFrame(LOG, runlog.RUN_SCHEMA)
 
 
 def test_overview(spark, runs):
-    stats = runlog.overview_stats(runs, NOW, 1_000_000).first()
-    assert (stats.tables, stats.updates, stats.load) == (1, 2, round(100 * 494 / 3.6e9, 2))
+    """40, 3605 and 20 seconds of work, the last two finished within the hour."""
+    assert tuple(runlog.overview_stats(runs, T0 + 7200, 3).first()) == (2, 3, round(100 * 3665 / 10800, 2))
+    assert tuple(runlog.overview_stats(runs, T0 + 7200, 1).first()) == (2, 2, round(100 * 3625 / 3600, 2))
     assert tuple(runlog.overview_stats(runs, NOW, 1).first()) == (0, 0, None)
 
 
 def test_details_and_jobs(spark, runs):
-    details = runlog.table_details(four(spark), runs, "first.cities").collect()
-    assert [r.start for r in details] == [1522151835, 1522151698, 1523544406]
-    assert details[0].interval == 1440
-    assert runlog.table_details(four(spark), runs, "first.cities", 1).count() == 1
-    assert [r.start for r in runlog.table_details(four(spark), runs, "second.child").collect()] == [None]
-    assert runlog.table_details(four(spark), runs, "non-existent").count() == 0
-    assert runlog.jobs(runs, four(spark), 0, NOW).count() == 3
-    assert runlog.jobs(runs, four(spark), 0, 1522151000).count() == 0
-    running = four(spark, **{"second.child": {"started": 5}, "first.cities": {"started": 6, "deleted": 7}})
-    assert [r.table_name for r in runlog.jobs(runs, running, 0, 1).collect()] == ["second.child"]
-    texts = {tuple(r) for r in runlog.job_texts(runlog.jobs(runs, four(spark), 0, NOW)).collect()}
-    assert ("first.cities", "2018-03-27T11:54:58+00:00", "2018-03-27T11:57:05+00:00") in texts
+    details = runlog.table_details(shop(spark), runs, "shop.sales").collect()
+    assert [(r.start - T0, r.interval) for r in details] == [(3600, 45), (0, 45), (7200, 45)]
+    assert runlog.table_details(shop(spark), runs, "shop.sales", 2).count() == 2
+    assert [r.start for r in runlog.table_details(shop(spark), runs, "report.weekly").collect()] == [None]
+    assert runlog.table_details(shop(spark), runs, "shop.unknown").count() == 0
+    assert runlog.jobs(runs, shop(spark), 0, NOW).count() == len(LOG)
+    assert runlog.jobs(runs, shop(spark), 0, T0 - 1).count() == 0
+    running = shop(spark, **{"report.margins": {"started": 6}, "shop.stock": {"started": 7, "deleted": 8}})
+    assert [r.table_name for r in runlog.jobs(runs, running, 0, 1).collect()] == ["report.margins"]
+    texts = {tuple(r) for r in runlog.job_texts(runlog.jobs(runs, shop(spark), 0, NOW)).collect()}
+    assert ("shop.sales", "2022-04-15T05:20:00+00:00", "2022-04-15T05:20:40+00:00") in texts
 
 
 def test_step_lines(spark):
-    run = ("s.t", 1522151698, 1522151699, 1522151773, 1522151783, None, 1522151793, None, None, None,
-           1522151799, 1522151825, 1522151865, 1522151872, 1522151872)
+    run = run_of("report.weekly", T0, connect=3, select=59, process=61, insert=1, replace_old=20)
     df = spark.createDataFrame([run], runlog.RUN_SCHEMA)
     lines = runlog.step_texts(runlog.step_durations(df, ["table_name"])).orderBy("step_no")
     assert [r.line for r in lines.collect()] == [
-        "Tuesday, March 27, 11:54:58",
-        "11:54:59: connect (1s)",
-        "11:56:13: select (1m 14s)",
-        "11:56:23: create temp (10s)",
-        "11:56:33: csv (10s)",
-        "11:56:39: tests (6s)",
-        "11:57:05: replace old (26s)",
-        "11:57:45: drop old (40s)",
-        "11:57:52: make snapshot (7s)",
+        "Friday, April 15, 05:20:00",
+        "05:20:03: connect (3s)",
+        "05:21:02: select (59s)",
+        "05:22:03: process (1m 1s)",
+        "05:22:04: insert (1s)",
+        "05:22:24: replace old (20s)",
     ]
     series = runlog.duration_series(df, ["table_name"]).first()
-    assert (series.date, series.duration) == ("2018-03-27 11:54:58+00:00", 174)
+    assert (series.date, series.duration) == ("2022-04-15 05:20:00+00:00", 144)
     empty = df.withColumn("start", F.lit(None).cast("bigint"))
     assert runlog.duration_series(empty, ["table_name"]).count() == 0
 
 
 def test_running_means_over_slices(spark, runs):
-    more = spark.createDataFrame([("first.cities", 1522152300, *[None] * 12, 1522152706)], runlog.RUN_SCHEMA)
-    for slice_seconds in (60, 86400):
-        means = runlog.running_means(runs.unionByName(more), slice_seconds).orderBy("start")
-        assert [(r.mean, r.times_run) for r in means.collect()] == [(127, 1), (247, 2), (300, 3)]
-    stats = runlog.table_stats(runs.unionByName(more)).first()
-    assert (stats.mean, stats.times_run, stats.last_created) == (300, 3, 1522152300)
+    more = spark.createDataFrame([run_of("shop.sales", T0 + 9000, select=90)], runlog.RUN_SCHEMA)
+    log = runs.unionByName(more)
+    for slice_seconds in (60, 5000, 86400):
+        means = runlog.running_means(log, slice_seconds).where("table_name = 'shop.sales'").orderBy("start")
+        assert [(r.mean, r.times_run) for r in means.collect()] == [(40, 1), (30, 2), (50, 3)]
+    stats = {r.table_name: (r.mean, r.times_run, r.last_created) for r in runlog.table_stats(log).collect()}
+    assert stats == {"shop.sales": (50, 3, T0 + 9000), "shop.stock": (3605, 1, T0 + 100)}
 
 
 def test_latest_runs(spark, runs):
-    got = runlog.latest_runs(four(spark), runs, 1).collect()
-    assert {(r.table_name, r.start, r.rank) for r in got} == {
-        ("first.cities", 1522151835, 1), ("first.countries", None, None),
-        ("second.child", None, None), ("second.parent", None, None),
-    }
+    got = runlog.latest_runs(shop(spark), runs, 1).collect()
+    starts = {"shop.sales": T0 + 3600, "shop.stock": T0 + 100}
+    assert {(r.table_name, r.start, r.rank) for r in got} == {(n, starts.get(n), 1 if n in starts else None) for n in SHOP}
 
 
 def test_log_append(spark, schema, runs):
     runlog.append_runs(runs, f"{schema}.log")
     runlog.append_runs(runs.limit(1), f"{schema}.log")
-    assert spark.table(f"{schema}.log").count() == 4
-    assert runlog.finish_time({"insert": 5, "drop_old": 9}) == 9
-    assert runlog.finish_time({"insert": 5, "drop_old": None}) == 5
-    assert runlog.finish_time({"start": 5}) is None
+    assert spark.table(f"{schema}.log").count() == len(LOG) + 1
+    assert runlog.finish_time({"select": 1, "insert": 2, "drop_old": 3}) == 3
+    assert runlog.finish_time({"insert": 2, "drop_old": None}) == 2
+    assert runlog.finish_time({"connect": 1}) is None

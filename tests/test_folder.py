@@ -12,24 +12,23 @@ from freshet.sources import definitions as folder
 NOW = 1_700_000_000
 
 FILES = {
-    "first/cities — 24h.sql": "select city, country\n  from first.cities_raw\n",
-    "first/countries — 1h.sql": "CREATE TABLE first.countries(\nCountry text encode zstd,\ncontinent varchar(20)\n)\n",
-    "first/countries_select.sql": "select country, continent\nfrom first.countries_raw;\n",
-    "first/countries.py": "pass\n",
-    "first/countries_requirements.txt": "idna==2.8\n",
-    "first/cities_test.sql": "select (city = 'Paris') as capital_of_france\nfrom first.cities\nwhere country = 'France';\n",
-    "first.countries_test.sql": "select true as ok\n",
-    "first.countries_detailed - 2h.sql": "select * from first.countries",
-    "first/countries_detailed_test.sql": "select true as ok",
-    "second/child.sql": "\tselect city, country from first.cities  ",
-    "second.parent 24m.sql": "select * from second.child limit 10",
-    "global.conf": "# all tables\nsnapshots_interval = 24h\n",
-    "first.conf": "grant_select=jane, john",
-    "first.countries.conf": "grant_select=-jane, +joan",
-    "second.conf": "diststyle=even",
-    "second/child.conf": "distkey=city\ndiststyle=all\nsnapshots_interval=null\n",
-    "requirements.txt": "for the whole folder",
-    "notes.md": "not a definition",
+    "global.conf": "snapshots_stored_for = 30d\n\n# a month\n",
+    "report.conf": "grant_select=ana, bo\ndiststyle=all",
+    "report.shortage 2h.sql": "select * from shop.stock where pieces < 5",
+    "report/margins.sql": "  select day, price from shop.sales\t",
+    "report/weekly.conf": "diststyle=null\ngrant_select=+cy, -bo\n",
+    "report/weekly — 7d.sql": "select max(price) as best from report.margins",
+    "report/weekly_test.sql": "select best > 0 as sold from report.weekly",
+    "requirements.txt": "numpy\n",
+    "shop.sales.conf": "sortkey=day",
+    "shop.sales_test.sql": "select count(*) > 0 as any_row from shop.sales\n",
+    "shop/sales - 45m.sql": "select day, sum(price) as price\n    from shop.receipts\ngroup by day\n",
+    "shop/stock — 3d.sql": "create table shop.stock (\nItem varchar(40) encode lzo,\npieces bigint\n)",
+    "shop/stock.py": "import numpy\n",
+    "shop/stock_requirements.txt": "numpy>1\n",
+    "shop/stock_select.sql": "\tselect item, delta from shop.movements;",
+    "shop/stock_test.sql": "select min(pieces) >= 0 as never_below_zero from shop.stock",
+    "todo.md": "no definition",
 }
 
 
@@ -52,35 +51,36 @@ def classified(spark, root):
 
 def test_scan(spark, root):
     found = {r.path: r.text for r in folder.scan_folder(spark, root).collect()}
-    assert set(found) == set(FILES) - {"notes.md"}
-    assert found["first/cities — 24h.sql"] == "select city, country\nfrom first.cities_raw"
-    assert found["second/child.sql"] == "select city, country from first.cities"
+    assert set(found) == set(FILES) - {"todo.md"}
+    assert found["shop/sales - 45m.sql"] == "select day, sum(price) as price\nfrom shop.receipts\ngroup by day"
+    assert found["report/margins.sql"] == "select day, price from shop.sales"
 
 
 def test_kinds(classified):
     kinds = {r.path: (r.kind, r.table_name, r.interval) for r in classified.collect()}
-    assert kinds["first/cities — 24h.sql"] == ("query", "first.cities", "24h")
-    assert kinds["first/countries — 1h.sql"] == ("ddl", "first.countries", "1h")
-    assert kinds["first/countries_select.sql"] == ("select", "first.countries", None)
-    assert kinds["first/countries.py"] == ("processor", "first.countries", None)
-    assert kinds["first/countries_requirements.txt"] == ("requirements", "first.countries", None)
-    assert kinds["first/cities_test.sql"] == ("test", "first.cities", None)
-    assert kinds["second.parent 24m.sql"] == ("query", "second.parent", "24m")
-    assert kinds["second.conf"] == ("settings", None, None)
+    assert kinds["report.shortage 2h.sql"] == ("query", "report.shortage", "2h")
+    assert kinds["report/weekly — 7d.sql"] == ("query", "report.weekly", "7d")
+    assert kinds["report/margins.sql"] == ("query", "report.margins", None)
+    assert kinds["shop/sales - 45m.sql"] == ("query", "shop.sales", "45m")
+    assert kinds["shop/stock — 3d.sql"] == ("ddl", "shop.stock", "3d")
+    for ending, kind in (("_select.sql", "select"), (".py", "processor"), ("_requirements.txt", "requirements"), ("_test.sql", "test")):
+        assert kinds[f"shop/stock{ending}"] == (kind, "shop.stock", None)
+    assert kinds["shop.sales_test.sql"] == ("test", "shop.sales", None)
+    assert kinds["report.conf"] == ("settings", None, None)
     assert kinds["requirements.txt"] == ("requirements", None, None)
 
 
 def test_definitions(classified):
     got = {r.table_name: (r.query, r.interval) for r in folder.load_definitions(classified).collect()}
     assert got == {
-        "first.cities": ("select city, country\nfrom first.cities_raw", 1440),
-        "first.countries": ("select country, continent\nfrom first.countries_raw;", 60),
-        "first.countries_detailed": ("select * from first.countries", 120),
-        "second.child": ("select city, country from first.cities", None),
-        "second.parent": ("select * from second.child limit 10", 24),
+        "report.margins": ("select day, price from shop.sales", None),
+        "report.shortage": ("select * from shop.stock where pieces < 5", 120),
+        "report.weekly": ("select max(price) as best from report.margins", 7 * 1440),
+        "shop.sales": ("select day, sum(price) as price\nfrom shop.receipts\ngroup by day", 45),
+        "shop.stock": ("select item, delta from shop.movements;", 3 * 1440),
     }
     tests = {r.table_name for r in folder.load_tests(classified).collect()}
-    assert tests == {"first.cities", "first.countries", "first.countries_detailed"}
+    assert tests == {"report.weekly", "shop.sales", "shop.stock"}
 
 
 def test_select_ending_without_processor(spark):
@@ -99,7 +99,7 @@ def test_file_inside_the_schema_folder_wins(spark):
 
 def test_declared_schema(classified):
     ddl = folder.load_ddl(classified).first().text
-    assert folder.declared_schema(ddl) == StructType.fromDDL("country string, continent string")
+    assert folder.declared_schema(ddl) == StructType.fromDDL("item string, pieces bigint")
     nested = 'create table a.b(x decimal(10,2), y varchar(max)) diststyle all sortkey("x");'
     assert folder.declared_schema(nested) == StructType.fromDDL("x decimal(10,2), y string")
     with pytest.raises(ValueError):
@@ -128,13 +128,13 @@ def test_replan(spark, root):
     plan = replan(spark, root, empty_catalog(spark), NOW, strict=True)
     rows = {r.table_name: r for r in plan.catalog.collect()}
     assert len(rows) == 5 and all(r.force == 1 and r.mean == 0 for r in rows.values())
-    assert rows["second.parent"].config == '{"diststyle":"even","snapshots_interval":"24h"}'
-    assert rows["second.child"].config == '{"distkey":"city","diststyle":"all","snapshots_interval":null}'
-    assert rows["first.countries"].config == '{"grant_select":"joan, john","snapshots_interval":"24h"}'
+    assert rows["shop.sales"].config == '{"snapshots_stored_for":"30d","sortkey":"day"}'
+    assert rows["report.margins"].config == '{"diststyle":"all","grant_select":"ana, bo","snapshots_stored_for":"30d"}'
+    assert rows["report.weekly"].config == '{"diststyle":null,"grant_select":"ana, cy","snapshots_stored_for":"30d"}'
     assert sorted(tuple(r) for r in plan.edges.collect()) == [
-        ("first.countries_detailed", "first.countries"),
-        ("second.child", "first.cities"),
-        ("second.parent", "second.child"),
+        ("report.margins", "shop.sales"),
+        ("report.shortage", "shop.stock"),
+        ("report.weekly", "report.margins"),
     ]
     again = replan(spark, root, plan.catalog, NOW)
     assert {r.status for r in again.diff.collect()} == {"unchanged"}
@@ -156,15 +156,15 @@ def test_replan_refuses(spark, tmp_path, files, strict, reason):
 
 def test_folder_to_tables(spark, tmp_path, schema):
     """From files to published tables: plan, rebuild in order, record, nothing due afterwards."""
-    raw = f"{schema}.cities_raw"
-    spark.sql(f"CREATE TABLE {raw} USING parquet AS SELECT 'Paris' AS city, 'France' AS country")
+    raw = f"{schema}.receipts"
+    spark.sql(f"CREATE TABLE {raw} USING parquet AS SELECT id % 3 AS day, id AS price FROM range(1, 8)")
     root = write(
         tmp_path,
         {
-            f"{schema}/cities.sql": f"select city, country from {raw}",
-            f"{schema}/cities_test.sql": f"select city = 'Paris' as capital from {schema}.cities",
-            f"{schema}/count — 1h.sql": f"select count(*) as n from {schema}.cities;",
-            f"{schema}/count.conf": "snapshots_interval=1h\nsnapshots_stored_for=2d",
+            f"{schema}/sales.sql": f"select day, sum(price) as price from {raw} group by day",
+            f"{schema}/sales_test.sql": f"select min(price) > 0 as sold from {schema}.sales",
+            f"{schema}/best — 1h.sql": f"select max(price) as best from {schema}.sales;",
+            f"{schema}/best.conf": "snapshots_interval=1h\nsnapshots_stored_for=2d",
         },
     )
     plan = replan(spark, root, empty_catalog(spark), NOW)
@@ -172,12 +172,12 @@ def test_folder_to_tables(spark, tmp_path, schema):
     catalog = spark.table(f"{schema}.catalog")
 
     due = refresh_plan(catalog, plan.edges, NOW)
-    assert {r.table_name: r.level for r in due.collect()} == {f"{schema}.cities": 0, f"{schema}.count": 1}
+    assert {r.table_name: r.level for r in due.collect()} == {f"{schema}.sales": 0, f"{schema}.best": 1}
     views = views_to_build(due, catalog, folder.classify(folder.scan_folder(spark, root)))
     outcomes, runs = rebuild_set(spark, views, clock=lambda: NOW)
     assert {r.status for r in outcomes.collect()} == {"built"}
-    assert spark.table(f"{schema}.count").first().n == 1
-    assert spark.table(f"{schema}.count_history").count() == 1
+    assert spark.table(f"{schema}.best").first().best == 12
+    assert spark.table(f"{schema}.best_history").count() == 1
 
     finished = runs.select("table_name", "start", (F.col("finish") - F.col("start")).alias("duration"))
     publish.replace_table(catalogs.record_builds(catalog, finished), f"{schema}.catalog")
