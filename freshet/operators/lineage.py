@@ -10,12 +10,12 @@ from freshet.operators.skew import find_hot_keys, spread_join
 from freshet.session import stage
 
 
-def dependency_edges(definitions: DataFrame) -> DataFrame:
+def dependency_edges(definitions: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """``(src, dst)``: the query of ``src`` names the definition ``dst``.
 
     The text is cut into dotted pairs once and joined on the name, so the cost is
     linear in the text.  A name that a large share of all definitions reads is a
-    hot join key.  ``definitions`` has one row per table.
+    hot join key, parted by ``rows_per_task``.  ``definitions`` has one row per table.
     """
     mentioned, _ = stage(
         definitions.select(
@@ -23,7 +23,7 @@ def dependency_edges(definitions: DataFrame) -> DataFrame:
         )
     )
     names = definitions.select(F.col("table_name").alias("dst"))
-    hot = find_hot_keys(mentioned, "dst")
+    hot = find_hot_keys(mentioned, "dst", rows_per_task)
     return spread_join(mentioned, names, "dst", "left_semi", ["src"], hot).select("src", "dst")
 
 

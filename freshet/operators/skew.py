@@ -6,7 +6,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from freshet.functions.times import whole_units
 from freshet.session import stage
 
 # About as many rows of one key as a task should join.
@@ -48,15 +50,26 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str, by: list[s
 def name_lines(rows: DataFrame, group: str, name: str, per_line: int = 1000) -> DataFrame:
     """Names of each group as comma-separated lines: ``(group, line, names, n)``.
 
-    A short group is one line in order.  A long one is parted by a hash of the
-    name into lines of about ``per_line`` names, so no row grows with the group.
+    The lines of a group, one after another, are its names in order, ``per_line`` to a
+    line; this holds for every size.  ``group`` is not null.  Places come from a range
+    sort: each task numbers its rows and adds what earlier tasks hold of the group, so
+    no task takes in a whole group.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    lines = F.ceil(F.col("_size") / per_line).cast("bigint")
-    digest = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint")
+    in_order = rows.select(group, name).orderBy(group, name)
+    ordered, _ = stage(in_order.withColumn("_at", F.monotonically_increasing_id()))
+    # The upper bits are the task.
+    ordered = ordered.withColumn("_task", F.shiftright("_at", 33))
+    earlier = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    shares = (
+        ordered.groupBy(group, "_task")
+        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
+    )
+    place = F.col("_at") - F.col("_first") + F.col("_before")
     return (
-        spread_join(rows.select(group, name), sizes, group, "inner", [name], find_hot_keys(rows, group))
-        .groupBy(group, F.pmod(digest, lines).alias("line"))
+        ordered.join(shares, [group, "_task"])
+        .groupBy(group, whole_units(place, per_line).alias("line"))
         .agg(
             F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"),
             F.count(F.lit(1)).alias("n"),

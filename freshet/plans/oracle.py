@@ -216,10 +216,10 @@ missing as (
 
 def _lines(source: str, group: str) -> str:
     return f"""
-    select {group}, ('0x' || substr(md5(table_name), 1, 8))::bigint
-            % cast(ceil(size / 1000) as bigint) as line,
-        string_agg(table_name, ', ' order by table_name) as names, count(*) as n
-    from (select *, count(*) over (partition by {group}) as size from {source})
+    select {group}, place // 1000 as line,
+        string_agg(table_name, ', ' order by place) as names, count(*) as n
+    from (select {group}, table_name,
+        row_number() over (partition by {group} order by table_name) - 1 as place from {source})
     group by 1, 2"""
 
 
@@ -313,6 +313,18 @@ def oracle_sql() -> dict[str, str]:
                 taken(snapshot_timestamp)""",
         "snapshot_prune": f"""select counts.*, snapshot_timestamp from ({ORDER_COUNTS}) counts,
             (values (cast({NOW + 25 * 3600} as bigint)), ({NOW + 50 * 3600})) taken(snapshot_timestamp)""",
+        "snapshot_drift": f"""select counts.*, cast(null as bigint) as first_key,
+                cast({NOW} as bigint) as snapshot_timestamp from ({ORDER_COUNTS}) counts
+            union all select o_custkey, null, count(*), null, cast(min(o_orderkey) as bigint),
+                {NOW + 25 * 3600} from orders group by o_custkey""",
+        "mv_dependent_refresh": f"select * from ({ORDER_COUNTS}) counts where orders > 1",
+        "mv_view_to_table": f"select counts.*, false as is_view from ({ORDER_COUNTS}) counts",
+        "test_discovery": f"""select {_name('p_partkey')} as table_name, 'select true as ok' as text
+            from part where p_partkey % 3 = 1""",
+        "dependency_edges_hot_key": f"""with {DEFS}, reads as (
+                select table_name as src, 's0.t0' as dst from defs where k % 3 <> 0
+                union select table_name, {_name('k // 2')} from defs where k % 3 <> 0)
+            select src, dst from reads where dst in (select table_name from defs)""",
         "dependency_edges": f"with {EDGES} select src, dst from edges",
         "readers_of_table": f"""with {DEFS} select table_name from defs where regexp_matches(
             regexp_replace(query, '--[^\\n]*', '', 'g'), '\\b"?s1"?\\."?t1"?\\b')""",

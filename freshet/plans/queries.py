@@ -92,6 +92,31 @@ def mv_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(view.name)
 
 
+@query
+def mv_view_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain view gives way to the table of its name."""
+    schema = _warehouse(spark, sf_dir, "orders")
+    name = f"{schema}.order_counts"
+    spark.sql(f"CREATE VIEW {name} AS SELECT o_custkey FROM {schema}.orders")
+    rebuild(spark, View(name=name, query=ORDER_COUNTS.format(schema)), _clock())
+    is_view = spark.catalog.getTable(name).tableType == "VIEW"
+    return spark.table(name).withColumn("is_view", F.lit(is_view))
+
+
+@query
+def mv_dependent_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view over a table that has gained columns is found in the catalog and follows it."""
+    schema = _warehouse(spark, sf_dir, "orders")
+    name = f"{schema}.order_counts"
+    text = ORDER_COUNTS.format(schema)
+    without = publish.select_rows(spark, text).drop("total")
+    publish.replace_table(without, name)
+    spark.sql(f"CREATE VIEW {schema}.repeated AS SELECT * FROM {name} WHERE orders > 1")
+    publish.replace_table(publish.select_rows(spark, text), name)
+    lineage.refresh_dependent_views(spark, name)
+    return spark.table(f"{schema}.repeated")
+
+
 @query
 def mv_layout_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables bucketed on one key, joined on it without a shuffle."""
@@ -238,9 +263,35 @@ def snapshot_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapshots(spark, sf_dir, 30 * 60)
 
 
+@query
+def snapshot_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second snapshot of a table that has lost two columns and gained one."""
+    schema = _warehouse(spark, sf_dir, "orders")
+    name = f"{schema}.order_counts"
+    later = f"""select o_custkey, count(*) as orders, cast(min(o_orderkey) as bigint) as first_key
+        from {schema}.orders group by o_custkey"""
+    for hour, text in ((0, ORDER_COUNTS.format(schema)), (25, later)):
+        publish.replace_table(publish.select_rows(spark, text), name)
+        snapshots.make_snapshot(spark, name, NOW + hour * 3600, 24 * 60, allow_missing=True)
+    return snapshots.read_history(spark, name).withColumn(
+        "snapshot_timestamp", F.unix_seconds("snapshot_timestamp")
+    )
+
+
 # The definition set -------------------------------------------------------------
 
 
+@query
+def test_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folder.load_tests(folder.classify(samples.files(spark, sf_dir)))
+
+
+@query
+def dependency_edges_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most definitions read one table, whose rows are parted for the join."""
+    return lineage.dependency_edges(samples.definitions_with_hub(spark, sf_dir), rows_per_task=100)
+
+
 @query
 def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.edges(spark, sf_dir)

@@ -80,6 +80,14 @@ def changed_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.unionByName(added).drop("k")
 
 
+def definitions_with_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(table_name, query)``: two thirds of the definitions read one and the same table."""
+    k = F.col("p_partkey")
+    reads = F.concat(F.lit("select 1 as id from s0.t0, "), name_of(half(k, 2)))
+    text = F.when(mod(k, 3) != 0, reads).otherwise("select 1 as id")
+    return table(spark, sf_dir, "part").select(name_of(k).alias("table_name"), text.alias("query"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dependency graph of the definitions, by the lineage operator."""
     return dependency_edges(definitions(spark, sf_dir))

@@ -213,11 +213,13 @@ def test_diff_and_apply(spark):
     assert sorted(r.notice for r in notice.collect()) == ["New tables: shop.returns.", "Updated tables: shop.sales."]
 
 
-def test_long_lists_are_parted_and_whole(spark):
-    rows = spark.range(2500).select(F.lit("new").alias("status"), F.concat(F.lit("s.t"), "id").alias("table_name"))
-    lines = catalogs.diff_summary(rows).collect()
+@pytest.mark.parametrize("size", [0, 1, 1000, 1001, 2500])
+def test_name_lines_are_the_sorted_list(spark, size):
+    rows = spark.range(size).select(F.lit("new").alias("status"), F.concat(F.lit("s.t"), "id").alias("table_name"))
+    lines = sorted(catalogs.diff_summary(rows).collect(), key=lambda r: r.line)
+    assert [r.n for r in lines] == [1000] * (size // 1000) + [size % 1000] * (size % 1000 > 0)
     names = [n for line in lines for n in line["names"].split(", ")]
-    assert len(lines) == 3 and sorted(names) == sorted(f"s.t{i}" for i in range(2500))
+    assert names == sorted(f"s.t{i}" for i in range(size))
 
 
 def test_listing_keeps_recent_deletions(spark):
