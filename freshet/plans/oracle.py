@@ -289,12 +289,14 @@ def oracle_sql() -> dict[str, str]:
         "mv_processor": """select o_orderkey as order_key, lower(o_orderstatus) as status,
             cast(round(o_totalprice * 100) as bigint) as cents from orders""",
         "mv_rebuild_set": """select * from (values
-                ('order_counts', 0, 'built', ''), ('totals', 1, 'built', ''),
-                ('refused', 2, 'failed', 'too_strict')) outcomes(table_name, level, status, failed_test)
+                ('order_counts', 0, 'built', '', 1, {0}, null, cast(1 as bigint), cast(1 as bigint)),
+                ('totals', 1, 'built', '', 1, {0}, null, 1, 1),
+                ('refused', 2, 'failed', 'too_strict', 0, cast(null as bigint), 1, 1, 0))
+                outcomes(table_name, level, status, failed_test, times_run, last_created, force, logged, tested)
             left join (
                 select 'totals' as table_name, count(distinct o_custkey) as row_count,
                     count(*) as orders from orders
-            ) totals using (table_name)""",
+            ) totals using (table_name)""".format(NOW),
         "data_test_results": """
             select 'unique_orders' as test_name, count(*) = count(distinct o_orderkey) as passed from orders
             union all select 'positive_prices', min(o_totalprice) > 0 from orders

@@ -182,7 +182,10 @@ def mv_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mv_rebuild_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three tables, each over the one before, built in plan order; one of them fails its test."""
+    """Three tables, each over the one before, built in plan order; one of them fails its test.
+
+    With what the catalog and the log hold of them afterwards.
+    """
     schema = _warehouse(spark, sf_dir, "orders", "customer")
     views = spark.createDataFrame(
         [
@@ -201,7 +204,18 @@ def mv_rebuild_set(spark: SparkSession, sf_dir: str) -> DataFrame:
         "table_name string, query string, tests string",
     )
     levels = refresh.build_levels(views, lineage.dependency_edges(views))
-    outcomes, _ = rebuild_set(spark, views.join(levels, "table_name"), clock=_clock())
+    book, log = f"{schema}.catalog", f"{schema}.runs"
+    undone = views.drop("tests").withColumn("interval", F.lit(None).cast("int")).withColumn("config", F.lit(None).cast("string"))
+    empty = spark.createDataFrame([], catalogs.CATALOG_SCHEMA)
+    publish.replace_table(catalogs.apply_definitions(empty, undone, NOW), book)
+    outcomes, _ = rebuild_set(
+        spark, views.join(levels, "table_name"), clock=_clock(), catalog=book, log=log
+    )
+    logged = spark.table(log).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("logged"), F.count("tests").alias("tested")
+    )
+    recorded = spark.table(book).select("table_name", "times_run", "last_created", "force")
+    outcomes = outcomes.join(recorded, "table_name").join(logged, "table_name")
     built = spark.table(f"{schema}.totals")
     count = built.agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("orders").cast("bigint").alias("orders")

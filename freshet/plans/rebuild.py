@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.times import interval_minutes
 from freshet.operators import snapshots
+from freshet.operators.catalog import record_builds
 from freshet.operators.expectations import (
     DataTestsFailed,
     for_candidate,
@@ -25,9 +26,10 @@ from freshet.operators.publish import (
     drop_candidate,
     drop_previous,
     publish,
+    replace_table,
     select_rows,
 )
-from freshet.operators.runlog import RUN_SCHEMA, STEP_COLUMNS, finish_time
+from freshet.operators.runlog import RUN_SCHEMA, STEP_COLUMNS, append_runs, duration, finish_time
 from freshet.session import stage
 from freshet.sources.definitions import declared_schema, decode_config, load_ddl, load_tests
 
@@ -52,13 +54,15 @@ def wall_clock() -> int:
     return int(time.time())
 
 
-def rebuild(spark: SparkSession, view: View, clock: Clock = wall_clock) -> dict:
+def rebuild(spark: SparkSession, view: View, clock: Clock = wall_clock, run: dict | None = None) -> dict:
     """Build, test, publish and snapshot one table; returns its run-log row.
 
     If a data test fails the candidate is dropped, the live table stays as it is,
-    and ``DataTestsFailed`` tells which.
+    and ``DataTestsFailed`` tells which.  A given ``run`` gets the steps as they end,
+    so it also tells how far a failed rebuild came.
     """
-    run = dict.fromkeys(STEP_COLUMNS)
+    run = {} if run is None else run
+    run.update(dict.fromkeys(STEP_COLUMNS))
 
     def log(step: str) -> None:
         run[step] = clock()
@@ -111,44 +115,62 @@ def views_to_build(plan: DataFrame, catalog: DataFrame, classified: DataFrame) -
     )
 
 
+def record_runs(runs: DataFrame, catalog: str | None, log: str | None) -> None:
+    """Append runs to the log, then fold the finished ones into the catalog; either may be left out."""
+    if log:
+        append_runs(runs, log)
+    if catalog:
+        finished = runs.where("finish IS NOT NULL").select("table_name", "start", duration().alias("duration"))
+        replace_table(record_builds(runs.sparkSession.table(catalog), finished), catalog)
+
+
 def rebuild_set(
     spark: SparkSession,
     views: DataFrame,
     processors: dict[str, Processor] | None = None,
     clock: Clock = wall_clock,
     at_once: int = 4,
+    catalog: str | None = None,
+    log: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rebuild ``views`` level by level; returns ``(outcomes, runs)``.
 
     ``views`` has ``table_name, level, query`` and may have ``config`` (a map),
     ``tests``, ``ddl``, ``snapshot_minutes`` and ``keep_minutes``.  Tables of a
     level are independent, so a few are built at once.  A failed table does not
-    stop those above it.  Outcomes are ``(table_name, level, status, error)``.
+    stop those above it.  Outcomes are ``(table_name, level, status, error)``; runs of
+    failed tables end with the last step they took.
+
+    As each level ends its runs are appended to the table ``log`` and the finished ones
+    folded into the table ``catalog``, so a lost driver loses the record of a level at most.
     """
     processors = processors or {}
     views, _ = stage(views)
     fields = [f for f in View._fields if f in views.columns]
 
-    def attempt(row) -> tuple[tuple, dict | None]:
+    def attempt(row) -> tuple[tuple, tuple]:
+        run: dict = {}
         view = View(
             name=row.table_name,
             processor=processors.get(row.table_name),
             **{f: row[f] for f in fields if row[f] is not None},
         )
         try:
-            return (view.name, row.level, "built", None), rebuild(spark, view, clock)
+            rebuild(spark, view, clock, run)
+            outcome = (view.name, row.level, "built", None)
         except Exception as error:  # any failure of one table is an outcome, not the end
-            return (view.name, row.level, "failed", str(error)), None
+            outcome = (view.name, row.level, "failed", str(error))
+        return outcome, (view.name, *(run.get(c) for c in STEP_COLUMNS))
 
     outcomes, runs = [], []
     levels = [r.level for r in views.select("level").distinct().orderBy("level").toLocalIterator()]
     with ThreadPoolExecutor(max_workers=at_once) as pool:
         for level in levels:
             rows = views.where(F.col("level") == level).orderBy("table_name").toLocalIterator()
-            for outcome, run in pool.map(attempt, rows):
-                outcomes.append(outcome)
-                if run is not None:
-                    runs.append(tuple(run[c] for c in ["table_name", *STEP_COLUMNS]))
+            done = list(pool.map(attempt, rows))
+            outcomes += [outcome for outcome, _ in done]
+            runs += [run for _, run in done]
+            record_runs(spark.createDataFrame([run for _, run in done], RUN_SCHEMA), catalog, log)
     return (
         spark.createDataFrame(outcomes, "table_name string, level int, status string, error string"),
         spark.createDataFrame(runs, RUN_SCHEMA),

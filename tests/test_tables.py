@@ -235,7 +235,10 @@ def test_rebuild_set_goes_on_after_a_failure(spark, cities):
     assert [(r.level, r.status) for r in outcomes.orderBy("table_name").collect()] == [
         (0, "failed"), (0, "built"), (1, "built"),
     ]
-    assert runs.count() == 2 and spark.table(f"{cities}.count").first().n == 3
+    assert spark.table(f"{cities}.count").first().n == 3
+    # The failed run is kept as far as it came.
+    logged = {r.table_name.split(".")[1]: (r.connect is not None, r.finish is not None) for r in runs.collect()}
+    assert logged == {"bad": (True, False), "cities": (True, True), "count": (True, True)}
 
 
 def test_delimited_values(spark):
