@@ -2,9 +2,11 @@
 
 The corpus is counted once in windows of ``order`` + 1 symbols; shorter contexts are sums
 over longer ones.  A symbol is a byte or 256, which ends a text and fills the context
-before its start.  Windows that hold less than 1 / ``nodes`` of all positions of their
-order are left to the shorter contexts, so each order has ``nodes`` windows at most,
-whatever the size of the corpus: this is what bounds the broadcast model.
+before its start.  All windows stay, as a stored table that grows with the corpus
+(``learn``).  Frequent ones are broadcast with their scores; the others of a text are
+scored where all windows of their last ``SPLIT`` context symbols meet (``meet``, ``settle``).
+``train`` makes a model that fits a node: it leaves windows that hold less than 1 / ``nodes``
+of all positions of their order to the shorter contexts.
 
 Scores follow method C: a context seen ``t`` times with ``d`` different symbols escapes
 with d / (t + d), and symbols that a longer context has offered are excluded from the
@@ -22,10 +24,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import byte_slices, lower_ascii, modest_batches, text_of, words_of
+from freshet.llm.common import byte_slices, fresh, lower_ascii, modest_batches, partitions, text_of, words_of
+from freshet.operators.skew import find_hot_keys
 from freshet.session import stage
 
 ORDER = 5
@@ -37,6 +40,10 @@ SYMBOLS = 257
 DISCOUNT = 0.5
 # Symbols that are worked on at once.
 STEP = 1 << 18
+# Windows meet by so many symbols of their context; the levels below are on every node.
+SPLIT = 3
+# About as many windows as a task should hold.
+TASK_WINDOWS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
@@ -205,21 +212,22 @@ def _log_share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.where(part > 0, np.log10(np.maximum(part, 1e-300) / np.maximum(whole, 1e-300)), 0.0)
 
 
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+def build(levels: list[tuple[np.ndarray, np.ndarray]], lower: Model | None = None) -> Model:
     """A model from windows and counts of each order, shortest first; order 0 is complete.
 
     A context occurs as often as it does as a window one order lower; what its kept
-    windows do not make up of that goes to its escape.
+    windows do not make up of that goes to its escape.  On top of a ``lower`` model,
+    ``levels`` hold all windows of each of their contexts.
     """
-    grams, contexts = [], []
-    for k, (codes, counts) in enumerate(levels):
+    grams, contexts = ([*lower.grams], [*lower.contexts]) if lower else ([], [])
+    for k, (codes, counts) in enumerate(levels, len(grams)):
         order = np.argsort(codes)
         grams.append(Table(codes[order], {"n": counts[order].astype(np.float64)}))
         keys, at = np.unique(grams[k].keys >> BITS, return_inverse=True)
         n = grams[k].values["n"]
         kept = np.bincount(at, n, len(keys))
         kinds = np.bincount(at, minlength=len(keys)).astype(np.float64)
-        if k:
+        if k and not lower:
             # The context of end symbols alone stands before each text; others end in a byte.
             ends = grams[0].values["n"][grams[0].keys == END].sum()
             total = np.where(keys & ((1 << BITS) - 1) == END, ends, grams[k - 1].values["n"][grams[k - 1].find(keys)])
@@ -238,8 +246,8 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
             table.values["down_den"] = rest
             table.values["down_esc"] = _log_share(missing + DISCOUNT * new, rest)
         contexts.append(table)
-    left = SYMBOLS - len(levels[0][0])
-    return Model(len(levels) - 1, grams, contexts, -float(np.log10(max(1, left))))
+    left = SYMBOLS - len(grams[0].keys)
+    return Model(len(grams) - 1, grams, contexts, -float(np.log10(max(1, left))))
 
 
 def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
@@ -262,6 +270,56 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
     return build(levels)
 
 
+@dataclass
+class Corpus:
+    """All windows of a corpus, stored as ``counts (window, n)``.
+
+    ``lower`` has the levels below ``split``, of which there are 257 ** ``split`` windows
+    at most.  ``frequent`` has windows of the full order and their ``log``.
+    """
+
+    counts: DataFrame
+    n_windows: int
+    order: int
+    split: int
+    lower: Model
+    frequent: Table
+
+
+def _mask(symbols: int) -> int:
+    return (1 << BITS * symbols) - 1
+
+
+def _fold(codes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of order ``k`` and their counts, from those of a higher order."""
+    keys, at = np.unique(codes & _mask(k + 1), return_inverse=True)
+    return keys, np.bincount(at, counts, len(keys))
+
+
+def learn(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Corpus:
+    """Count all windows of ``texts``; ``nodes`` frequent ones at most reach the driver."""
+    modest_batches(texts.sparkSession)
+    split = min(SPLIT, order)
+    counts, n_windows = stage(count_windows(texts, order))
+    n = counts.agg(F.sum("n")).first()[0] or 0
+
+    def pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        held = rows.toPandas()
+        return held["window"].to_numpy(np.int64), held["n"].to_numpy(np.int64)
+
+    def sums(code: Column) -> DataFrame:
+        return counts.groupBy(code.alias("window")).agg(F.sum("n").alias("n"))
+
+    low = pairs(sums(F.col("window").bitwiseAND(F.lit(_mask(split)))))
+    lower = build([_fold(*low, k) for k in range(split)])
+    often = F.col("n") * nodes >= n
+    # The context of a frequent window is as frequent.
+    codes, own = pairs(counts.where(often))
+    above, totals = pairs(sums(F.shiftright("window", BITS)).where(often))
+    total = totals[Table(above, {}).find(codes >> BITS)]
+    return Corpus(counts, n_windows, order, split, lower, Table(codes, {"log": np.log10((own - DISCOUNT) / total)}))
+
+
 # Scores ------------------------------------------------------------------------------
 
 
@@ -293,6 +351,93 @@ def score(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFr
     return docs.withColumn(out, made(text_of(text)))
 
 
+def meet(docs: DataFrame, corpus: Corpus, out: str, rare: str, text: str = "text") -> DataFrame:
+    """Add double ``out``, the score of a text's frequent windows, and its others as ``rare``.
+
+    ``rare`` is an array of ``(window, n)``; ``settle`` adds what they score.
+    """
+    modest_batches(docs.sparkSession)
+    order = corpus.order
+    shared = docs.sparkSession.sparkContext.broadcast(corpus.frequent)
+
+    @F.arrow_udf("log double, rare array<struct<window:long,n:long>>")
+    def made(texts: pa.Array) -> pa.Array:
+        frequent, scores, sizes, held = shared.value, [], [np.zeros(1, np.int64)], []
+        # One more for windows that have no place.
+        logs = np.append(frequent.values["log"], 0.0)
+        column = texts.cast(pa.string())
+        for at, rows in byte_slices(column):
+            symbols, ends = framed(column.slice(at, rows), order)
+            each, places, others = np.empty(max(0, len(symbols) - order)), [], []
+            for lo in range(0, len(each), STEP):
+                codes = windows(symbols[lo : lo + STEP + order], order)
+                place = frequent.find(codes)
+                each[lo : lo + len(codes)] = logs[place]
+                lost = np.flatnonzero(place < 0)
+                places.append(lost + lo)
+                others.append(codes[lost])
+            inside = _starts_inside(each, ends, order)
+            each[~inside] = 0
+            scores.append(np.add.reduceat(each, np.concatenate([[0], (ends - order)[:-1]])))
+            places, others = np.concatenate(places), np.concatenate(others)
+            places, others = places[inside[places]], others[inside[places]]
+            row = np.searchsorted(ends - order, places, side="right")
+            sort = np.lexsort((others, row))
+            row, others = row[sort], others[sort]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (others[1:] != others[:-1]))[: len(row)])
+            sizes.append(np.bincount(row[first], minlength=rows))
+            held.append((others[first], np.diff(np.append(first, len(row)))))
+        none = np.empty(0, np.int64)
+        codes, n = (np.concatenate([*(h[i] for h in held), none]) for i in range(2))
+        pairs = pa.StructArray.from_arrays([pa.array(codes), pa.array(n)], ["window", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pairs)
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([*scores, np.empty(0)])), lists], ["log", "rare"])
+
+    held = fresh(docs, "_met")
+    met = docs.withColumn(held, made(text_of(text)))
+    return met.withColumn(out, F.col(held)["log"]).withColumn(rare, F.col(held)["rare"]).drop(held)
+
+
+def settle(docs: DataFrame, corpus: Corpus, out: str, rare: str) -> DataFrame:
+    """Add the scores of the windows in ``rare`` to ``out``, by all windows of the corpus; drops ``rare``.
+
+    Windows of the corpus and those asked for are dealt by the last ``split`` symbols of
+    their context, so all that a score needs from that order on is in one task.  A context
+    has 257 ** (order + 1 - split) windows of the corpus at most; parts that are asked for
+    often are repeated.
+    """
+    spark, order, split = docs.sparkSession, corpus.order, corpus.split
+    uid = fresh(docs, "_uid")
+    stored, _ = stage(docs.withColumn(uid, F.monotonically_increasing_id()))
+    n_asked = stored.agg(F.sum(F.size(rare))).first()[0] or 0
+    n_parts = max(partitions(spark), math.ceil((corpus.n_windows + n_asked) / TASK_WINDOWS))
+    part = F.pmod(F.xxhash64(F.shiftright("window", BITS).bitwiseAND(F.lit(_mask(split)))), F.lit(n_parts)).alias("part")
+    asked = stored.select(F.col(uid).alias("uid"), F.explode(rare).alias("r")).select("uid", "r.*").select("*", part)
+    hot = find_hot_keys(asked, "part", 4 * TASK_WINDOWS)
+    known = corpus.counts.select("window", "n", part).join(hot.keys, "part", "left")
+    salts = F.coalesce("_salts", F.lit(1))
+    known = known.select("part", "window", "n", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    salt = F.pmod(F.xxhash64("uid", "window"), salts).cast("int").alias("salt")
+    asked = asked.join(hot.keys, "part", "left").select("part", "uid", "window", "n", salt)
+    shared = spark.sparkContext.broadcast(corpus.lower)
+
+    def answer(counts: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return pa.table({"uid": pa.array([], pa.int64()), "more": pa.array([], pa.float64())})
+        codes, n = counts["window"].to_numpy(), counts["n"].to_numpy()
+        model = build([_fold(codes, n, k) for k in range(split, order + 1)], shared.value)
+        own, at = np.unique(wanted["window"].to_numpy(), return_inverse=True)
+        logs = model.log10(own)[at] * wanted["n"].to_numpy()
+        keys, at = np.unique(wanted["uid"].to_numpy(), return_inverse=True)
+        return pa.table({"uid": keys, "more": np.bincount(at, logs, len(keys))})
+
+    pairs = known.groupBy("part", "salt").cogroup(asked.groupBy("part", "salt"))
+    added = pairs.applyInArrow(answer, "uid long, more double").groupBy(F.col("uid").alias(uid)).agg(F.sum("more").alias("_more"))
+    more = fresh(stored, "_more")
+    whole = stored.join(added.withColumnRenamed("_more", more), uid, "left")
+    return whole.withColumn(out, F.col(out) + F.coalesce(more, F.lit(0.0))).drop(uid, rare, more)
+
+
 @dataclass
 class WordModel:
     """Add-one word counts: all of them as a stored table, the frequent ones at hand.

@@ -84,8 +84,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(remainder_of(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), "text"
     )
     training = docs.where(~F.col("held_out")).select("text")
-    words, model = ppm.train_words(training), ppm.train(training)
-    scored = ppm.base_scores(ppm.score(docs, model, "score"), words)
+    words, corpus = ppm.train_words(training), ppm.learn(training)
+    scored = ppm.settle(ppm.base_scores(ppm.meet(docs, corpus, "score", "rare"), words), corpus, "score", "rare")
     return scored.select(
         "doc_id",
         "held_out",

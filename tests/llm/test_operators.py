@@ -138,6 +138,34 @@ def test_ppm_matches_plain_counting(spark, order, nodes):
     assert np.allclose([got[i] for i in range(len(every))], brute.ppm(every, [*texts[:30], None], order, nodes))
 
 
+@pytest.mark.parametrize("order,nodes,step", [(2, 4, 1 << 20), (5, 12, 1 << 20), (4, 1 << 20, 1 << 20), (5, 1, 40)])
+def test_ppm_keeps_all_windows(spark, monkeypatch, order, nodes, step):
+    monkeypatch.setattr(ppm, "TASK_WINDOWS", step)
+    rng = np.random.default_rng(10)
+    texts = ["".join(rng.choice(list("abAB c"), n)) for n in rng.integers(0, 30, 40)]
+    training = spark.createDataFrame([(t,) for t in texts[:30]] + [(None,)], "text string")
+    corpus = ppm.learn(training, order, nodes)
+    every = [*texts, "zé!", "", None, *["xyzzy"] * 200]
+    rows = spark.createDataFrame(list(enumerate(every)), "i long, text string")
+    scored = ppm.settle(ppm.meet(rows, corpus, "score", "rare"), corpus, "score", "rare")
+    assert scored.columns == ["i", "text", "score"]
+    got = {r["i"]: r["score"] for r in scored.collect()}
+    # No window is left out, however few are at hand.
+    assert np.allclose([got[i] for i in range(len(every))], brute.ppm(every, [*texts[:30], None], order, 1 << 60))
+
+
+def test_ppm_scores_do_not_lose_rare_windows_to_size(spark):
+    passage = "qzx wvk jqy"
+    common = spark.createDataFrame([("the same plain words again " * 40,)] * 200, "text string")
+    training = common.union(spark.createDataFrame([(passage,)] * 3, "text string"))
+    rows = spark.createDataFrame([(passage,)], "text string")
+    corpus = ppm.learn(training, nodes=1 << 12)
+    score = ppm.settle(ppm.meet(rows, corpus, "score", "rare"), corpus, "score", "rare").first()["score"]
+    pruned = ppm.score(rows, ppm.train(training, nodes=1 << 12), "score").first()["score"]
+    # The words come three times in the corpus: after their start each next symbol is known.
+    assert score > pruned / 2 and score > -6
+
+
 def test_ppm_probabilities_add_up():
     texts = pa.array(["abab", "aba", "bcab"])
     symbols, ends = ppm.framed(texts, 2)
