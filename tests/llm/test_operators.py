@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.llm import bpe, gbt, packing, pii, ppm, rules, simhash, urls
+from freshet.llm import bpe, gbt, imatch, packing, pii, ppm, rules, simhash, urls
 from freshet.session import stage
 
 
@@ -178,6 +178,34 @@ def test_ppm_probabilities_add_up():
         assert np.isclose((10 ** model.log10(windows)).sum(), 1)
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_large_groups_of_copies_keep_graded_fingerprints(spark, near):
+    rng = np.random.default_rng(11)
+    base = [f"base{x}" for x in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base) if i % 3 == 0 else [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        if near and i % 3 == 0:
+            words[int(rng.integers(0, 75))] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    made = imatch.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    grouped = [r for r in made if r["doc_id"] % 3 == 0]
+    # Half of each text is replaced.
+    assert sum(r["near_edited"] > 0 for r in grouped) >= 0.9 * len(grouped)
+
+
+def test_texts_without_band_terms_are_graded(spark):
+    text = [f"only{x}" for x in range(100)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:99], "else"])), (3, "..."), (4, "???")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "term string, id long, member long")
+    got = imatch.fingerprints(docs.repartition("doc_id"), "doc_id", {"text": "fp"}, none, 0)
+    fp = {r["doc_id"]: r["fp"] for r in got.collect()}
+    a, b = (F.array(*map(F.lit, fp[i])) for i in (1, 2))
+    alike = spark.range(1).select(imatch.likeness(a, b).alias("x")).first()["x"]
+    assert 0.5 < alike < 1 and fp[3] != fp[4]
+
+
 def test_contexts_give_identifiers_away(spark):
     rows = [(i, f"word{i} my phone number is +1 (452) 555-{1000 + i} thanks a lot word{i}") for i in range(20)]
     rows += [(100, "so my phone number is 0452-5551234 thanks a lot again"), (101, "there were 0452-5559999 cells in it")]
