@@ -32,7 +32,10 @@ PATTERNS = {
 }
 # A word that may be an identifier: any with a digit or an at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-GUARD = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "word": "[0-9@]"}
+# So may a run of groups of digits with blanks, dashes, dots or brackets between them.
+RUN = r"(?<![^\x20\x09-\x0D])\(?[0-9]++(?:[\x20().-]{1,2}[0-9]++)++"
+GUARD = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "word": "[0-9@]", "run": r"[0-9][).]?\x20\(?[0-9]"}
+CANDIDATES = ("word", "run")
 # Words beside a span are looked for in so many characters.
 REACH = 80
 
@@ -67,6 +70,8 @@ def _valid(kind: Column, hit: Column) -> Column:
         F.when(kind == "ip", hit.rlike(rf"^(?:{_PART})(?:\.{_PART}){{3}}$"))
         .when(kind == "card", n.between(14, 19) & _luhn(digits))
         .when(kind == "phone", n.between(10, 15))
+        # Without a blank it is a word.
+        .when(kind == "run", hit.contains(" "))
         .otherwise(True)
     )
 
@@ -90,10 +95,10 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
 
 
 def with_matches(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
-    """Add array ``out`` of all matches of the four kinds and of candidate words."""
+    """Add array ``out`` of all matches of the four kinds and of candidates."""
     held = fresh(docs, "_text")
     df = hold(docs, held, text_of(text))
-    patterns = {**PATTERNS, "word": CANDIDATE}
+    patterns = {**PATTERNS, "word": CANDIDATE, "run": RUN}
     nothing = "array<struct<kind:string,i:int,gap:bigint,hit:string,left:string,right:string>>"
     parts = []
     for kind, pattern in patterns.items():
@@ -107,15 +112,27 @@ def with_matches(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
 def spans_of(rows: DataFrame) -> DataFrame:
     """``(uid, kind, start, end, hit, left, right)`` of a stored ``(uid, found)``.
 
-    Spans of the four kinds that fail their check are dropped; so are candidate words
-    that share a character with a span that holds.
+    Spans of the four kinds that fail their check are dropped; so are candidates
+    that share a character with a span that holds.  ``left`` and ``right`` are what stands
+    beside a span in the text, other matches included.
     """
     each = rows.select("uid", F.explode("found").alias("m")).select("uid", "m.*")
     size = F.length("hit").cast("long")
-    before = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("end", F.sum(F.col("gap") + size).over(before)).withColumn("start", F.col("end") - size)
+    row = Window.partitionBy("uid", "kind").orderBy("i")
+    before = row.rowsBetween(Window.unboundedPreceding, 0)
+    # A match and the gap before or after it have two characters at least.
+    near = REACH // 2
+    past = F.collect_list(F.right(F.concat("left", "hit"), F.lit(REACH))).over(row.rowsBetween(-near, -1))
+    coming = F.collect_list(F.left(F.concat("hit", "right"), F.lit(REACH))).over(row.rowsBetween(1, near))
+    placed = each.select(
+        "*",
+        F.sum(F.col("gap") + size).over(before).alias("end"),
+        F.right(F.concat(F.array_join(past, ""), "left"), F.lit(REACH)).alias("_left"),
+        F.left(F.concat("right", F.array_join(coming, "")), F.lit(REACH)).alias("_right"),
+    )
+    placed = placed.withColumn("start", F.col("end") - size).drop("left", "right").withColumnsRenamed({"_left": "left", "_right": "right"})
     valid = placed.where(_valid(F.col("kind"), F.col("hit")))
-    base = F.col("kind") != "word"
+    base = ~F.col("kind").isin(*CANDIDATES)
     order = Window.partitionBy("uid").orderBy("start", "end", "kind")
     earlier = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     later = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
@@ -124,9 +141,9 @@ def spans_of(rows: DataFrame) -> DataFrame:
 
 
 def _shape(core: Column) -> Column:
-    """The kind whose identifiers look like this word; null if none do."""
+    """The kind whose identifiers look like this candidate; null if none do."""
     n = F.length(F.regexp_replace(core, "[^0-9]", ""))
-    plain = core.rlike(r"^[0-9()+./\x2D]+$")
+    plain = core.rlike(r"^[0-9()+./\x20\x2D]+$")
     return (
         F.when(core.rlike(r"^[^@]+@[^@]+$"), F.lit("email"))
         .when(core.rlike(r"^[0-9]+(?:[.:][0-9]+){3}$"), F.lit("ip"))
@@ -144,7 +161,7 @@ def discover(spans: DataFrame, trust: Trust = Trust()) -> DataFrame:
     Edges are added up before they are joined, so frequent patterns are no hot keys.
     """
     core = F.regexp_replace(F.regexp_replace("hit", r"^[^0-9A-Za-z(+]++", ""), r"[^0-9A-Za-z)]++$", "")
-    word = F.col("kind") == "word"
+    word = F.col("kind").isin(*CANDIDATES)
     lead = F.length(F.regexp_extract("hit", r"^[^0-9A-Za-z(+]*+", 0))
     left = F.lower(F.regexp_extract("left", r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1))
     right = F.lower(F.regexp_extract("right", r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)", 1))
@@ -202,7 +219,7 @@ def find(stored: DataFrame, trust: Trust = Trust()) -> DataFrame:
     Both are arrays of ``(start, kind, end)``, kind by its place in ``KINDS``, sorted.
     """
     spans, _ = stage(spans_of(stored))
-    base = spans.where("kind <> 'word'").select("uid", "kind", "start", "end", F.lit(True).alias("base"))
+    base = spans.where(~F.col("kind").isin(*CANDIDATES)).select("uid", "kind", "start", "end", F.lit(True).alias("base"))
     more = discover(spans, trust).withColumn("base", F.lit(False))
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     one = F.struct("start", number.alias("kind"), "end")

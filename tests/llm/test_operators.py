@@ -220,6 +220,17 @@ def test_contexts_give_identifiers_away(spark):
     assert clean[0] == "word0 my phone number is [PHONE] thanks a lot word0"
 
 
+def test_contexts_see_other_numbers_and_runs_of_digits(spark):
+    rows = [(i, f"word{i} in room 12 phone +1 (452) 555-{1000 + i} thanks a lot") for i in range(20)]
+    rows += [(100, "in room 12 phone 0452-5551234 thanks a lot"), (101, "in room 12 phone 0452 555 7777 thanks a lot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.report(pii.personal_data(docs)).collect()}
+    at = rows[20][1].index("0452")
+    assert f"phone:{at}:{at + 12}" in found[100].split(",") and f"phone:{at}:{at + 13}" in found[101].split(",")
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[100].endswith("phone [PHONE] thanks a lot") and clean[101].endswith("phone [PHONE] thanks a lot")
+
+
 def test_redaction_merges_overlaps_and_keeps_rows(spark):
     rows = [(1, "a@b.cc 1.2.3.4 x", 16, 7), (1, "a@b.cc 1.2.3.4 x", 16, 7), (2, None, 0, 8), (None, "1.2.3.4@x.yy", 12, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, uid long")
