@@ -3,7 +3,8 @@
 Spans found by rule are the seeds.  The words beside a seed are lexical patterns.  A
 pattern is trusted as far as the identifiers in its place are trusted, an identifier as
 far as the patterns around it; both are scored in turn over the graph of patterns and
-identifiers.  Identifiers of the right shape that trusted patterns surround are added.
+identifiers.  Identifiers of the right shape that trusted patterns surround are added, and
+patterns beside them count as well, until no new identifier appears.
 
 All of it runs on built-in functions.  A match's place is the length of what stands before
 it, so matches and the gaps between them become rows and places are running sums.
@@ -45,8 +46,8 @@ _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 class Trust(NamedTuple):
     """When a pattern or an identifier counts as found.
 
-    ``rounds`` of scoring; ``seeds`` different seeds that a pattern needs; ``least``, the
-    score that a new identifier needs.
+    ``rounds`` of scoring after each growth; ``seeds`` different seeds, or identifiers found
+    before, that a pattern needs; ``least``, the score that a new identifier needs.
     """
 
     rounds: int = 2
@@ -158,6 +159,7 @@ def discover(spans: DataFrame, trust: Trust = Trust()) -> DataFrame:
     Patterns are the two words before a span and the two words after it.  A pattern's
     score for a kind is the trust in what stands in its place, over all that stands there
     and one more; an identifier's is what its patterns leave of doubt, taken from one.
+    Identifiers that reach ``least`` stay and give new patterns; each growth is staged.
     Edges are added up before they are joined, so frequent patterns are no hot keys.
     """
     core = F.regexp_replace(F.regexp_replace("hit", r"^[^0-9A-Za-z(+]++", ""), r"[^0-9A-Za-z)]++$", "")
@@ -181,26 +183,35 @@ def discover(spans: DataFrame, trust: Trust = Trust()) -> DataFrame:
     stored, _ = stage(seen)
     edges = stored.groupBy("pattern", "kind", "item").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     edges, _ = stage(edges)
-    # Patterns without enough seeds never count; few are left.
-    wide = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
-    useful = (
-        edges.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= trust.seeds)
-        .join(wide, "pattern").select("pattern", "kind", "all")
-    )
-    graph, n = stage(edges.join(useful, ["pattern", "kind"]))
-    scores = graph.groupBy("kind", "item").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("known"))
-    for _ in range(trust.rounds if n else 0):
-        patterns = (
-            graph.join(scores, ["kind", "item"])
-            .groupBy("pattern", "kind")
-            .agg((F.sum(F.col("n") * F.col("score")) / (F.max("all") + 1)).alias("trust"))
-        )
-        doubt = F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999999))))
-        scored = graph.join(patterns, ["pattern", "kind"]).groupBy("kind", "item").agg(
-            (1 - F.exp(doubt)).alias("score"), F.max("seed").alias("known")
+    wide, _ = stage(edges.groupBy("pattern").agg(F.sum("n").alias("all")))
+    found, size, grown = None, 0, True
+    while grown:
+        score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+        marked = edges.join(found, ["kind", "item"], "left").withColumn("score", score) if size else edges.withColumn("score", F.col("seed").cast("double"))
+        # Patterns without enough trusted identifiers do not count; few are left.
+        useful = (
+            marked.where("score > 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= trust.seeds)
+            .join(wide, "pattern").select("pattern", "kind", "all")
         )
-        scores, _ = stage(scored.withColumn("score", F.when(F.col("known"), 1.0).otherwise(F.col("score"))))
-    found = scores.where(~F.col("known") & (F.col("score") >= trust.least)).select("kind", "item")
+        graph, n = stage(marked.join(useful, ["pattern", "kind"]))
+        scores = graph.groupBy("kind", "item").agg(F.max("score").alias("score"), F.max("seed").alias("known"))
+        graph = graph.drop("score")
+        for _ in range(trust.rounds if n else 0):
+            patterns = (
+                graph.join(scores, ["kind", "item"])
+                .groupBy("pattern", "kind")
+                .agg((F.sum(F.col("n") * F.col("score")) / (F.max("all") + 1)).alias("trust"))
+            )
+            doubt = F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999999))))
+            scored = graph.join(patterns, ["pattern", "kind"]).groupBy("kind", "item").agg(
+                (1 - F.exp(doubt)).alias("score"), F.max("seed").alias("known")
+            )
+            scores, _ = stage(scored.withColumn("score", F.when(F.col("known"), 1.0).otherwise(F.col("score"))))
+        more = scores.where(~F.col("known") & (F.col("score") >= trust.least)).select("kind", "item", "score")
+        every = found.unionByName(more) if size else more
+        found, now = stage(every.groupBy("kind", "item").agg(F.max("score").alias("score")))
+        size, grown = now, now > size
+    found = found.drop("score")
     places = stored.where("not seed").select("uid", "kind", "item", "start").distinct()
     return places.join(found, ["kind", "item"]).select(
         "uid", "kind", "start", (F.col("start") + F.length("item")).alias("end")

@@ -231,6 +231,20 @@ def test_contexts_see_other_numbers_and_runs_of_digits(spark):
     assert clean[100].endswith("phone [PHONE] thanks a lot") and clean[101].endswith("phone [PHONE] thanks a lot")
 
 
+def test_found_identifiers_give_new_patterns(spark):
+    rows = [(i, f"word{i} my phone number is +1 (452) 555-{1000 + i} thanks a lot word{i}") for i in range(20)]
+    new = [f"0452-555{2000 + i}" for i in range(20)]
+    # Their own context makes them known, and the other one with them; no seed has that.
+    rows += [(100 + i, f"so my phone number is {x} thanks a lot again") for i, x in enumerate(new)]
+    rows += [(200 + i, f"please ring the desk {x} before noon today word{i}") for i, x in enumerate(new)]
+    rows += [(300, "please ring the desk 0452-5559999 before noon today alone"), (301, "there were 0452-5558888 cells in it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.report(pii.personal_data(docs)).collect()}
+    at = rows[-2][1].index("0452")
+    assert found[300] == f"phone:{at}:{at + 12}" and found[301] == ""
+    assert all(found[i] for i in [*range(100, 120), *range(200, 220)])
+
+
 def test_redaction_merges_overlaps_and_keeps_rows(spark):
     rows = [(1, "a@b.cc 1.2.3.4 x", 16, 7), (1, "a@b.cc 1.2.3.4 x", 16, 7), (2, None, 0, 8), (None, "1.2.3.4@x.yy", 12, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, uid long")
