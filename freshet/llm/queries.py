@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import bpe, counts, gbt, imatch, packing, pii, ppm, rules, simhash, urls
+from freshet.llm import bpe, counts, gbt, imatch, packing, pii, ppm, recipes, rules, simhash, urls
 from freshet.llm.common import remainder_of, table, text_of
 
 URL_RULES = [
@@ -122,6 +122,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document, and which row of it stays."""
+    return recipes.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_personal_data,
         op9_simhash,
         op10_token_counts,
+        op12_exact_dedup,
     )
 }
 
@@ -157,5 +163,13 @@ fits as (
     from parts left join rules
         on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
 select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict from fits where place = 1
+""",
+    "op12_exact_dedup": """
+with texts as (
+    select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low
+    from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+    row_number() over (partition by low order by doc_id desc nulls last) = 1 as kept, sha256(low) as text_sha256
+from texts window same as (partition by low)
 """,
 }
