@@ -236,7 +236,8 @@ def burst(sequences: DataFrame, runs: DataFrame, limit: int) -> tuple[DataFrame,
     """Where each sequence ends up: its container's head ``(at, k1, k2)``; and the paths there, by rounds."""
     zero = F.lit(0).cast("long")
     places = sequences.select("rep", "length", "copies", "bytes", "ends", zero.alias("at"), zero.alias("k1"), zero.alias("k2"), zero.alias("headed"))
-    paths, step = [], 1
+    # As stored rows: joins on literals would become joins without a key.
+    (places, _), paths, step = stage(places), [], 1
     while True:
         inside = places.where("length > at").groupBy(*_KEY).agg(F.sum(F.col("length") - F.col("at")).alias("left"), F.count(F.lit(1)).alias("n"))
         large, n = stage(inside.where((F.col("left") > limit) & (F.col("n") > 1)).select(*_KEY))
