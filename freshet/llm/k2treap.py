@@ -44,7 +44,7 @@ _BLOCK = pa.schema(
     [("doc_ids", _IDS), ("terms", pa.list_(pa.string())), ("dfs", pa.list_(pa.int32())), ("masks", pa.list_(pa.binary())), ("maxima", pa.list_(pa.binary()))]
 )
 _BLOCK_DDL = "doc_ids array<long>, terms array<string>, dfs array<int>, masks array<binary>, maxima array<binary>"
-_POP = np.array([i.bit_count() for i in range(16)], np.int64)
+_POP = np.array([i.bit_count() for i in range(16)], np.int32)
 
 
 @functools.cache
@@ -147,12 +147,13 @@ class Grid:
     def __init__(self, masks: list[bytes], maxima: list[bytes], n_columns: int):
         self.depth = len(masks)
         self.top = self.depth - depth_of(n_columns)
-        self.masks = [np.frombuffer(m + b"\0", np.uint8).astype(np.int64) for m in masks]
-        self.first = [np.cumsum(_POP[m]) - _POP[m] for m in self.masks]
-        self.maxima = [np.concatenate((np.frombuffer(m, np.int32), [0])).astype(np.int64) for m in maxima]
+        # Kept as narrow as they are stored: a block has some million cells.
+        self.masks = [np.frombuffer(m + b"\0", np.uint8) for m in masks]
+        self.first = [np.cumsum(_POP[m], dtype=np.int32) - _POP[m] for m in self.masks]
+        self.maxima = [np.frombuffer(m + bytes(4), np.int32) for m in maxima]
 
     def child(self, level: int, cells: np.ndarray, quarter: np.ndarray) -> np.ndarray:
-        mask = self.masks[level][cells]
+        mask = self.masks[level][cells].astype(np.int64)
         below = self.first[level][cells] + _POP[mask & ((1 << quarter) - 1)]
         return np.where(mask >> quarter & 1, below, len(self.maxima[level + 1]) - 1)
 
