@@ -89,6 +89,33 @@ def depth_of(n: int) -> int:
     return max(0, n - 1).bit_length()
 
 
+def _plain(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Texts as bytes, lower-cased and all but terms blank, and where each begins and the last ends."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+    data = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes().translate(_separators())
+    return data, np.ascontiguousarray(offsets - offsets[0])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task the texts with a term, and all terms."""
+    with_terms = terms = 0
+    for batch in batches:
+        texts = batch.column("text")
+        for at, n in byte_slices(texts, BLOCK_BYTES):
+            data, offsets = _plain(texts.slice(at, n))
+            inside = np.frombuffer(data, np.uint8) != 32
+            starts = inside.copy()
+            starts[1:] &= ~inside[:-1]
+            # A text begins anew whatever the one before it ends with.
+            first = offsets[:-1][offsets[1:] > offsets[:-1]]
+            starts[first] = inside[first]
+            before = np.concatenate(([0], np.cumsum(starts)))
+            lengths = before[offsets[1:]] - before[offsets[:-1]]
+            with_terms += int((lengths > 0).sum())
+            terms += int(lengths.sum())
+    yield pa.RecordBatch.from_arrays([pa.array([with_terms]), pa.array([terms])], names=["docs", "terms"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -100,9 +127,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int) -> Ite
 
 def _block(ids: pa.Array, texts: pa.Array, n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
     """One block over texts that are not null."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
-    data = memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]].tobytes().translate(_separators())
-    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets - offsets[0])), pa.py_buffer(data))
+    data, offsets = _plain(texts)
+    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
     lists = pc.ascii_split_whitespace(plain)
     words, docs = lists.flatten(), pc.list_parent_indices(lists)
     real = pc.not_equal(words, "")
@@ -132,8 +158,8 @@ def _block(ids: pa.Array, texts: pa.Array, n_docs: int, n_terms: int) -> Iterato
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Index all terms of all documents.  A null text has no terms; other columns play no part."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
-    n = F.regexp_count("text", F.lit(TERM))
-    n_docs, n_terms = texts.agg(F.count_if(n > 0), F.coalesce(F.sum(n.cast("long")), F.lit(0))).first()
+    counted = texts.select("text").mapInArrow(_count, "docs long, terms long")
+    n_docs, n_terms = counted.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     path = f"{shared_dir(docs.sparkSession)}/k2treap-{uuid.uuid4().hex}"
     blocks = texts.mapInArrow(functools.partial(_blocks, n_docs=n_docs, n_terms=n_terms), _BLOCK_DDL)
     # A row is a block of some MB, so few go into a row group.
