@@ -172,3 +172,96 @@ def ppm(texts, training, order, nodes, discount=0.5):
                 score -= math.log10(max(1, 257 - len(contexts[0].get((), {}))))
         made.append(score)
     return made
+
+
+def exact_groups(rows):
+    """``(id, keep, size, kept, sha)`` per row; of rows that repeat the kept id one is kept."""
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault(lower(text or ""), []).append(doc_id)
+    made = []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        kept = False
+        for i in ids:
+            made.append((i, keep, len(ids), i == keep and not kept, sha(text)))
+            kept = kept or i == keep
+    return made
+
+
+def rebuilt_conversations(rows, every=5, below=9):
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    made = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % below
+        made[c] = own.get(c - int(math.fmod(c, every)), [])[:h] + turns[h:]
+    return made
+
+
+def prefix_nodes(sequences):
+    """Nodes by whole prefixes; each node adds to all of its own prefixes."""
+    members, children, leaves, saved = {}, Counter(), Counter(), Counter()
+    number, prefixes = {(): 0}, [()]
+    for c, turns in sequences.items():
+        at = 0
+        members.setdefault(at, []).append(c)
+        for turn in turns:
+            if (at, turn) not in number:
+                number[at, turn] = len(prefixes)
+                prefixes.append((at, turn))
+                children[at] += 1
+            at = number[at, turn]
+            members.setdefault(at, []).append(c)
+
+    def upwards(at):
+        while at:
+            yield at
+            at = prefixes[at][0]
+        yield 0
+
+    ends = {at: [] for at in members}
+    for c, turns in sequences.items():
+        at = 0
+        for turn in turns:
+            at = number[at, turn]
+        ends[at].append(c)
+    for at in members:
+        weight = (len(members[at]) - 1) * len(prefixes[at][1][1].encode()) if at else 0
+        for above in upwards(at):
+            leaves[above] += not children[at]
+            saved[above] += weight
+    return [
+        (
+            min(convs), sum(1 for _ in upwards(at)) - 1, min(members[prefixes[at][0]]) if at else None, len(convs),
+            children[at], leaves[at], saved[at], sha(",".join(map(str, sorted(ends[at])))),
+        )
+        for at, convs in members.items()
+    ]
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def best_documents(docs, items, k):
+    """``(item, rank, doc, score)`` by scoring every document for every item."""
+    counts = [(d, Counter(TERM.findall(lower(t or "")))) for d, t in docs]
+    lengths = [sum(c.values()) for _, c in counts]
+    n_docs, n_terms = sum(n > 0 for n in lengths), sum(lengths)
+    df = Counter(t for _, c in counts for t in c)
+    made = []
+    for item, text in items:
+        scored = []
+        for (d, c), n in zip(counts, lengths, strict=True):
+            m = 75 + 25 * n * n_docs // max(1, n_terms)
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m))
+                for t in TERM.findall(lower(text or "")) if t in c
+            )
+            if score > 0:
+                scored.append((-score, d is None, d))
+        made += [(item, rank, d, -score) for rank, (score, _, d) in enumerate(sorted(scored)[:k], 1)]
+    return made

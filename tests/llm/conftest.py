@@ -28,8 +28,14 @@ ODD_TEXTS = [
 ]
 
 
-def _write(folder, docs, labels, pages):
+def _write(folder, docs, labels, pages, items=(), turns=()):
     os.makedirs(folder)
+    items, turns = list(zip(*items, strict=True)) or [[], []], list(zip(*turns, strict=True)) or [[], [], [], []]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    item_columns = {"item_id": pa.array(items[0], pa.int64()), "text": pa.array(items[1], pa.string())}
+    pq.write_table(pa.table(item_columns), f"{folder}/benchmark.parquet")
+    turn_columns = [pa.array(c, k) for c, k in zip(turns, kinds, strict=True)]
+    pq.write_table(pa.table(turn_columns, ["conv_id", "turn", "role", "text"]), f"{folder}/conversations.parquet")
     pq.write_table(docs, f"{folder}/documents.parquet")
     pq.write_table(labels, f"{folder}/labels.parquet")
     pq.write_table(pages, f"{folder}/pages.parquet")
@@ -75,7 +81,7 @@ def odd(tmp_path_factory):
             **{c: pa.array(range(len(urls)), pa.int64()) for c in ("host", "path", "rule", "verdict", "row", "key", "stack")},
         }
     )
-    return _write(str(tmp_path_factory.mktemp("odd") / "tables"), _documents(ids, texts), labels, pages)
+    return _write(str(tmp_path_factory.mktemp("odd") / "tables"), _documents(ids, texts), labels, pages, [(1, "one two"), (None, None)], [(1, None, None, "x"), (None, 1, "a", "b")])
 
 
 @pytest.fixture(scope="session")
