@@ -8,9 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.functions.text import retarget
-from freshet.operators.publish import candidate_name
-
 
 class DataTestsFailed(Exception):
     """Some data tests of a candidate did not hold."""
@@ -30,11 +27,6 @@ def split_statements(text: str) -> list[str]:
     return [part for part in parts if part.strip()]
 
 
-def for_candidate(text: str, name: str) -> str:
-    """The tests of ``name`` pointed at its candidate."""
-    return retarget(text, name, candidate_name(name))
-
-
 def run_tests(spark: SparkSession, text: str) -> DataFrame:
     """``(test_name, passed)`` per statement: the first column of its first row.
 

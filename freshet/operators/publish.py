@@ -1,7 +1,8 @@
 """Build a candidate table, then swap it in for the live one.
 
 A table lives under up to four names: the live one, and the live name with one
-of the endings below.  Readers see the old table until the swap.
+of the endings below.  Readers see the old table until the swap.  The swap is two renames, with
+no live table in between; ``versions`` publishes by a single change.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ def build_candidate(
     spark = df.sparkSession
     drop_candidate(spark, name)
     laid_out(df, layout).mode("overwrite").format("parquet").saveAsTable(candidate_name(name))
+    set_grants(spark, candidate_name(name), grantees)
+    return candidate_name(name)
+
+
+def set_grants(spark: SparkSession, table: str, grantees: str | None) -> None:
+    """Who may read is kept with the table; parquet tables have no GRANT."""
     if grantees:
-        # Who may read is kept with the table; parquet tables have no GRANT.
         escaped = grantees.replace("'", "\\'")
-        spark.sql(
-            f"ALTER TABLE {candidate_name(name)} SET TBLPROPERTIES ('{GRANTS_PROPERTY}'='{escaped}')"
-        )
-    return candidate_name(name)
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{GRANTS_PROPERTY}'='{escaped}')")
 
 
 def drop_candidate(spark: SparkSession, name: str) -> None:

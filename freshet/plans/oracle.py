@@ -279,6 +279,17 @@ def oracle_sql() -> dict[str, str]:
         "mv_rebuild": SEGMENT_SALES,
         "mv_layout_bucketed": f"""select counts.*, c_mktsegment from ({ORDER_COUNTS}) counts
             join customer on o_custkey = c_custkey""",
+        "mv_publish_versions": f"""with counts as ({ORDER_COUNTS}),
+            totals as (
+                select count(*) as whole, count(*) filter (o_orderstatus = 'F') as finished,
+                    count(*) filter (orders > 1) as repeated from counts)
+            select publish, step, live_rows, begun_rows, 2 as stored_versions from totals, lateral (values
+                (0, 'built', null, null), (0, 'pointed', finished, null), (0, 'retired', finished, null),
+                (1, 'built', finished, finished), (1, 'pointed', whole, finished), (1, 'retired', whole, finished),
+                (2, 'built', whole, whole), (2, 'pointed', repeated, whole), (2, 'retired', repeated, whole)
+            ) steps(publish, step, live_rows, begun_rows)""",
+        "mv_dependent_chain": f"""select *, orders % 2 as odd, total / orders > 100000 as large,
+            'spent' as refused from ({ORDER_COUNTS}) where orders > 1""",
         "mv_layout_sorted": """select event_id, user_id, event_type, value, n_name
             from events join nation on n_nationkey = user_id % 25""",
         "mv_delimited_roundtrip": """select doc_id,

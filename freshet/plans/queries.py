@@ -22,6 +22,7 @@ from freshet.operators import (
     runlog,
     settings,
     snapshots,
+    versions,
 )
 from freshet.operators.layout import Layout, read_table
 from freshet.operators.throttle import throttle
@@ -117,6 +118,43 @@ def mv_dependent_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(f"{schema}.repeated")
 
 
+@query
+def mv_publish_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a new reader, and one that began before the publish, find after each of its steps."""
+    schema = _warehouse(spark, sf_dir, "orders")
+    name, found = f"{schema}.order_counts", []
+    for publish_no, condition in enumerate(("o_orderstatus = 'F'", "true", "orders > 1")):
+        begun = spark.table(name) if spark.catalog.tableExists(name) else None
+        rows = publish.select_rows(spark, ORDER_COUNTS.format(schema)).where(condition)
+        for step in versions.publish_steps(rows, name, Layout(sortkey="o_custkey")):
+            live = spark.table(name).count() if spark.catalog.tableExists(name) else None
+            found.append((publish_no, step, live, begun.count() if begun else None))
+    stored = len(versions.versions(spark, name))
+    steps = spark.createDataFrame(found, "publish int, step string, live_rows bigint, begun_rows bigint")
+    return steps.withColumn("stored_versions", F.lit(stored))
+
+
+@query
+def mv_dependent_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views over views follow a table that gains a column; a build that would break one is refused."""
+    schema = _warehouse(spark, sf_dir, "orders")
+    name, text = f"{schema}.order_counts", ORDER_COUNTS.format(schema)
+    plain = f"select o_custkey, o_orderstatus, orders, total from ({text})"
+    rebuild(spark, View(name=name, query=plain, keep_versions=1), _clock())
+    spark.sql(f"CREATE VIEW {schema}.repeated AS SELECT * FROM {name} WHERE order_counts.orders > 1")
+    spark.sql(
+        f"""CREATE VIEW {schema}.spent AS SELECT repeated.*, total / orders > 100000 AS large
+        FROM {schema}.repeated"""
+    )
+    rebuild(spark, View(name=name, query=f"select *, orders % 2 as odd from ({text})", keep_versions=1), _clock())
+    try:
+        rebuild(spark, View(name=name, query=f"select o_custkey, orders from ({text})", keep_versions=1), _clock())
+        refused = ""
+    except lineage.DependentsBroken as error:
+        refused = ", ".join(view.split(".")[1] for view in error.broken)
+    return spark.table(f"{schema}.spent").withColumn("refused", F.lit(refused))
+
+
 @query
 def mv_layout_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables bucketed on one key, joined on it without a shuffle."""

@@ -10,20 +10,15 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions.text import retarget
 from freshet.functions.times import interval_minutes
-from freshet.operators import snapshots
+from freshet.operators import lineage, snapshots, versions
 from freshet.operators.catalog import record_builds
-from freshet.operators.expectations import (
-    DataTestsFailed,
-    for_candidate,
-    run_tests,
-    verdict,
-)
+from freshet.operators.expectations import DataTestsFailed, run_tests, verdict
 from freshet.operators.layout import Layout
 from freshet.operators.processors import Processor, process_query
 from freshet.operators.publish import (
     build_candidate,
-    drop_candidate,
     drop_previous,
     publish,
     replace_table,
@@ -45,6 +40,8 @@ class View(NamedTuple):
     ddl: str | None = None
     snapshot_minutes: int | None = None
     keep_minutes: int | None = None
+    # Published by a pointer, with so many old versions kept; by renaming, if not given.
+    keep_versions: int | None = None
 
 
 Clock = Callable[[], int]
@@ -57,9 +54,11 @@ def wall_clock() -> int:
 def rebuild(spark: SparkSession, view: View, clock: Clock = wall_clock, run: dict | None = None) -> dict:
     """Build, test, publish and snapshot one table; returns its run-log row.
 
-    If a data test fails the candidate is dropped, the live table stays as it is,
-    and ``DataTestsFailed`` tells which.  A given ``run`` gets the steps as they end,
-    so it also tells how far a failed rebuild came.
+    If a data test fails, or a view over the table would not resolve any more, the
+    candidate is dropped, the live table stays as it is, and ``DataTestsFailed`` or
+    ``DependentsBroken`` tells which.  Views over a table whose columns changed are
+    re-created after the swap.  A given ``run`` gets the steps as they end, so it also
+    tells how far a failed rebuild came.
     """
     run = {} if run is None else run
     run.update(dict.fromkeys(STEP_COLUMNS))
@@ -70,26 +69,46 @@ def rebuild(spark: SparkSession, view: View, clock: Clock = wall_clock, run: dic
     log("start")
     log("connect")
     layout, grantees = Layout.from_config(view.config), (view.config or {}).get("grant_select")
+    pointed = view.keep_versions is not None
+
+    def build(rows: DataFrame) -> str:
+        if pointed:
+            return versions.version_name(view.name, versions.build_version(rows, view.name, layout, grantees))
+        return build_candidate(rows, view.name, layout, grantees)
+
     if view.processor is not None:
-        rows = process_query(spark, view.query, view.processor, declared_schema(view.ddl or ""))
-        build_candidate(rows, view.name, layout, grantees)
+        candidate = build(process_query(spark, view.query, view.processor, declared_schema(view.ddl or "")))
         # Selecting, processing and loading are one Spark job, so they end together.
         for step in ("select", "process", "insert"):
             log(step)
     else:
-        build_candidate(select_rows(spark, view.query), view.name, layout, grantees)
+        candidate = build(select_rows(spark, view.query))
         log("create_temp")
 
-    if view.tests:
-        passed, failed = verdict(run_tests(spark, for_candidate(view.tests, view.name)))
-        if not passed:
-            drop_candidate(spark, view.name)
-            raise DataTestsFailed(view.name, failed)
-    log("tests")
-
-    publish(spark, view.name)
+    try:
+        if view.tests:
+            passed, failed = verdict(run_tests(spark, retarget(view.tests, view.name, candidate)))
+            if not passed:
+                raise DataTestsFailed(view.name, failed)
+        log("tests")
+        # Views can only break, or have to follow, where columns change.
+        changed = columns_change(spark, view.name, candidate)
+        dependents = lineage.check_dependents(spark, view.name, candidate) if changed else []
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {candidate}")
+        raise
+
+    if pointed:
+        versions.recover(spark, view.name)
+        versions.point(spark, view.name, int(candidate.rsplit("v", 1)[1]))
+    else:
+        publish(spark, view.name)
+    lineage.recreate_views(spark, dependents)
     log("replace_old")
-    drop_previous(spark, view.name)
+    if pointed:
+        versions.retire(spark, view.name, view.keep_versions)
+    else:
+        drop_previous(spark, view.name)
     log("drop_old")
     if view.snapshot_minutes and snapshots.make_snapshot(
         spark, view.name, run["start"], view.snapshot_minutes, view.keep_minutes
@@ -99,6 +118,15 @@ def rebuild(spark: SparkSession, view: View, clock: Clock = wall_clock, run: dic
     return {"table_name": view.name, **run}
 
 
+def columns_change(spark: SparkSession, name: str, candidate: str) -> bool:
+    """Whether the candidate's columns differ from those of the live table, if there is one."""
+
+    def columns(table: str) -> list[tuple]:
+        return [(f.name, f.dataType.simpleString()) for f in spark.table(table).schema]
+
+    return spark.catalog.tableExists(name) and columns(name) != columns(candidate)
+
+
 def views_to_build(plan: DataFrame, catalog: DataFrame, classified: DataFrame) -> DataFrame:
     """The plan's tables with all that ``rebuild_set`` needs, from the catalog and the files."""
     config = decode_config(F.col("config"))
