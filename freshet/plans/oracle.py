@@ -290,6 +290,42 @@ def oracle_sql() -> dict[str, str]:
             ) steps(publish, step, live_rows, begun_rows)""",
         "mv_dependent_chain": f"""select *, orders % 2 as odd, total / orders > 100000 as large,
             'spent' as refused from ({ORDER_COUNTS}) where orders > 1""",
+        "folder_scan": f"""with {FILES},
+            written as (
+                select case k % 4 when 0 then inside || '.sql' when 1 then beside || ' — 24h.sql'
+                    when 2 then inside || ' - 30m.sql' else inside || '–1W.sql' end as path, 'select 1 as id' as text
+                from files where has_query
+                union all select inside || '_test.sql', 'select true as ok' from files where has_test
+                union all select inside || '.py', 'pass' from files where has_processor
+                union all select beside || '_select.sql', case when k % 30 = 0 then '' else 'select id from s1.t1' end
+                from files where has_select
+                union all select inside || '_requirements.txt', 'x==1' from files where has_requirements)
+            select path, case when path not like '%13%' then
+                    text || case when path like '%7%' then chr(10) || '-- edited' else '' end end as text,
+                case when path like '%13%' then 'gone' when path like '%7%' then
+                    case when text = '' then 'new' else 'changed' end else 'same' end as status
+            from written where text <> '' or path like '%7%' and path not like '%13%'
+            union all select 'more/' || path, text, 'new' from written where path like '%42%' and text <> ''""",
+        "folder_replan": f"""with recursive defs as (
+                select p_partkey as k, {_name('p_partkey')} as table_name,
+                    case when p_partkey % 7 = 3 then p_partkey // 2 else p_partkey end as base
+                from part where p_partkey % 13 <> 5),
+            tables as (
+                select table_name from defs
+                union all select {_name('p_partkey')} || '_next' from part where p_partkey % 9 = 0),
+            named as (
+                select table_name as src, {_name('base // 2')} as dst from defs where base >= 2
+                union select table_name, {_name('base // 3')} from defs where base >= 2
+                union select {_name('p_partkey')} || '_next', {_name('p_partkey')} from part where p_partkey % 9 = 0),
+            edges as (select src, dst from named where dst in (select table_name from tables)),
+            walks as (
+                select table_name, 0 as level from tables
+                union select src, level + 1 from walks join edges on dst = table_name where src <> dst),
+            reading as (select src as table_name, string_agg(dst, ', ' order by dst) as reads from edges group by 1)
+            select table_name, max(level) as level, any_value(reads) as reads,
+                case when substr(table_name, 2, 1) = '3' then '{{"diststyle":"even"}}'
+                    when substr(table_name, 2, 1) in ('0', '9', '4') then '{{"diststyle":"all"}}' end as config
+            from walks left join reading using (table_name) group by table_name""",
         "mv_layout_sorted": """select event_id, user_id, event_type, value, n_name
             from events join nation on n_nationkey = user_id % 25""",
         "mv_delimited_roundtrip": """select doc_id,

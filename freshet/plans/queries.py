@@ -26,11 +26,12 @@ from freshet.operators import (
 )
 from freshet.operators.layout import Layout, read_table
 from freshet.operators.throttle import throttle
-from freshet.plans import refresh, samples
+from freshet.plans import refresh, replan, samples
 from freshet.plans.rebuild import View, rebuild, rebuild_set
 from freshet.plans.samples import NOW
-from freshet.session import scratch_schema, shared_dir
+from freshet.session import scratch_schema, shared_dir, stage
 from freshet.sources import definitions as folder
+from freshet.sources import manifest
 from freshet.sources.delimited import read_delimited, write_delimited
 from freshet.streaming.throttle import throttle_stream
 
@@ -333,6 +334,50 @@ def snapshot_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The definition set -------------------------------------------------------------
 
 
+@query
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder scanned as a whole, changed, and scanned for what has changed: all files and what became of them."""
+    root = f"{shared_dir(spark)}/{scratch_schema(spark, 'folder')}/views"
+    files, _ = stage(samples.files(spark, sf_dir))
+    samples.write_files(files, root)
+    first = manifest.scan_changes(spark, root, manifest.empty_manifest(spark))
+    known, _ = stage(manifest.take_changes(files.limit(0), first))
+
+    path, text = F.col("path"), F.col("text")
+    gone = F.contains(path, F.lit("13"))
+    edited = files.where(gone | F.contains(path, F.lit("7"))).select(
+        "path", F.when(~gone, F.concat(text, F.lit("\n-- edited"))).alias("text")
+    )
+    new = files.where(F.contains(path, F.lit("42"))).select(F.concat(F.lit("more/"), path).alias("path"), "text")
+    samples.write_files(edited.unionByName(new), root)
+    second = manifest.scan_changes(spark, root, first.manifest)
+    marks = second.files.select("path", F.when(F.col("known"), "changed").otherwise("new").alias("status"))
+    marks = marks.unionByName(second.gone.select("path", F.lit("gone").alias("status")))
+    return (
+        manifest.take_changes(known, second)
+        .join(marks, "path", "full_outer")
+        .withColumn("status", F.coalesce("status", F.lit("same")))
+    )
+
+
+@query
+def folder_replan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels, what is read, and settings of all tables, brought up to date from a change set."""
+    before, after = (stage(files)[0] for files in samples.folder_before_and_after(spark, sf_dir))
+    state = replan.folder_state(before)
+    known = before.select("path", F.lit(True).alias("known"))
+    changed, _ = stage(after.exceptAll(before).join(known, "path", "left").withColumn("known", F.coalesce("known", F.lit(False))))
+    gone, _ = stage(before.join(after, "path", "left_anti").select("path"))
+    new = replan.update_state(state, manifest.Changes(changed, gone, manifest.empty_manifest(spark), 0, 0))
+    reads = new.edges.groupBy(F.col("src").alias("table_name")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ", ").alias("reads"))
+    return (
+        new.levels.withColumnRenamed("node", "table_name")
+        .join(new.configs, "table_name")
+        .join(reads, "table_name", "left")
+        .select("table_name", "level", "config", "reads")
+    )
+
+
 @query
 def test_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folder.load_tests(folder.classify(samples.files(spark, sf_dir)))

@@ -5,7 +5,10 @@ The formulas are mirrored in SQL in ``oracle.py``; both work on whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.times import epoch_seconds
@@ -251,3 +254,43 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         file(mod(k, 25) == 0, F.concat(inside, F.lit("_requirements.txt")), "x==1"),
     )
     return table(spark, sf_dir, "part").select(F.inline(F.array_compact(every)))
+
+
+def folder_before_and_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(path, text)`` of a folder of definitions and schema settings, at two times.
+
+    Later some definitions are there that others have named already, some are gone, some read
+    other tables, and settings have come, gone and changed.
+    """
+    k = F.col("p_partkey")
+    parts, path = table(spark, sf_dir, "part"), F.concat(F.replace(name_of(k), F.lit("."), F.lit("/")), F.lit(" - 6h.sql"))
+    before = parts.where(mod(k, 11) != 4).select(path.alias("path"), definition_text(k).alias("text"))
+    changed = F.when(mod(k, 7) == 3, definition_text(half(k, 2))).otherwise(definition_text(k))
+    after = parts.where(mod(k, 13) != 5).select(path.alias("path"), changed.alias("text"))
+    follower = F.concat(F.replace(name_of(k), F.lit("."), F.lit("/")), F.lit("_next.sql"))
+    added = parts.where(mod(k, 9) == 0).select(follower.alias("path"), F.concat(F.lit("select id from "), name_of(k)).alias("text"))
+
+    digit = mod(k, 10)
+    schemas = parts.groupBy(digit.cast("int").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    conf, d = F.concat(F.lit("s"), F.col("d").cast("string"), F.lit(".conf")), F.col("d")
+    settings_before = schemas.where(d % 3 == 0).select(conf.alias("path"), F.lit("diststyle=all").alias("text"))
+    style = F.when(d == 3, "diststyle=even").otherwise("diststyle=all")
+    settings_after = schemas.where((d % 3 == 0) & (d != 6) | (d == 4)).select(conf.alias("path"), style.alias("text"))
+    return before.unionByName(settings_before), after.unionByName(added).unionByName(settings_after)
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write ``(path, text)`` rows as files below a folder that all executors share; a null text removes."""
+
+    def write(rows: Iterator[Row]) -> None:
+        store, base = fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        for row in rows:
+            place = f"{base}/{row.path}"
+            if row.text is None:
+                store.delete_file(place)
+                continue
+            store.create_dir(place.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(place) as file:
+                file.write(row.text.encode())
+
+    files.foreachPartition(write)

@@ -26,19 +26,26 @@ GLOBAL, SCHEMA_OUTSIDE, SCHEMA_INSIDE, TABLE_OUTSIDE, TABLE_INSIDE = range(5)
 GLOBAL_SETTINGS = "global"
 
 
+FILE_KINDS = "*.{sql,py,conf,txt}"
+
+
+def relative_path(full: Column, root: str) -> Column:
+    """A file's path below ``root``; ``full`` carries a scheme and the absolute folder."""
+    inner = root.rstrip("/").split(":", 1)[-1].lstrip("./")
+    return F.regexp_replace(full, rf"\A.*?{re.escape(inner)}/", "")
+
+
+def scan_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """``(path, text)`` of files or folders below ``root``, lines trimmed."""
+    found = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=FILE_KINDS)
+    # The metadata path is percent-encoded.
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return found.select(relative_path(full, root).alias("path"), strip_lines(F.col("value")).alias("text"))
+
+
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """Every definition file under ``root`` with its text, lines trimmed."""
-    base = root.rstrip("/")
-    found = spark.read.text(
-        base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{sql,py,conf,txt}"
-    )
-    # The metadata path is percent-encoded and carries a scheme and the absolute folder.
-    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    inner = base.split(":", 1)[-1].lstrip("./")
-    return found.select(
-        F.regexp_replace(full, rf"\A.*?{re.escape(inner)}/", "").alias("path"),
-        strip_lines(F.col("value")).alias("text"),
-    )
+    return scan_files(spark, root, [root.rstrip("/")])
 
 
 def _ends(path: Column, ending: str) -> Column:
@@ -49,13 +56,8 @@ def _cut(name: Column, ending: str) -> Column:
     return F.regexp_replace(name, re.escape(ending) + r"\z", "")
 
 
-def classify(files: DataFrame) -> DataFrame:
-    """Add ``kind``, ``table_name``, ``interval`` (the literal) and ``place``.
-
-    Kinds: query, ddl (declares a processor's output), select (a processor's
-    input), test, processor, requirements, settings.  ``place`` ranks two files of
-    one kind for a table: 0 in the schema's folder, 1 beside it, 2 elsewhere.
-    """
+def _roughly(files: DataFrame) -> DataFrame:
+    """Add ``file_table``, ``rough_kind`` and ``table_name`` as far as the path alone tells them."""
     path = F.col("path")
     settings, requirements = _ends(path, ".conf"), _ends(path, REQUIREMENTS_ENDING)
     known = F.rlike(path, F.lit(r"\.(?:sql|py|conf)\z")) | requirements
@@ -73,13 +75,28 @@ def classify(files: DataFrame) -> DataFrame:
         .when(_ends(path, f"{SELECT_ENDING}.sql"), "select")
         .when(_ends(path, ".sql"), "query"),
     )
-    named = named.withColumn(
+    return named.withColumn(
         "table_name",
         F.when(F.col("rough_kind") == "test", _cut(F.col("file_table"), TEST_ENDING))
         .when(F.col("rough_kind") == "select", _cut(F.col("file_table"), SELECT_ENDING))
         .when(F.col("rough_kind") == "requirements", _cut(F.col("file_table"), "_requirements"))
         .otherwise(F.col("file_table")),
     )
+
+
+def tables_of_files(files: DataFrame) -> DataFrame:
+    """``(path, belongs_to)``: the table whose files have to be classified together."""
+    return _roughly(files).select("path", F.col("table_name").alias("belongs_to"))
+
+
+def classify(files: DataFrame) -> DataFrame:
+    """Add ``kind``, ``table_name``, ``interval`` (the literal) and ``place``.
+
+    Kinds: query, ddl (declares a processor's output), select (a processor's
+    input), test, processor, requirements, settings.  ``place`` ranks two files of
+    one kind for a table: 0 in the schema's folder, 1 beside it, 2 elsewhere.
+    """
+    named, path = _roughly(files), F.col("path")
     processors = (
         named.where("rough_kind = 'processor'")
         .select("table_name", F.lit(True).alias("processed"))
