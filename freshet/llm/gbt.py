@@ -130,12 +130,17 @@ def score(docs: DataFrame, trees: Trees, out: str) -> DataFrame:
     return with_stats(docs, stats).withColumn(out, scored(*features)).drop(stats)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+def quality_classifier(
+    docs: DataFrame, labels: DataFrame, least: float = 0.5, learn_from: DataFrame | None = None
+) -> DataFrame:
     """The documents that score at least ``least``; columns unchanged.
 
-    Learns from the labelled documents whose crc32(doc_id) modulo 3 is not 1.
+    Learns from the labelled documents of ``learn_from`` (``docs``, if not given) whose
+    crc32(doc_id) modulo 3 is not 1.  Where ``docs`` have been filtered by quality before,
+    give the unfiltered ones: what is left has one label, from which nothing can be learned.
     """
-    trees = fit_quality(docs, labels, remainder_of(F.col("_id"), 3) != 1)
+    source = docs if learn_from is None else learn_from
+    trees = fit_quality(source, labels, remainder_of(F.col("_id"), 3) != 1)
     name = fresh(docs, "_score")
     scored = score(docs, trees, name)
     return scored.where(F.col(name) >= least).select(*docs.columns)
