@@ -21,8 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more."""
-    return gbt.quality_classifier(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier scores 0.5 or more.
+
+    It learns from the labelled documents as they came in: those that the rules have kept
+    nearly all have one label.
+    """
+    return gbt.quality_classifier(
+        docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents")
+    )
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
