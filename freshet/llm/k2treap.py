@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.llm.common import byte_slices, lower_ascii, running_sum, text_of
+from freshet.llm.common import byte_slices, lower_ascii, modest_batches, running_sum, text_of
 from freshet.operators.graph import union_all
 from freshet.session import shared_dir, stage
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # What a block and a broadcast set of queries hold at most, beyond one text or one query.
-BLOCK_BYTES, BLOCK_DOCS, GROUP_ENTRIES = 4_000_000, 2048, 200_000
+BLOCK_BYTES, BLOCK_DOCS, GROUP_ENTRIES = 3_000_000, 1024, 200_000
 # Ranges that are split in one step.
 STEP = 128
 PARTS = 256
@@ -123,6 +123,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int) -> Ite
             for first in range(at, at + n, BLOCK_DOCS):
                 part = batch.slice(first, min(BLOCK_DOCS, at + n - first))
                 yield from _block(part.column("id"), part.column("text"), n_docs, n_terms)
+                # What one block needed is given back before the next.
+                pa.default_memory_pool().release_unused()
 
 
 def _block(ids: pa.Array, texts: pa.Array, n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
@@ -158,6 +160,7 @@ def _block(ids: pa.Array, texts: pa.Array, n_docs: int, n_terms: int) -> Iterato
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Index all terms of all documents.  A null text has no terms; other columns play no part."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
+    modest_batches(docs.sparkSession)
     counted = texts.select("text").mapInArrow(_count, "docs long, terms long")
     n_docs, n_terms = counted.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     path = f"{shared_dir(docs.sparkSession)}/k2treap-{uuid.uuid4().hex}"
