@@ -1,4 +1,4 @@
-"""I-Match fingerprints: hashes of the sorted mid-frequency terms, over randomised lexicons.
+"""I-Match fingerprints: hashes of the set of mid-frequency terms, over randomised lexicons.
 
 A term belongs to the lexicon if the share of documents that hold it lies in a band.  Copies
 and near copies count as one document, so that a large group of them does not lose its terms.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import partitions, text_of
+from freshet.llm.common import hold, partitions, text_of
 from freshet.session import stage
 
 # Document shares between which a term is kept; as idf, ln(1 / share): 2.3 to 6.9.
@@ -67,34 +67,31 @@ def lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHA
     return stage(band.select("term", F.xxhash64("term").alias("id")).withColumn("member", _member(F.col("id"))))
 
 
-def _signatures(found: Column, own: Column, whole: Column) -> Column:
-    """One hash for each lexicon over its sorted terms.
+def _kept(term_id: Column, member: Column, i: Column | int) -> Column:
+    """The term's id if lexicon ``i`` keeps it, else 0."""
+    # Bit i, moved to the sign and back, is a number of ones or zeros.
+    left = F.call_function("shiftleft", member, F.lit(LEXICONS - 1) - i)
+    return term_id.bitwiseAND(F.shiftright(left, LEXICONS - 1))
+
+
+def _short(x: Column) -> Column:
+    """The upper half of a hash; 0 is left to lexicons without a term."""
+    top = F.shiftright(x, 32).cast("int")
+    return F.when(x == 0, F.lit(NONE)).when(top == NONE, F.lit(1)).otherwise(top)
 
-    Without any term of the band the text's ``own`` terms stand for them, without any term the ``whole`` text.
-    """
-    def kept(terms: Column, i: Column) -> Column:
-        held = F.filter(terms, lambda t: F.call_function("shiftright", t["member"], i).bitwiseAND(F.lit(1).cast("long")) != 0)
-        return F.xxhash64(F.transform(held, lambda t: t["id"]))
 
-    def short(x: Column) -> Column:
-        top = F.shiftright(x, 32).cast("int")
-        return F.when(top == NONE, F.lit(1)).otherwise(top)
+def _by_own(ids: Column) -> Column:
+    """The fingerprint over all distinct terms of a text, by the same fold as over those of the band."""
+    drawn = F.transform(ids, lambda t: F.struct(t.alias("id"), _member(t).alias("member")))
 
-    # Without a term the hash is its seed.
-    seed = F.xxhash64(F.array().cast("array<bigint>"))
+    def folded(terms: Column) -> Column:
+        def one(i: Column) -> Column:
+            return F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_kept(t["id"], t["member"], i)))
 
-    def hashes(terms: Column) -> Column:
-        return F.transform(
-            F.transform(F.sequence(F.lit(0), F.lit(LEXICONS - 1)), lambda i: kept(terms, i)),
-            lambda x: F.when(x != seed, short(x)).otherwise(F.lit(NONE)),
-        )
+        return F.transform(F.sequence(F.lit(0), F.lit(LEXICONS - 1)), lambda i: _short(one(i)))
 
-    drawn = F.transform(own, lambda t: F.struct(t.alias("id"), _member(t).alias("member")))
     # An array of one, so that the terms are drawn once.
-    by_own = F.get(F.transform(F.array(drawn), hashes), F.lit(0))
-    return (
-        F.when(F.size(found) > 0, hashes(found)).when(F.size(own) > 0, by_own).otherwise(F.array_repeat(short(whole), LEXICONS))
-    )
+    return F.get(F.transform(F.array(drawn), folded), F.lit(0))
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -116,41 +113,56 @@ def fingerprints(texts: DataFrame, key: str, columns: dict[str, str], terms: Dat
     ``columns`` maps text columns to the names of the fingerprints; the texts themselves
     are dropped, other columns stay.  ``texts`` is dealt by ``key``, so the terms of a row
     are gathered where the row is, without a shuffle.  Equal texts get equal fingerprints.
+
+    A lexicon's part of a fingerprint is the exclusive or of the 64-bit ids of the distinct
+    terms that it keeps.  This does not depend on order, so it tells the sorted terms
+    without sorting them.  Null texts have to be made empty before; a text without a term
+    of the band goes by all of its terms, one without any by its whole.
     """
     others = [c for c in texts.columns if c not in columns]
-    def tagged(side: int, text: str) -> Column:
-        return F.transform(terms_of(F.col(text)), lambda t: F.struct(F.lit(side).alias("side"), t.alias("term")))
+    cut = texts
+    for i, c in enumerate(columns):
+        cut = hold(cut, f"_ids{i}", _ids(terms_of(F.col(c))))
+
+    def tagged(i: int) -> Column:
+        return F.transform(F.col(f"_ids{i}"), lambda t: F.struct(F.lit(i).alias("side"), t.alias("id")))
 
     sides = F.concat(
-        *(tagged(i, c) for i, c in enumerate(columns)),
+        *(tagged(i) for i in range(len(columns))),
         # A row without terms stays in the result.
-        F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("term"))),
+        F.array(F.struct(F.lit(-1).alias("side"), F.lit(0).cast("long").alias("id"))),
     )
     row = F.struct(
         *others,
         *(F.xxhash64(F.lower(c)).alias(f"_whole{i}") for i, c in enumerate(columns)),
-        *(F.array_sort(_ids(terms_of(F.col(c)))).alias(f"_own{i}") for i, c in enumerate(columns)),
+        *(f"_ids{i}" for i in range(len(columns))),
     )
     # Numbered before they are spread: a row's terms share its number.
-    numbered = texts.select(key, F.monotonically_increasing_id().alias("_uid"), row.alias("_row"), sides.alias("_sides"))
+    numbered = cut.select(key, F.monotonically_increasing_id().alias("_uid"), row.alias("_row"), sides.alias("_sides"))
     spread = numbered.select(key, "_uid", "_row", F.explode("_sides").alias("_t"))
     # The row's other columns travel on the row's own entry only.
     spread = spread.select(
-        key, "_uid", F.when(F.col("_t.side") < 0, F.col("_row")).alias("_row"), F.col("_t.side").alias("_side"), F.col("_t.term").alias("term")
+        key, "_uid", F.when(F.col("_t.side") < 0, F.col("_row")).alias("_row"), F.col("_t.side").alias("_side"), F.col("_t.id").alias("id")
     )
-    known = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    met = spread.join(known, "term", "left").where("id is not null or _side < 0")
-    found = met.groupBy(key, "_uid").agg(
+    known = terms.select("id", "member")
+    met = spread.join(F.broadcast(known) if n_terms <= BROADCAST_TERMS else known, "id", "left")
+    met = met.where("member is not null or _side < 0").withColumn("member", F.coalesce("member", F.lit(0).cast("long")))
+    # Fixed-width sums only, so that they are updated in place by compiled code.
+    sums = [F.bit_xor(_kept(F.col("id"), F.col("member"), i)).alias(f"_x{i}") for i in range(LEXICONS)]
+    folded = met.groupBy(key, "_uid", "_side", "_row").agg(*sums)
+    made = F.array(*(_short(F.col(f"_x{i}")) for i in range(LEXICONS)))
+    folded = folded.select(key, "_uid", "_side", "_row", F.when(F.col("_side") >= 0, made).alias("_made"))
+    found = folded.groupBy(key, "_uid").agg(
         F.max("_row").alias("_row"),
-        *(
-            F.sort_array(F.collect_set(F.when(F.col("_side") == i, F.struct("id", "member")))).alias(f"_found{i}")
-            for i in range(len(columns))
-        ),
+        *(F.max(F.when(F.col("_side") == i, F.col("_made"))).alias(f"_found{i}") for i in range(len(columns))),
     )
-    made = [
-        _signatures(F.col(f"_found{i}"), F.col(f"_row._own{i}"), F.col(f"_row._whole{i}")).alias(name) for i, name in enumerate(columns.values())
-    ]
-    return found.select(*(F.col("_row")[c].alias(c) for c in others), *made)
+
+    def told(i: int) -> Column:
+        own, whole = F.col(f"_row._ids{i}"), F.col(f"_row._whole{i}")
+        without = F.when(F.size(own) > 0, _by_own(own)).otherwise(F.array_repeat(_short(whole), LEXICONS))
+        return F.when(F.col(f"_found{i}").isNotNull(), F.col(f"_found{i}")).otherwise(without)
+
+    return found.select(*(F.col("_row")[c].alias(c) for c in others), *(told(i).alias(name) for i, name in enumerate(columns.values())))
 
 
 # Next documents ----------------------------------------------------------------------
