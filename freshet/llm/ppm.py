@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import byte_slices, fresh, lower_ascii, modest_batches, partitions, text_of, words_of
-from freshet.operators.skew import find_hot_keys
 from freshet.session import stage
 
 ORDER = 5
@@ -44,6 +43,10 @@ STEP = 1 << 18
 SPLIT = 3
 # About as many windows as a task should hold.
 TASK_WINDOWS = 1 << 20
+# Times a context of ``SPLIT`` symbols this fits 63 bits.
+MIX = 0x9E3779B1
+# A block of texts ends when it has so many entries of a rare window and a text.
+BLOCK_ENTRIES = 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
@@ -351,74 +354,195 @@ def score(docs: DataFrame, model: Model, out: str, text: str = "text") -> DataFr
     return docs.withColumn(out, made(text_of(text)))
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Values as compressed bytes, all first bytes before all second ones: most are alike."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+
+
+def part_of(codes, split: int, n_parts: int):
+    """The part of each window, an array or a column: by the last ``split`` symbols of its context, mixed."""
+    if isinstance(codes, Column):
+        context = F.shiftright(codes, BITS).bitwiseAND(F.lit(_mask(split)))
+        return F.shiftright(context * F.lit(MIX), 20) % n_parts
+    return (((codes >> BITS) & _mask(split)) * MIX >> 20) % n_parts
+
+
+class Block:
+    """Rare windows of neighbouring texts: each window once, with the texts that hold it.
+
+    Entries are ``(window, text, n)``, the text as its number in the block.
+    """
+
+    def __init__(self) -> None:
+        self.first, self.texts = 0, 0
+        self._codes, self._at, self._n = ([] for _ in range(3))
+        self.size = 0
+
+    def add(self, codes: np.ndarray, at: np.ndarray, n: np.ndarray | None = None) -> None:
+        """Add windows and the numbers of their texts; equal entries become one."""
+        order = np.lexsort((at, codes))
+        codes, at = codes[order], at[order]
+        new = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (at[1:] != at[:-1]))[: len(codes)])
+        sums = np.diff(np.append(new, len(codes))) if n is None else np.add.reduceat(n[order], new) if len(new) else n
+        self._codes.append(codes[new])
+        self._at.append(at[new])
+        self._n.append(sums)
+        self.size += len(new)
+        if len(self._codes) > 64:
+            self._merge()
+
+    def _merge(self) -> None:
+        codes, at, n = (np.concatenate(x) for x in (self._codes, self._at, self._n))
+        self._codes, self._at, self._n, self.size = [], [], [], 0
+        self.add(codes, at, n)
+
+    def cut(self, split: int, n_parts: int) -> list[dict]:
+        """What each part is asked by this block; empties the block."""
+        if not self.size:
+            return []
+        self._merge()
+        codes, at, n = self._codes[0], self._at[0], self._n[0]
+        part = part_of(codes, split, n_parts)
+        order = np.argsort(part, kind="stable")
+        part, codes, at, n = part[order], codes[order], at[order], n[order]
+        ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
+        made, lo = [], 0
+        for hi in ends:
+            new = np.flatnonzero(np.append(True, codes[lo + 1 : hi] != codes[lo : hi - 1]))
+            held = codes[lo:hi][new]
+            made.append(
+                {
+                    "part": int(part[lo]),
+                    "first": self.first,
+                    "texts": self.texts,
+                    "n_windows": len(held),
+                    "n_entries": int(hi - lo),
+                    "windows": _squeezed(np.diff(held, prepend=0)),
+                    "holders": _squeezed(np.diff(np.append(new, hi - lo)).astype(np.int32)),
+                    "at": _squeezed(at[lo:hi].astype(np.int32)),
+                    "n": _squeezed(n[lo:hi].astype(np.int32)),
+                }
+            )
+            lo = hi
+        self._codes, self._at, self._n, self.size = [], [], [], 0
+        return made
+
+
+# What a block asks of a part, in Arrow and in Spark.
+_ASKED = pa.struct(
+    [("part", pa.int32()), ("first", pa.int64()), *((x, pa.int32()) for x in ("texts", "n_windows", "n_entries"))]
+    + [(x, pa.binary()) for x in ("windows", "holders", "at", "n")]
+)
+_ASKED_SQL = "struct<part:int,first:long,texts:int,n_windows:int,n_entries:int,windows:binary,holders:binary,at:binary,n:binary>"
+
+
+def _n_parts(corpus: Corpus) -> int:
+    return max(partitions(corpus.counts.sparkSession), math.ceil(corpus.n_windows / TASK_WINDOWS))
+
+
 def meet(docs: DataFrame, corpus: Corpus, out: str, rare: str, text: str = "text") -> DataFrame:
-    """Add double ``out``, the score of a text's frequent windows, and its others as ``rare``.
+    """Add double ``out``, the score of a text's frequent windows, and ``rare``, what is open.
 
-    ``rare`` is an array of ``(window, n)``; ``settle`` adds what they score.
+    Neighbouring texts form blocks; the last text of a block carries its other windows, each
+    once, by part of the corpus, in ``rare.asked``.  ``rare.uid`` numbers the rows.  ``settle``
+    adds what these windows score; store the result before.  A null text is empty, repeated
+    rows are scored each, and columns named like ``out`` or ``rare`` are replaced.
     """
     modest_batches(docs.sparkSession)
-    order = corpus.order
+    order, split, n_parts = corpus.order, corpus.split, _n_parts(corpus)
     shared = docs.sparkSession.sparkContext.broadcast(corpus.frequent)
-
-    @F.arrow_udf("log double, rare array<struct<window:long,n:long>>")
-    def made(texts: pa.Array) -> pa.Array:
-        frequent, scores, sizes, held = shared.value, [], [np.zeros(1, np.int64)], []
+    rest = docs.drop(out, rare)
+    packed = rest.select(
+        F.struct(*(F.col(f"`{c}`") for c in rest.columns)).alias("row"),
+        text_of(text).alias("text"),
+        F.monotonically_increasing_id().alias("uid"),
+    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, block, held = shared.value, Block(), None
         # One more for windows that have no place.
         logs = np.append(frequent.values["log"], 0.0)
-        column = texts.cast(pa.string())
-        for at, rows in byte_slices(column):
-            symbols, ends = framed(column.slice(at, rows), order)
-            each, places, others = np.empty(max(0, len(symbols) - order)), [], []
-            for lo in range(0, len(each), STEP):
+
+        def scored(column: pa.Array, uids: np.ndarray) -> np.ndarray:
+            if not block.texts:
+                block.first = int(uids[0])
+            symbols, ends = framed(column, order)
+            sums = np.zeros(len(column))
+            # Where each text's first window and the window of its end symbol are.
+            lasts = ends - 1 - order
+            firsts = np.append(0, ends[:-1])
+            for lo in range(0, len(symbols) - order, STEP):
                 codes = windows(symbols[lo : lo + STEP + order], order)
+                hi = lo + len(codes)
+                a, b = np.searchsorted(lasts, lo), np.searchsorted(firsts, hi)
+                # Windows before a text's first one predict the symbols that stand before it.
+                sizes = np.minimum(lasts[a:b] + 1, hi) - np.maximum(firsts[a:b], lo)
+                starts = np.maximum(firsts[a:b], lo) - lo
+                row = np.repeat(np.arange(a, b), sizes)
+                inside = np.arange(len(row)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+                codes = codes[inside]
                 place = frequent.find(codes)
-                each[lo : lo + len(codes)] = logs[place]
-                lost = np.flatnonzero(place < 0)
-                places.append(lost + lo)
-                others.append(codes[lost])
-            inside = _starts_inside(each, ends, order)
-            each[~inside] = 0
-            scores.append(np.add.reduceat(each, np.concatenate([[0], (ends - order)[:-1]])))
-            places, others = np.concatenate(places), np.concatenate(others)
-            places, others = places[inside[places]], others[inside[places]]
-            row = np.searchsorted(ends - order, places, side="right")
-            sort = np.lexsort((others, row))
-            row, others = row[sort], others[sort]
-            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (others[1:] != others[:-1]))[: len(row)])
-            sizes.append(np.bincount(row[first], minlength=rows))
-            held.append((others[first], np.diff(np.append(first, len(row)))))
-        none = np.empty(0, np.int64)
-        codes, n = (np.concatenate([*(h[i] for h in held), none]) for i in range(2))
-        pairs = pa.StructArray.from_arrays([pa.array(codes), pa.array(n)], ["window", "n"])
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pairs)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate([*scores, np.empty(0)])), lists], ["log", "rare"])
-
-    held = fresh(docs, "_met")
-    met = docs.withColumn(held, made(text_of(text)))
-    return met.withColumn(out, F.col(held)["log"]).withColumn(rare, F.col(held)["rare"]).drop(held)
-
-
-def settle(docs: DataFrame, corpus: Corpus, out: str, rare: str) -> DataFrame:
+                sums += np.bincount(row, logs[place], len(sums))
+                lost = place < 0
+                block.add(codes[lost], row[lost] + int(uids[0]) - block.first)
+            block.texts = int(uids[-1]) - block.first + 1
+            return sums
+
+        def done(piece: tuple, last: bool) -> pa.RecordBatch:
+            row, text, uids, sums = piece
+            asked = [None] * len(sums)
+            if last:
+                asked[-1] = block.cut(split, n_parts)
+                block.texts = 0
+            rares = pa.StructArray.from_arrays([pa.array(uids), pa.array(asked, pa.list_(_ASKED))], ["uid", "asked"])
+            return pa.RecordBatch.from_arrays([row, text, pa.array(sums), rares], ["row", "text", "log", "rare"])
+
+        for batch in batches:
+            for at, rows in byte_slices(batch.column("text")):
+                piece = batch.slice(at, rows)
+                if held:
+                    yield done(held, block.size >= BLOCK_ENTRIES)
+                text, uids = piece.column("text").cast(pa.string()), piece.column("uid").to_numpy()
+                held = (piece.column("row"), text, uids, scored(text, uids))
+        if held:
+            yield done(held, True)
+
+    kind = f"row {packed.schema['row'].dataType.simpleString()}, text string, log double, rare struct<uid:long,asked:array<{_ASKED_SQL}>>"
+    met = packed.mapInArrow(run, kind)
+    columns = [F.col("row")[c].alias(c) for c in rest.columns]
+    return met.select(*columns, F.col("log").alias(out), F.col("rare").alias(rare))
+
+
+def settle(docs: DataFrame, corpus: Corpus, out: str, rare: str, source: DataFrame | None = None) -> DataFrame:
     """Add the scores of the windows in ``rare`` to ``out``, by all windows of the corpus; drops ``rare``.
 
     Windows of the corpus and those asked for are dealt by the last ``split`` symbols of
     their context, so all that a score needs from that order on is in one task.  A context
     has 257 ** (order + 1 - split) windows of the corpus at most; parts that are asked for
-    often are repeated.
+    often are repeated.  ``source`` is a stored table with the same ``rare``, where ``docs``
+    builds on one; without it ``docs`` is stored.
     """
-    spark, order, split = docs.sparkSession, corpus.order, corpus.split
-    uid = fresh(docs, "_uid")
-    stored, _ = stage(docs.withColumn(uid, F.monotonically_increasing_id()))
-    n_asked = stored.agg(F.sum(F.size(rare))).first()[0] or 0
-    n_parts = max(partitions(spark), math.ceil((corpus.n_windows + n_asked) / TASK_WINDOWS))
-    part = F.pmod(F.xxhash64(F.shiftright("window", BITS).bitwiseAND(F.lit(_mask(split)))), F.lit(n_parts)).alias("part")
-    asked = stored.select(F.col(uid).alias("uid"), F.explode(rare).alias("r")).select("uid", "r.*").select("*", part)
-    hot = find_hot_keys(asked, "part", 4 * TASK_WINDOWS)
-    known = corpus.counts.select("window", "n", part).join(hot.keys, "part", "left")
+    spark, order, split = corpus.counts.sparkSession, corpus.order, corpus.split
+    if source is None:
+        docs, _ = stage(docs)
+        source = docs
+    n_parts = _n_parts(corpus)
+    asked = source.select(F.explode(F.col(rare)["asked"]).alias("r")).select("r.*")
+    # Entries that a task should take in; they stay compressed until it comes to them.
+    parts = F.ceil(F.sum("n_entries") / (4 * TASK_WINDOWS)).cast("int")
+    hot, _ = stage(asked.groupBy("part").agg(parts.alias("_salts")).where("_salts > 1"))
     salts = F.coalesce("_salts", F.lit(1))
+
+    known = corpus.counts.select("window", "n", part_of(F.col("window"), split, n_parts).cast("int").alias("part")).join(hot, "part", "left")
     known = known.select("part", "window", "n", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    salt = F.pmod(F.xxhash64("uid", "window"), salts).cast("int").alias("salt")
-    asked = asked.join(hot.keys, "part", "left").select("part", "uid", "window", "n", salt)
+    salt = F.pmod(F.xxhash64("first"), salts).cast("int").alias("salt")
+    asked = asked.join(hot, "part", "left").select(*asked.columns, salt)
     shared = spark.sparkContext.broadcast(corpus.lower)
 
     def answer(counts: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -426,16 +550,26 @@ def settle(docs: DataFrame, corpus: Corpus, out: str, rare: str) -> DataFrame:
             return pa.table({"uid": pa.array([], pa.int64()), "more": pa.array([], pa.float64())})
         codes, n = counts["window"].to_numpy(), counts["n"].to_numpy()
         model = build([_fold(codes, n, k) for k in range(split, order + 1)], shared.value)
-        own, at = np.unique(wanted["window"].to_numpy(), return_inverse=True)
-        logs = model.log10(own)[at] * wanted["n"].to_numpy()
-        keys, at = np.unique(wanted["uid"].to_numpy(), return_inverse=True)
-        return pa.table({"uid": keys, "more": np.bincount(at, logs, len(keys))})
+        blocks = wanted.to_pylist()
+        every = [np.cumsum(_restored(b["windows"], b["n_windows"], np.int64)) for b in blocks]
+        own = np.unique(np.concatenate(every))
+        logs = model.log10(own)
+        uids, sums = [], []
+        for b, held in zip(blocks, every, strict=True):
+            each = np.repeat(logs[np.searchsorted(own, held)], _restored(b["holders"], b["n_windows"], np.int32))
+            at = _restored(b["at"], b["n_entries"], np.int32)
+            added = np.bincount(at, each * _restored(b["n"], b["n_entries"], np.int32), b["texts"])
+            some = np.flatnonzero(added)
+            uids.append(some + b["first"])
+            sums.append(added[some])
+        return pa.table({"uid": np.concatenate(uids), "more": np.concatenate(sums)})
 
     pairs = known.groupBy("part", "salt").cogroup(asked.groupBy("part", "salt"))
-    added = pairs.applyInArrow(answer, "uid long, more double").groupBy(F.col("uid").alias(uid)).agg(F.sum("more").alias("_more"))
-    more = fresh(stored, "_more")
-    whole = stored.join(added.withColumnRenamed("_more", more), uid, "left")
-    return whole.withColumn(out, F.col(out) + F.coalesce(more, F.lit(0.0))).drop(uid, rare, more)
+    added = pairs.applyInArrow(answer, "uid long, more double").groupBy(F.col("uid").alias("_uid")).agg(F.sum("more").alias("_more"))
+    uid, more = fresh(docs, "_uid"), fresh(docs, "_more")
+    added = added.select(F.col("_uid").alias(uid), F.col("_more").alias(more))
+    whole = docs.withColumn(uid, F.col(rare)["uid"]).drop(rare).join(added, uid, "left")
+    return whole.withColumn(out, F.col(out) + F.coalesce(more, F.lit(0.0))).drop(uid, more)
 
 
 @dataclass
@@ -467,12 +601,10 @@ def train_words(texts: DataFrame, frequent: int = 1 << 18) -> WordModel:
     return WordModel(counts, logs, ends, n_tokens, total)
 
 
-def base_scores(docs: DataFrame, model: WordModel, text: str = "text") -> DataFrame:
-    """Replace ``text`` by long ``n_tokens`` and ``n_known`` and double ``base_score``.
+def cut_words(docs: DataFrame, model: WordModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without ``text``, with what ``add_words`` makes word scores from.
 
-    The score adds up log10((c + 1) / total) over words and the end.  Frequent words are
-    scored where the text is; of the others one row for each text and word is joined by
-    word with the counts.  A null text is empty.  Names that clash are replaced.
+    Returns ``(row, tokens, known, log, rare, uid)``.  Frequent words are scored where the text is.
     """
     modest_batches(docs.sparkSession)
     made = ("n_tokens", "n_known", "base_score")
@@ -508,7 +640,21 @@ def base_scores(docs: DataFrame, model: WordModel, text: str = "text") -> DataFr
                     ["row", "tokens", "known", "log", "rare"],
                 )
 
-    parts, _ = stage(packed.mapInArrow(run, kind).withColumn("uid", F.monotonically_increasing_id()))
+    return packed.mapInArrow(run, kind).withColumn("uid", F.monotonically_increasing_id())
+
+
+def base_scores(docs: DataFrame, model: WordModel, text: str = "text") -> DataFrame:
+    """Replace ``text`` by long ``n_tokens`` and ``n_known`` and double ``base_score``.
+
+    The score adds up log10((c + 1) / total) over words and the end.  Of words that are not
+    frequent one row for each text and word is joined by word with the counts.  A null text
+    is empty.  Names that clash are replaced.
+    """
+    return add_words(stage(cut_words(docs, model, text))[0], model)
+
+
+def add_words(parts: DataFrame, model: WordModel) -> DataFrame:
+    """Word scores of a stored result of ``cut_words``, beside the rows' columns."""
     each = parts.select("uid", F.explode("rare").alias("word", "n")).join(model.counts, "word", "left")
     added = each.groupBy("uid").agg(
         F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("more"),

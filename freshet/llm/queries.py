@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from freshet.llm import bpe, counts, gbt, imatch, k2treap, packing, pii, ppm, recipes, rules, simhash, tries, urls
 from freshet.llm.common import remainder_of, table, text_of
+from freshet.session import stage
 
 URL_RULES = [
     urls.UrlRule("com", "/", "allow"),
@@ -86,7 +87,9 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     training = docs.where(~F.col("held_out")).select("text")
     words, corpus = ppm.train_words(training), ppm.learn(training)
-    scored = ppm.settle(ppm.base_scores(ppm.meet(docs, corpus, "score", "rare"), words), corpus, "score", "rare")
+    # Stored once, without the texts: what both scores still ask the corpus.
+    cut, _ = stage(ppm.cut_words(ppm.meet(docs, corpus, "score", "rare"), words))
+    scored = ppm.settle(ppm.add_words(cut, words), corpus, "score", "rare", source=cut.select("row.rare"))
     return scored.select(
         "doc_id",
         "held_out",
