@@ -46,7 +46,9 @@ TASK_WINDOWS = 1 << 20
 # Times a context of ``SPLIT`` symbols this fits 63 bits.
 MIX = 0x9E3779B1
 # A block of texts ends when it has so many entries of a rare window and a text.
-BLOCK_ENTRIES = 1 << 21
+BLOCK_ENTRIES = 1 << 18
+# Bytes of text that a worker cuts into windows at once.
+PIECE = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
@@ -146,8 +148,8 @@ class Table:
         bits = max(4, len(self.keys).bit_length() + 1)
         mask = (1 << bits) - 1
         if self._slots is None:
-            self._slots = np.full(1 << bits, -1, np.int64)
-            todo, at = np.arange(len(self.keys)), self._hash(self.keys, bits)
+            self._slots = np.full(1 << bits, -1, np.int32)
+            todo, at = np.arange(len(self.keys), dtype=np.int32), self._hash(self.keys, bits)
             while len(todo):
                 free = self._slots[at] < 0
                 self._slots[at[free]] = todo[free]
@@ -390,10 +392,13 @@ class Block:
         order = np.lexsort((at, codes))
         codes, at = codes[order], at[order]
         new = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (at[1:] != at[:-1]))[: len(codes)])
-        sums = np.diff(np.append(new, len(codes))) if n is None else np.add.reduceat(n[order], new) if len(new) else n
+        if n is None:
+            n = np.diff(np.append(new, len(codes)))
+        elif len(new):
+            n = np.add.reduceat(n[order], new)
         self._codes.append(codes[new])
         self._at.append(at[new])
-        self._n.append(sums)
+        self._n.append(n.astype(np.int32))
         self.size += len(new)
         if len(self._codes) > 64:
             self._merge()
@@ -426,12 +431,13 @@ class Block:
                     "n_entries": int(hi - lo),
                     "windows": _squeezed(np.diff(held, prepend=0)),
                     "holders": _squeezed(np.diff(np.append(new, hi - lo)).astype(np.int32)),
-                    "at": _squeezed(at[lo:hi].astype(np.int32)),
-                    "n": _squeezed(n[lo:hi].astype(np.int32)),
+                    "at": _squeezed(at[lo:hi]),
+                    "n": _squeezed(n[lo:hi]),
                 }
             )
             lo = hi
         self._codes, self._at, self._n, self.size = [], [], [], 0
+        pa.default_memory_pool().release_unused()
         return made
 
 
@@ -490,7 +496,7 @@ def meet(docs: DataFrame, corpus: Corpus, out: str, rare: str, text: str = "text
                 place = frequent.find(codes)
                 sums += np.bincount(row, logs[place], len(sums))
                 lost = place < 0
-                block.add(codes[lost], row[lost] + int(uids[0]) - block.first)
+                block.add(codes[lost], (row[lost] + (int(uids[0]) - block.first)).astype(np.int32))
             block.texts = int(uids[-1]) - block.first + 1
             return sums
 
@@ -504,7 +510,7 @@ def meet(docs: DataFrame, corpus: Corpus, out: str, rare: str, text: str = "text
             return pa.RecordBatch.from_arrays([row, text, pa.array(sums), rares], ["row", "text", "log", "rare"])
 
         for batch in batches:
-            for at, rows in byte_slices(batch.column("text")):
+            for at, rows in byte_slices(batch.column("text"), PIECE):
                 piece = batch.slice(at, rows)
                 if held:
                     yield done(held, block.size >= BLOCK_ENTRIES)
