@@ -3,14 +3,15 @@
 The corpus is counted once in windows of ``order`` + 1 symbols; shorter contexts are sums
 over longer ones.  A symbol is a byte or 256, which ends a text and fills the context
 before its start.  All windows stay, as a stored table that grows with the corpus
-(``learn``).  Frequent ones are broadcast with their scores; the others of a text are
-scored where all windows of their last ``SPLIT`` context symbols meet (``meet``, ``settle``).
+(``learn``).  Frequent ones are broadcast with their scores; the others are gathered once
+for a block of neighbouring texts and scored where all windows of their last ``SPLIT``
+context symbols meet (``meet``, ``settle``).
 ``train`` makes a model that fits a node: it leaves windows that hold less than 1 / ``nodes``
 of all positions of their order to the shorter contexts.
 
-Scores follow method C: a context seen ``t`` times with ``d`` different symbols escapes
-with d / (t + d), and symbols that a longer context has offered are excluded from the
-shorter ones.  What a context offers, its suffix offers too, so the symbols excluded at a
+Each window gives ``DISCOUNT`` of its count to the escape: a context seen ``t`` times with
+``d`` different symbols escapes with DISCOUNT * d / t, and symbols that a longer context
+has offered are excluded from the shorter ones.  What a context offers, its suffix offers too, so the symbols excluded at a
 context are those of the next longer one, and all sums are known when the model is built.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import byte_slices, fresh, lower_ascii, modest_batches, partitions, text_of, words_of
+from freshet.llm.common import byte_slices, fresh, lower_ascii, modest_batches, text_of, words_of
 from freshet.session import stage
 
 ORDER = 5
@@ -43,6 +44,8 @@ STEP = 1 << 18
 SPLIT = 3
 # About as many windows as a task should hold.
 TASK_WINDOWS = 1 << 20
+# The windows of a small corpus are dealt into so many parts; askers of a part are parted further.
+LEAST_PARTS = 8
 # Times a context of ``SPLIT`` symbols this fits 63 bits.
 MIX = 0x9E3779B1
 # A block of texts ends when it has so many entries of a rare window and a text.
@@ -450,7 +453,8 @@ _ASKED_SQL = "struct<part:int,first:long,texts:int,n_windows:int,n_entries:int,w
 
 
 def _n_parts(corpus: Corpus) -> int:
-    return max(partitions(corpus.counts.sparkSession), math.ceil(corpus.n_windows / TASK_WINDOWS))
+    """By the windows of the corpus alone: a text gets an answer from each part that it asks."""
+    return max(LEAST_PARTS, math.ceil(corpus.n_windows / TASK_WINDOWS))
 
 
 def meet(docs: DataFrame, corpus: Corpus, out: str, rare: str, text: str = "text") -> DataFrame:
