@@ -132,6 +132,89 @@ def cycles(edges: DataFrame) -> DataFrame:
     return union_all(found).withColumn("length", F.size("cycle").cast("int"))
 
 
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """Stored ``(node, colour)``: the least node from which each node of ``edges`` is reached, itself included.
+
+    A round hands on only what has become less, so rounds follow the longest of the shortest paths.
+    """
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    colours, n = stage(ends.distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("_moved")))
+    while n:
+        moved = colours.where("_moved").select(F.col("node").alias("src"), F.col("colour").alias("_offer"))
+        # What a node reads is bounded by its text; offers to a hot node collapse before the shuffle.
+        offers = edges.join(moved, "src").groupBy(F.col("dst").alias("node")).agg(F.min("_offer").alias("_offer"))
+        lower = F.coalesce(F.col("_offer") < F.col("colour"), F.lit(False))
+        colours, n = stage(
+            colours.join(offers, "node", "left").select("node", F.least("colour", "_offer").alias("colour"), lower.alias("_moved")),
+            counted=F.col("_moved"),
+        )
+    return colours.drop("_moved")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of each node on a cycle; a component goes by its least node.
+
+    Forward-backward colouring: each node takes the least node that reaches it as its colour.
+    The nodes of a colour that reach the node it is named after are one component.  Edges
+    between colours, and those of components found, go; what is left of the cyclic core is
+    coloured anew.  Every step is a join over edges, so memory does not grow with the number
+    of cycles.  A node that reads itself and is on no other cycle is a component of one.
+    """
+    rest = cyclic_core(edges)
+    loops = rest.where("src = dst").select(F.col("src").alias("component"), F.lit(True).alias("_loop"))
+    found = []
+    while not rest.isEmpty():
+        hot = find_hot_keys(rest, "dst")
+        colours = _least_reaching(rest)
+        of_src = colours.select(F.col("node").alias("src"), F.col("colour").alias("_src"))
+        of_dst = colours.select(F.col("node").alias("dst"), F.col("colour").alias("_dst"))
+        inner = spread_join(rest.join(of_src, "src"), of_dst, "dst", "inner", ["src"], hot)
+        inner, _ = stage(inner.where("_src = _dst").select("src", "dst"))
+        frontier, n = stage(colours.where("node = colour").select("node"))
+        seen = [frontier]
+        while n:
+            frontier, n = stage(readers(inner, frontier, hot).join(union_all(seen), "node", "left_anti"))
+            seen.append(frontier)
+            if len(seen) == COMPACT_EVERY:
+                seen = [stage(union_all(seen))[0]]
+        members, _ = stage(union_all(seen).join(colours, "node").withColumnRenamed("colour", "component"))
+        found.append(members)
+        done = members.select("node")
+        left = inner.join(done.withColumnRenamed("node", "src"), "src", "left_anti")
+        left = spread_join(left, done.withColumnRenamed("node", "dst"), "dst", "left_anti", ["src"], hot)
+        rest = cyclic_core(left)
+    if not found:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    # A node between two cycles has been found as a component of its own.
+    every, _ = stage(union_all(found))
+    cyclic = (
+        every.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+        .join(loops, "component", "left").where("_n > 1 or _loop").select("component")
+    )
+    return spread_join(every, cyclic, "component", "left_semi", ["node"], find_hot_keys(every, "component")).select("node", "component")
+
+
+def condensed_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, component, size, level)`` of ``nodes``, levels counted from component to component.
+
+    A node on no cycle is a component of one.  Nodes of one component have one level; none
+    of the edges between components is left out.
+    """
+    named = nodes.select("node").distinct().join(strong_components(edges), "node", "left")
+    named, _ = stage(named.withColumn("component", F.coalesce("component", "node")))
+    links, _ = stage(edges.select("src", "dst").distinct())
+    hot = find_hot_keys(links, "dst")
+    of_src = named.select(F.col("node").alias("src"), F.col("component").alias("_src"))
+    of_dst = named.select(F.col("node").alias("dst"), F.col("component").alias("_dst"))
+    between = spread_join(links.join(of_src, "src"), of_dst, "dst", "inner", ["src"], hot).where("_src <> _dst")
+    between = between.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    steps = levels(sizes.select(F.col("component").alias("node")), between).withColumnRenamed("node", "component")
+    every, _ = stage(sizes.join(steps, "component"))
+    hot = find_hot_keys(named, "component")
+    return spread_join(named, every, "component", "inner", ["node"], hot).select("node", "component", "size", "level")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, level)``: the length of the longest walk down from each of ``nodes``.
 

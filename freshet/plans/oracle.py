@@ -406,6 +406,34 @@ def oracle_sql() -> dict[str, str]:
             )
             select array_to_string(path, ' > ') as cycle, cast(len(path) as integer) as length
             from paths where next = first""",
+        "graph_strong_components": f"""with recursive {EDGES},
+            linked as (
+                select src, dst from edges
+                union select {_name('k // 2')}, table_name from defs where k > 0 and k % 97 = 0
+                union select d.table_name, other.table_name from defs d, defs other where d.k < 50 and other.k < 50
+            ),
+            walks as (
+                select src, dst from linked union select w.src, l.dst from walks w join linked l on l.src = w.dst
+            ),
+            named as (
+                select table_name as node, least(table_name, coalesce(min(there.dst), table_name)) as component
+                from defs left join (
+                    select a.src, a.dst from walks a join walks b on a.src = b.dst and a.dst = b.src
+                ) there on there.src = table_name
+                group by table_name
+            ),
+            links as (
+                select distinct a.component as src, b.component as dst
+                from linked join named a on a.node = linked.src join named b on b.node = linked.dst
+                where a.component <> b.component
+            ),
+            steps as (
+                select component, 0 as level from named
+                union select src, level + 1 from steps join links on dst = component
+            )
+            select node, component, size, level from named
+            join (select component, count(*) as size from named group by component) using (component)
+            join (select component, max(level) as level from steps group by component) using (component)""",
         "force_propagation": f"""with recursive {EDGES}, {CATALOG},
             reached as (
                 select table_name as node from catalog where started is not null

@@ -452,6 +452,12 @@ def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join("cycle", " > ").alias("cycle"), "length")
 
 
+@query
+def graph_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and levels of a graph with a core where each of 50 tables reads all of them."""
+    return graph.condensed_levels(_nodes(spark, sf_dir), samples.edges_with_core(spark, sf_dir))
+
+
 @query
 def force_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     reached = graph.reachable(samples.edges(spark, sf_dir), _running(spark, sf_dir))

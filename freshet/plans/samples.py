@@ -107,6 +107,13 @@ def edges_with_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).unionByName(back)
 
 
+def edges_with_core(spark: SparkSession, sf_dir: str, width: int = 50) -> DataFrame:
+    """The same, and the first ``width`` definitions each read all of these."""
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")))
+    core = definitions(spark, sf_dir).where(F.col("k") < width).select(F.col("table_name").alias("src"), others.alias("to"))
+    return edges_with_cycles(spark, sf_dir).unionByName(core.select("src", name_of(F.col("to")).alias("dst")))
+
+
 def catalog_of(keys: DataFrame) -> DataFrame:
     """A catalog over ``(k, table_name, query, interval, config)``."""
     k = F.col("k")

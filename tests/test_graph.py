@@ -148,3 +148,22 @@ def test_dependency_edges(spark):
     starts = spark.createDataFrame([("sales.monthly",), ("no.such",)], "node string")
     forced = refresh.force_propagation(catalog, graph.reachable(edges, starts))
     assert values(forced.where("force = 1").select("table_name")) == ["sales.daily", "sales.monthly"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components_of_random_graphs(spark, seed):
+    pairs = drawn(seed, 14, 20 + 4 * seed) + [(20, 20), (21, 20)]
+    there = {n: {m for a, b in pairs if a == n for m in reached(pairs, b)} for n in {x for p in pairs for x in p}}
+    wanted = {n: min(m for m in far if n in there[m]) for n, far in there.items() if n in far}
+    got = {r.node: r.component for r in graph.strong_components(edges_of(spark, pairs)).collect()}
+    assert got == wanted
+    levels = {r.node: r for r in graph.condensed_levels(nodes_of(spark, pairs, [30]), edges_of(spark, pairs)).collect()}
+    assert set(levels) == set(there) | {30} and levels[30].level == 0
+    for a, b in pairs:
+        same = levels[a].component == levels[b].component
+        assert same or levels[a].level > levels[b].level
+    assert all(r.size == sum(x.component == r.component for x in levels.values()) for r in levels.values())
+
+
+def test_strong_components_of_no_edges(spark):
+    assert graph.strong_components(edges_of(spark, [])).isEmpty()
