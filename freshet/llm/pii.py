@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.common import GAP, fresh, hold, text_of
+from freshet.operators.skew import find_hot_keys, spread_join
 from freshet.session import stage
 
 # The order of kinds at the same start.
@@ -37,8 +38,17 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*
 RUN = r"(?<![^\x20\x09-\x0D])\(?[0-9]++(?:[\x20().-]{1,2}[0-9]++)++"
 GUARD = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "word": "[0-9@]", "run": r"[0-9][).]?\x20\(?[0-9]"}
 CANDIDATES = ("word", "run")
-# Words beside a span are looked for in so many characters.
-REACH = 80
+# A longer word of a context goes by its hash, so that a context stays short.
+LONG_WORD = 80
+# A word that holds matches of a kind is put together from so many of them on either side.
+GLUED = 40
+# The last words of a text, read from its end: white space, two words and what stands before them.
+_TAIL = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){0,2}+[^\x20\x09-\x0D]*+"
+# What is glued to a span, two words after it and whether they end.
+_HEAD = r"^[^\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){0,2}+[\x20\x09-\x0D]?"
+# Two whole words before a span, read from it backwards, and two after it.
+_BEFORE = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)"
+_AFTER = r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)"
 
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 
@@ -77,6 +87,12 @@ def _valid(kind: Column, hit: Column) -> Column:
     )
 
 
+def _short(text: Column) -> Column:
+    """The text with one blank for each gap and the hash for each long word."""
+    words = F.split(text, GAP, -1)
+    return F.array_join(F.transform(words, lambda w: F.when(F.length(w) > LONG_WORD, F.hex(F.xxhash64(w))).otherwise(w)), " ")
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Gaps and matches of one pattern, in order, as ``(kind, i, gap, hit, left, right)``."""
     gaps = F.split(text, pattern, -1)
@@ -88,8 +104,8 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
             i.alias("i"),
             F.length(x["gap"]).cast("long").alias("gap"),
             x["hit"].alias("hit"),
-            F.right(x["gap"], F.lit(REACH)).alias("left"),
-            F.left(x["then"], F.lit(REACH)).alias("right"),
+            _short(F.reverse(F.regexp_extract(F.reverse(x["gap"]), _TAIL, 0))).alias("left"),
+            _short(F.regexp_extract(x["then"], _HEAD, 0)).alias("right"),
         ),
     )
     return F.filter(found, lambda x: x["hit"].isNotNull())
@@ -114,23 +130,25 @@ def spans_of(rows: DataFrame) -> DataFrame:
     """``(uid, kind, start, end, hit, left, right)`` of a stored ``(uid, found)``.
 
     Spans of the four kinds that fail their check are dropped; so are candidates
-    that share a character with a span that holds.  ``left`` and ``right`` are what stands
-    beside a span in the text, other matches included.
+    that share a character with a span that holds.  ``left`` and ``right`` are the two
+    whole words before a span and the two after it, other matches included; they are empty
+    where the text has fewer.  What is glued to a span is a word before it, and none after it.
+    Words of more than ``LONG_WORD`` characters go by a hash.  A word that itself holds matches
+    of the kind is seen as far as ``GLUED`` of them.
     """
     each = rows.select("uid", F.explode("found").alias("m")).select("uid", "m.*")
     size = F.length("hit").cast("long")
     row = Window.partitionBy("uid", "kind").orderBy("i")
     before = row.rowsBetween(Window.unboundedPreceding, 0)
-    # A match and the gap before or after it have two characters at least.
-    near = REACH // 2
-    past = F.collect_list(F.right(F.concat("left", "hit"), F.lit(REACH))).over(row.rowsBetween(-near, -1))
-    coming = F.collect_list(F.left(F.concat("hit", "right"), F.lit(REACH))).over(row.rowsBetween(1, near))
+    past = F.collect_list(F.concat("left", _short(F.col("hit")))).over(row.rowsBetween(-GLUED, -1))
+    coming = F.collect_list(F.concat(_short(F.col("hit")), "right")).over(row.rowsBetween(1, GLUED))
     placed = each.select(
         "*",
         F.sum(F.col("gap") + size).over(before).alias("end"),
-        F.right(F.concat(F.array_join(past, ""), "left"), F.lit(REACH)).alias("_left"),
-        F.left(F.concat("right", F.array_join(coming, "")), F.lit(REACH)).alias("_right"),
+        F.reverse(F.regexp_extract(F.reverse(F.concat(F.array_join(past, ""), "left")), _BEFORE, 1)).alias("_left"),
+        F.regexp_extract(F.concat("right", F.array_join(coming, "")), _AFTER, 1).alias("_right"),
     )
+    placed = placed.withColumns({"_left": _short(F.col("_left")), "_right": _short(F.col("_right"))})
     placed = placed.withColumn("start", F.col("end") - size).drop("left", "right").withColumnsRenamed({"_left": "left", "_right": "right"})
     valid = placed.where(_valid(F.col("kind"), F.col("hit")))
     base = ~F.col("kind").isin(*CANDIDATES)
@@ -141,15 +159,33 @@ def spans_of(rows: DataFrame) -> DataFrame:
     return valid.withColumn("_clear", clear).where("_clear").select("uid", "kind", "start", "end", "hit", "left", "right")
 
 
+# What has the digits of a phone number and is none: dates, with the hours that may follow,
+# spans of years, decimal numbers, thousands set apart, versions.
+_YEAR, _MONTH, _DAY = r"(?:19|20)[0-9]{2}", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12][0-9]|3[01])"
+_BREAK = r"[./\x20-]"
+NO_PHONE = "|".join(
+    (
+        rf"^{_YEAR}{_BREAK}{_MONTH}{_BREAK}{_DAY}(?![0-9])",
+        rf"^(?:{_DAY}{_BREAK}{_MONTH}|{_MONTH}{_BREAK}{_DAY}){_BREAK}(?:{_YEAR}|[0-9]{{2}})(?![0-9])",
+        r"^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?![0-9])",
+        rf"^{_YEAR}{_BREAK}{_YEAR}$",
+        r"^[0-9]+\.[0-9]+$",
+        r"^[0-9]{1,3}(?:\.[0-9]{3})+$",
+        r"^[0-9]{1,3}(?:\x20[0-9]{3})+(?:\.[0-9]+)?$",
+        r"^[0-9]{1,2}(?:\.[0-9]+){2,}$",
+    )
+)
+
+
 def _shape(core: Column) -> Column:
     """The kind whose identifiers look like this candidate; null if none do."""
     n = F.length(F.regexp_replace(core, "[^0-9]", ""))
-    plain = core.rlike(r"^[0-9()+./\x20\x2D]+$")
+    digits = core.rlike(r"^[0-9()+./\x20\x2D]+$")
     return (
         F.when(core.rlike(r"^[^@]+@[^@]+$"), F.lit("email"))
         .when(core.rlike(r"^[0-9]+(?:[.:][0-9]+){3}$"), F.lit("ip"))
-        .when(plain & n.between(14, 19), F.lit("card"))
-        .when(plain & n.between(7, 15), F.lit("phone"))
+        .when(digits & n.between(14, 19), F.lit("card"))
+        .when(digits & n.between(7, 15) & ~core.rlike(NO_PHONE), F.lit("phone"))
     )
 
 
@@ -159,14 +195,18 @@ def discover(spans: DataFrame, trust: Trust = Trust()) -> DataFrame:
     Patterns are the two words before a span and the two words after it.  A pattern's
     score for a kind is the trust in what stands in its place, over all that stands there
     and one more; an identifier's is what its patterns leave of doubt, taken from one.
-    Identifiers that reach ``least`` stay and give new patterns; each growth is staged.
-    Edges are added up before they are joined, so frequent patterns are no hot keys.
+    An identifier counts once for each neighbourhood, that is the words on both of its sides, so
+    copies of a text weigh no more than the text.  Identifiers that reach ``least`` stay
+    and give new patterns; each growth is staged, and growth ends when none is new.
+
+    Rows of a pattern or an identifier that many places share are parted for each join.
+    Without seeds nothing is found.  An identifier may stand at many places of a text, and
+    repeated rows are told apart by ``uid``: each place is a row of the result.  A place that
+    two spans share, one beside each pattern, is one row.
     """
     core = F.regexp_replace(F.regexp_replace("hit", r"^[^0-9A-Za-z(+]++", ""), r"[^0-9A-Za-z)]++$", "")
     word = F.col("kind").isin(*CANDIDATES)
     lead = F.length(F.regexp_extract("hit", r"^[^0-9A-Za-z(+]*+", 0))
-    left = F.lower(F.regexp_extract("left", r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1))
-    right = F.lower(F.regexp_extract("right", r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]++([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)", 1))
     seen = spans.select(
         "uid",
         F.when(word, core).otherwise(F.col("hit")).alias("item"),
@@ -175,47 +215,58 @@ def discover(spans: DataFrame, trust: Trust = Trust()) -> DataFrame:
         F.when(word, F.col("start") + lead).otherwise(F.col("start")).alias("start"),
         F.explode(
             F.array(
-                F.concat(F.lit("< "), F.regexp_replace(left, GAP, " ")),
-                F.concat(F.lit("> "), F.regexp_replace(right, GAP, " ")),
+                F.concat(F.lit("< "), F.lower("left")),
+                F.concat(F.lit("> "), F.lower("right")),
             )
         ).alias("pattern"),
+        F.xxhash64(F.lower("left"), F.lower("right")).alias("around"),
     ).where("length(pattern) > 2 and item <> ''")
-    stored, _ = stage(seen)
-    edges = stored.groupBy("pattern", "kind", "item").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
+    # What is joined on: an identifier and a pattern, each with the kind.
+    of_item, of_pattern = F.concat_ws(" ", "kind", "item"), F.concat_ws(" ", "kind", "pattern")
+    stored, _ = stage(seen.withColumns({"ik": of_item, "pk": of_pattern}))
+    places = stored.groupBy("pattern", "kind", "item", "ik", "pk", "around").agg(F.max("seed").alias("seed"))
+    edges = places.groupBy("pattern", "kind", "item", "ik", "pk").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     edges, _ = stage(edges)
+    # All that stands beside a pattern, whatever its kind.
     wide, _ = stage(edges.groupBy("pattern").agg(F.sum("n").alias("all")))
+    edges = edges.where("kind is not null").drop("pattern")
+    hot_items, hot_patterns = find_hot_keys(edges, "ik"), find_hot_keys(edges, "pk")
+
+    def at_item(rows: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        return spread_join(rows, right, "ik", how, ["pk"], hot_items)
+
+    def at_pattern(rows: DataFrame, right: DataFrame) -> DataFrame:
+        return spread_join(rows, right, "pk", "inner", ["ik"], hot_patterns)
+
     found, size, grown = None, 0, True
     while grown:
         score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
-        marked = edges.join(found, ["kind", "item"], "left").withColumn("score", score) if size else edges.withColumn("score", F.col("seed").cast("double"))
+        marked = at_item(edges, found, "left").withColumn("score", score) if size else edges.withColumn("score", F.col("seed").cast("double"))
         # Patterns without enough trusted identifiers do not count; few are left.
         useful = (
-            marked.where("score > 0").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= trust.seeds)
-            .join(wide, "pattern").select("pattern", "kind", "all")
+            marked.where("score > 0").groupBy("pk").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= trust.seeds)
+            .withColumn("pattern", F.expr("substr(pk, instr(pk, ' ') + 1)"))
+            .join(wide, "pattern").select("pk", "all")
         )
-        graph, n = stage(marked.join(useful, ["pattern", "kind"]))
-        scores = graph.groupBy("kind", "item").agg(F.max("score").alias("score"), F.max("seed").alias("known"))
+        graph, n = stage(at_pattern(marked, useful))
+        scores = graph.groupBy("ik").agg(F.max("score").alias("score"), F.max("seed").alias("known"))
         graph = graph.drop("score")
         for _ in range(trust.rounds if n else 0):
             patterns = (
-                graph.join(scores, ["kind", "item"])
-                .groupBy("pattern", "kind")
+                at_item(graph, scores.select("ik", "score")).groupBy("pk")
                 .agg((F.sum(F.col("n") * F.col("score")) / (F.max("all") + 1)).alias("trust"))
             )
             doubt = F.sum(F.log(1 - F.least(F.col("trust"), F.lit(0.999999))))
-            scored = graph.join(patterns, ["pattern", "kind"]).groupBy("kind", "item").agg(
-                (1 - F.exp(doubt)).alias("score"), F.max("seed").alias("known")
-            )
+            scored = at_pattern(graph, patterns).groupBy("ik").agg((1 - F.exp(doubt)).alias("score"), F.max("seed").alias("known"))
             scores, _ = stage(scored.withColumn("score", F.when(F.col("known"), 1.0).otherwise(F.col("score"))))
-        more = scores.where(~F.col("known") & (F.col("score") >= trust.least)).select("kind", "item", "score")
+        more = scores.where(~F.col("known") & (F.col("score") >= trust.least)).select("ik", "score")
         every = found.unionByName(more) if size else more
-        found, now = stage(every.groupBy("kind", "item").agg(F.max("score").alias("score")))
+        found, now = stage(every.groupBy("ik").agg(F.max("score").alias("score")))
         size, grown = now, now > size
-    found = found.drop("score")
-    places = stored.where("not seed").select("uid", "kind", "item", "start").distinct()
-    return places.join(found, ["kind", "item"]).select(
-        "uid", "kind", "start", (F.col("start") + F.length("item")).alias("end")
-    )
+    # Two rows a place at most, one for each of its patterns.
+    asked = stored.where("not seed and kind is not null").select("uid", "kind", "item", "start", "ik")
+    hit = spread_join(asked, found.select("ik"), "ik", "left_semi", ["uid", "start"], find_hot_keys(asked, "ik"))
+    return hit.distinct().select("uid", "kind", "start", (F.col("start") + F.length("item")).alias("end"))
 
 
 def _digest(spans: Column) -> Column:
@@ -312,8 +363,10 @@ def redact(docs: DataFrame, trust: Trust = Trust()) -> DataFrame:
     )
     tail = F.substring(text, (F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(text))
     cleaned = F.when(cuts.isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail))
-    joined = stored.join(merged, F.col(uid) == F.col("_key"), "left")
+    # Rows in which nothing was matched take no part in the join.
+    matched = F.size(found) > 0
+    joined = stored.where(matched).join(merged, F.col(uid) == F.col("_key"), "left")
     out = joined.withColumn("text", cleaned)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cuts.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(stored.where(~matched).select(*docs.columns))

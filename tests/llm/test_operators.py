@@ -245,6 +245,49 @@ def test_found_identifiers_give_new_patterns(spark):
     assert all(found[i] for i in [*range(100, 120), *range(200, 220)])
 
 
+def test_copies_beside_a_context_count_once(spark):
+    rows = [(i, f"word{i} my phone number is +1 (452) 555-{1000 + i} thanks a lot word{i}") for i in range(20)]
+    rows += [(100, "so my phone number is 0452-5551234 thanks a lot again")]
+    rows += [(200 + i, "then my phone number is v2x thanks a lot again") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.report(pii.personal_data(docs)).collect()}
+    at = rows[20][1].index("0452")
+    assert found[100] == f"phone:{at}:{at + 12}" and not any(found[200 + i] for i in range(60))
+
+
+def test_dates_versions_and_amounts_are_no_phones(spark):
+    rows = [(i, f"word{i} call us on +1 (452) 555-{1000 + i} before the evening word{i}") for i in range(30)]
+    clean = ["2024-01-15", "12.05.2024", "1/15/2024", "20240115", "20240115-123456", "2010-2015", "2024-01-15 12", "1234567.89"]
+    clean += ["1.234.567", "10.15.7.2021", "123 456 789"]
+    rows += [(100 + i, f"please call us on {x} before the evening") for i, x in enumerate(clean)]
+    phones = ["0452-5551234", "0452 555 1235", "(452) 555-1236", "452.555.1237", "4525551238"]
+    rows += [(200 + i, f"please call us on {x} before the evening") for i, x in enumerate(phones)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.report(pii.personal_data(docs)).collect()}
+    assert not any("phone" in found[100 + i] for i in range(len(clean)))
+    assert all("phone" in found[200 + i] for i in range(len(phones)))
+
+
+def test_contexts_are_whole_words_however_long(spark):
+    long, gap = "x" * 500, " " * 300
+    rows = [(i, f"word{i} my {long}{gap}+1 (452) 555-{1000 + i}{gap}thanks {long}") for i in range(20)]
+    rows += [(100, f"so my {long}{gap}0452-5551234{gap}thanks {long}"), (101, f"so my {long}y 0452-5551235 thanks {long}y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.report(pii.personal_data(docs)).collect()}
+    at = rows[20][1].index("0452")
+    assert found[100] == f"phone:{at}:{at + 12}" and found[101] == ""
+
+
+def test_hot_contexts_and_identifiers_are_parted(spark, monkeypatch):
+    rows = [(i, f"word{i} my phone number is +1 (452) 555-{1000 + i} thanks a lot word{i}") for i in range(20)]
+    rows += [(100 + i, f"said{i} my phone number is 0452-5551234 thanks a lot") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, pii.report(pii.personal_data(docs)).collect()))
+    monkeypatch.setattr("freshet.operators.skew.ROWS_PER_TASK", 3)
+    assert plain == sorted(map(tuple, pii.report(pii.personal_data(docs)).collect()))
+    assert all(r[-1] for r in plain)
+
+
 def test_redaction_merges_overlaps_and_keeps_rows(spark):
     rows = [(1, "a@b.cc 1.2.3.4 x", 16, 7), (1, "a@b.cc 1.2.3.4 x", 16, 7), (2, None, 0, 8), (None, "1.2.3.4@x.yy", 12, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, uid long")
