@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions.text import retarget
+
 
 class DataTestsFailed(Exception):
     """Some data tests of a candidate did not hold."""
@@ -47,6 +51,67 @@ def run_tests(spark: SparkSession, text: str) -> DataFrame:
     return reduce(DataFrame.unionAll, verdicts)
 
 
+class Observed(NamedTuple):
+    """Tests that a write answers on its way, by name, and the text of those that need statements."""
+
+    metrics: dict[str, Column]
+    statements: dict[str, str]
+    rest: str
+
+    def over(self, table: str, candidate: str) -> Observed:
+        """The same tests, their statements about the candidate."""
+        moved = {name: retarget(text, table, candidate) for name, text in self.statements.items()}
+        return Observed(self.metrics, moved, retarget(self.rest, table, candidate))
+
+
+# One aggregate over a whole table and nothing else; what it may be made of is left to Spark.
+_WHOLE_TABLE = r"\s*select\s+(?P<value>(?:(?!\bfrom\b).)+?)\s+as\s+(?P<name>\w+)\s+from\s+(?P<table>[\w.`\"]+)\s*"
+
+
+def observable(df: DataFrame, text: str, table: str) -> Observed:
+    """Split data tests on ``table`` into metrics of writing ``df`` to it and statements to be run afterwards.
+
+    A test becomes a metric if it is one named value over all rows of the table and Spark takes it
+    as a metric of ``df``: aggregates that are neither distinct nor nested.  All others stay
+    statements, word for word, among them each whose name another test has too.
+    """
+    metrics, statements, rest = {}, {}, []
+    parts = split_statements(text)
+    found = [re.fullmatch(_WHOLE_TABLE, part, re.DOTALL | re.IGNORECASE) for part in parts]
+    names = [m["name"].lower() for m in found if m]
+    for part, match in zip(parts, found):
+        metric = None
+        if match and re.sub(r'[`"]', "", match["table"]).lower() == table.lower() and names.count(match["name"].lower()) == 1:
+            metric = _metric(df, match["value"], match["name"])
+        if metric is None:
+            rest.append(part)
+        else:
+            metrics[match["name"]], statements[match["name"]] = metric, part
+    return Observed(metrics, statements, ";".join(rest))
+
+
+def _metric(df: DataFrame, value: str, name: str) -> Column | None:
+    """The value as a boolean metric of ``df``; None if Spark does not take it as one."""
+    try:
+        metric = F.expr(value).cast("boolean").alias(name)
+        # Is analysed at once: a query over ``df`` and, unlike one, without distinct or plain columns.
+        df.observe(Observation(), F.count(F.lit(1)).alias("_rows"), metric).schema  # noqa: B018
+        return metric
+    except (AnalysisException, ParseException):
+        return None
+
+
+def observed_verdicts(spark: SparkSession, tests: Observed, seen: dict) -> DataFrame:
+    """``(test_name, passed)`` from the metrics of a write and from the statements that are left.
+
+    A write that had no rows to read may tell nothing; its tests are then run as statements.
+    """
+    told = [(name, bool(seen[name])) for name in tests.metrics if name in seen]
+    missing = [tests.statements[name] for name in tests.metrics if name not in seen]
+    verdicts = run_tests(spark, ";".join([*missing, tests.rest]))
+    return verdicts.unionAll(spark.createDataFrame(told, "test_name string, passed boolean")) if told else verdicts
+
+
 def row_expectations(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """``(test_name, passed, failed_rows)`` for conditions on every row, in one pass."""
     misses = df.agg(

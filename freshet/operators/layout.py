@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
@@ -23,11 +24,18 @@ class Layout(NamedTuple):
         return cls(*(config.get(field) or None for field in cls._fields))
 
 
+Observe = Callable[[DataFrame], DataFrame]
+
+
+def unobserved(df: DataFrame) -> DataFrame:
+    return df
+
+
 def _hashable(kind: DataType) -> bool:
     return not isinstance(kind, MapType | VariantType) and "map<" not in kind.simpleString()
 
 
-def laid_out(df: DataFrame, layout: Layout) -> DataFrameWriter:
+def laid_out(df: DataFrame, layout: Layout, observe: Observe = unobserved) -> DataFrameWriter:
     """A writer for ``df`` in the given layout.
 
     A distribution key becomes buckets: later joins and groupings on it need no
@@ -35,19 +43,22 @@ def laid_out(df: DataFrame, layout: Layout) -> DataFrameWriter:
     brings each bucket to one task, and to several where a hot key makes it large.
     A sort key orders rows, so file statistics can skip blocks; ties are parted by
     a hash of the row.
+
+    ``observe`` adds metrics to the rows as they are written, behind every shuffle: only
+    tasks of the last stage count once, whatever executors are lost.
     """
     if layout.distkey:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        writer = df.hint("rebalance", layout.distkey).write.bucketBy(buckets, layout.distkey)
+        writer = observe(df.hint("rebalance", layout.distkey)).write.bucketBy(buckets, layout.distkey)
         return writer.sortBy(layout.sortkey) if layout.sortkey else writer
     if layout.sortkey:
         columns = [f.name for f in df.schema.fields if _hashable(f.dataType)]
         ties = F.xxhash64(*columns) if columns else F.lit(0)
         ranges = df.repartitionByRange(F.col(layout.sortkey), ties)
-        return ranges.sortWithinPartitions(layout.sortkey).write
+        return observe(ranges.sortWithinPartitions(layout.sortkey)).write
     if (layout.diststyle or "").lower() == "even":
-        return df.hint("rebalance").write
-    return df.write
+        return observe(df.hint("rebalance")).write
+    return observe(df).write
 
 
 def table_bytes(spark: SparkSession, name: str) -> int | None:

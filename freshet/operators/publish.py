@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.operators.layout import Layout, laid_out
+from freshet.operators.layout import Layout, Observe, unobserved, laid_out
 
 CANDIDATE = "__candidate"
 PREVIOUS = "__previous"
@@ -28,12 +28,16 @@ def select_rows(spark: SparkSession, query: str) -> DataFrame:
 
 
 def build_candidate(
-    df: DataFrame, name: str, layout: Layout = Layout(), grantees: str | None = None
+    df: DataFrame,
+    name: str,
+    layout: Layout = Layout(),
+    grantees: str | None = None,
+    observe: Observe = unobserved,
 ) -> str:
     """Write ``df`` as the candidate of ``name``; an older candidate is dropped."""
     spark = df.sparkSession
     drop_candidate(spark, name)
-    laid_out(df, layout).mode("overwrite").format("parquet").saveAsTable(candidate_name(name))
+    laid_out(df, layout, observe).mode("overwrite").format("parquet").saveAsTable(candidate_name(name))
     set_grants(spark, candidate_name(name), grantees)
     return candidate_name(name)
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.operators.layout import Layout, laid_out
+from freshet.operators.layout import Layout, Observe, laid_out, unobserved
 from freshet.operators.publish import set_grants
 
 _ENDING = "__v"
@@ -50,7 +50,13 @@ def _drop(spark: SparkSession, name: str, numbers: list[int]) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {version_name(name, number)}")
 
 
-def build_version(df: DataFrame, name: str, layout: Layout = Layout(), grantees: str | None = None) -> int:
+def build_version(
+    df: DataFrame,
+    name: str,
+    layout: Layout = Layout(),
+    grantees: str | None = None,
+    observe: Observe = unobserved,
+) -> int:
     """Write ``df`` as the next version, unseen by readers; versions of builds that stopped are dropped.
 
     One build of a table runs at a time.
@@ -60,7 +66,7 @@ def build_version(df: DataFrame, name: str, layout: Layout = Layout(), grantees:
     unseen = [n for n in stored if n > (ADOPTED if live is None else live)]
     _drop(spark, name, unseen)
     number = max([ADOPTED, *stored]) + 1
-    laid_out(df, layout).format("parquet").saveAsTable(version_name(name, number))
+    laid_out(df, layout, observe).format("parquet").saveAsTable(version_name(name, number))
     set_grants(spark, version_name(name, number), grantees)
     return number
 

@@ -350,6 +350,13 @@ def oracle_sql() -> dict[str, str]:
             union all select 'all_cheap', max(o_totalprice) < 100 from orders
             union all select 'no_such_order', count(*) > 0 from orders where o_orderkey < 0
             union all select 'unknown', false""",
+        "data_tests_observed": f"""with counts as ({ORDER_COUNTS})
+            select 'some_orders' as test_name, min(orders) > 0 as passed, true as observed from counts
+            union all select 'some_money', sum(total) > 0 and count(*) > 1, true from counts
+            union all select 'never_again', max(orders) < 2, true from counts
+            union all select 'three_states', count(distinct o_orderstatus) = 3, false from counts
+            union all select 'no_such_state', count(*) > 0, false from counts where o_orderstatus = 'X'
+            union all select 'mean_is_true', cast(avg(total) as boolean), true from counts""",
         "row_expectations": """
             select 'quantity_positive' as test_name, bool_and(l_quantity > 0) as passed,
                 count(*) filter (not l_quantity > 0) as failed_rows from lineitem

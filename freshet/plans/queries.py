@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import text as texts
@@ -276,12 +276,35 @@ select cast(null as boolean) as unknown from {0}.orders limit 1;
 """
 
 
+COUNT_CHECKS = """
+select min(orders) > 0 as some_orders from {0};
+select sum(total) > 0 and count(*) > 1 as some_money from {0};
+select max(orders) < 2 as never_again from {0};
+select count(distinct o_orderstatus) = 3 as three_states from {0};
+select count(*) > 0 as no_such_state from {0} where o_orderstatus = 'X';
+select avg(total) as mean_is_true from {0}
+"""
+
+
 @query
 def data_test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _warehouse(spark, sf_dir, "orders")
     return expectations.run_tests(spark, ORDER_CHECKS.format(schema))
 
 
+@query
+def data_tests_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests of a table that the write of it answers, beside those that need a statement."""
+    schema = _warehouse(spark, sf_dir, "orders")
+    name, seen = f"{schema}.order_counts", Observation()
+    rows = publish.select_rows(spark, ORDER_COUNTS.format(schema))
+    tests = expectations.observable(rows, COUNT_CHECKS.format(name), name)
+    layout = Layout(distkey="o_custkey", sortkey="orders")
+    candidate = publish.build_candidate(rows, name, layout, observe=lambda df: df.observe(seen, *tests.metrics.values()))
+    verdicts = expectations.observed_verdicts(spark, tests.over(name, candidate), seen.get)
+    return verdicts.withColumn("observed", F.col("test_name").isin(*tests.metrics))
+
+
 @query
 def row_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expectations.row_expectations(

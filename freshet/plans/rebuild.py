@@ -7,14 +7,13 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.functions.text import retarget
 from freshet.functions.times import interval_minutes
 from freshet.operators import lineage, snapshots, versions
 from freshet.operators.catalog import record_builds
-from freshet.operators.expectations import DataTestsFailed, run_tests, verdict
+from freshet.operators.expectations import DataTestsFailed, Observed, observable, observed_verdicts, verdict
 from freshet.operators.layout import Layout
 from freshet.operators.processors import Processor, process_query
 from freshet.operators.publish import (
@@ -71,10 +70,18 @@ def rebuild(spark: SparkSession, view: View, clock: Clock = wall_clock, run: dic
     layout, grantees = Layout.from_config(view.config), (view.config or {}).get("grant_select")
     pointed = view.keep_versions is not None
 
+    seen, tests = Observation(), Observed({}, {}, "")
+
     def build(rows: DataFrame) -> str:
+        nonlocal tests
+        tests = observable(rows, view.tests or "", view.name)
+
+        def observe(laid: DataFrame) -> DataFrame:
+            return laid.observe(seen, *tests.metrics.values()) if tests.metrics else laid
+
         if pointed:
-            return versions.version_name(view.name, versions.build_version(rows, view.name, layout, grantees))
-        return build_candidate(rows, view.name, layout, grantees)
+            return versions.version_name(view.name, versions.build_version(rows, view.name, layout, grantees, observe))
+        return build_candidate(rows, view.name, layout, grantees, observe)
 
     if view.processor is not None:
         candidate = build(process_query(spark, view.query, view.processor, declared_schema(view.ddl or "")))
@@ -87,7 +94,9 @@ def rebuild(spark: SparkSession, view: View, clock: Clock = wall_clock, run: dic
 
     try:
         if view.tests:
-            passed, failed = verdict(run_tests(spark, retarget(view.tests, view.name, candidate)))
+            # Tests that the write has answered need no scan of the candidate.
+            told = seen.get if tests.metrics else {}
+            passed, failed = verdict(observed_verdicts(spark, tests.over(view.name, candidate), told))
             if not passed:
                 raise DataTestsFailed(view.name, failed)
         log("tests")

@@ -258,3 +258,39 @@ def test_delimited_empty(spark):
     path = f"{shared_dir(spark)}/delimited-empty"
     write_delimited(spark.createDataFrame([], "id int, v string"), path)
     assert read_delimited(spark, path, "id int, v string").count() == 0
+
+
+def test_observed_tests_split_by_what_spark_takes(spark, schema):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "n int, word string")
+    text = f"""
+        select min(n) > 0 as positive from {schema}.t; select count(word) = 3 as all_words from {schema}.t;
+        select count(distinct n) = 3 as different from {schema}.t; select n > 0 as first_row from {schema}.t;
+        select max(n) < 9 as small from {schema}.t where n > 1; select max(n) > 0 as elsewhere from {schema}.other;
+        select max(n) > 0 as twice from {schema}.t; select max(n) < 0 as twice from {schema}.t;
+        select max(gone) > 0 as no_column from {schema}.t; select bool_and(word <> ';') as quoted from {schema}.t
+    """
+    tests = expectations.observable(rows, text, f"{schema}.t")
+    assert set(tests.metrics) == {"positive", "all_words", "quoted"}
+    assert len(expectations.split_statements(tests.rest)) == 7
+
+
+@pytest.mark.parametrize("config", [None, {"distkey": "n"}, {"sortkey": "n"}, {"diststyle": "even"}])
+@pytest.mark.parametrize("keep", [None, 1])
+def test_rebuild_reads_verdicts_from_the_write(spark, schema, config, keep):
+    name = f"{schema}.numbers"
+    query = "select id as n from range(1000)"
+    hold = f"select count(*) = 1000 as whole from {name}; select sum(n) = 499500 as summed from {name}"
+    rebuild(spark, View(name, query, config, hold, keep_versions=keep), lambda: 1)
+    broken = f"{hold}; select max(n) < 10 as small from {name}; select count(distinct n) = 1 as one from {name}"
+    with pytest.raises(expectations.DataTestsFailed) as failed:
+        rebuild(spark, View(name, query, config, broken, keep_versions=keep), lambda: 1)
+    assert sorted(failed.value.failed) == ["one", "small"]
+    assert spark.table(name).count() == 1000
+
+
+def test_tests_of_an_empty_table(spark, schema):
+    name = f"{schema}.nothing"
+    tests = f"select count(*) = 0 as none from {name}; select min(n) > 0 as unknown from {name}"
+    with pytest.raises(expectations.DataTestsFailed) as failed:
+        rebuild(spark, View(name, "select id as n from range(10) where 1 = 0", None, tests), lambda: 1)
+    assert failed.value.failed == ["unknown"]
