@@ -23,8 +23,9 @@ LEXICONS = 64
 KEPT = [round(65_536 * 2 ** (-12 * i / (LEXICONS - 1))) for i in range(LEXICONS)]
 # A lexicon of more terms is joined, not broadcast.
 BROADCAST_TERMS = 500_000
-# Texts whose so many least term hashes agree count as near copies.
-SKETCH = 4
+# Texts whose so many least term hashes agree may be near copies; they are if of a longer list
+# of least hashes half agree as well, or, if they have no more terms than that, half of these.
+SKETCH, LONG_SKETCH = 4, 32
 # The signature of a lexicon without a term of the text.
 NONE = 0
 
@@ -51,13 +52,36 @@ def _member(term_id: Column) -> Column:
     return F.aggregate(drawn, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
+def _without_near_copies(texts: DataFrame) -> DataFrame:
+    """``(text)``: the least of each group of texts that count as one document.
+
+    Texts that agree in their short sketch are held against one of them, drawn by a hash, so
+    that it comes from the largest group of near copies among them, if there is one.  Texts
+    that agree with it in less than half of the long sketch stay apart; of these, such with the
+    same terms are one.
+    """
+    ids = F.array_sort(_ids(terms_of(F.col("text"))))
+    told = hold(texts.select("text"), "_ids", ids).select(
+        "text",
+        F.xxhash64(F.slice("_ids", 1, SKETCH)).alias("sketch"),
+        F.xxhash64("_ids").alias("own"),
+        F.slice("_ids", 1, LONG_SKETCH).alias("long"),
+    )
+    firsts = told.groupBy("sketch").agg(F.min(F.struct("own", "long")).alias("first"), F.max("own").alias("last"))
+    # Only where different texts share a sketch.
+    leads, _ = stage(firsts.where(F.col("first.own") != F.col("last")).select("sketch", F.col("first.long").alias("lead")))
+    shared, every = F.size(F.array_intersect("long", "lead")), F.size(F.array_union("long", "lead"))
+    alike = F.col("lead").isNull() | (2 * shared >= every)
+    held = told.join(leads, "sketch", "left")
+    return held.groupBy(F.when(alike, F.col("sketch")).otherwise(F.col("own")).alias("_key")).agg(F.min("text").alias("text")).select("text")
+
+
 def lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[DataFrame, int]:
     """Stored ``(term, id, member)`` of the band over ``texts (text)``, near copies as one, and its size.
 
     ``member`` has a bit for each lexicon that keeps the term.
     """
-    sketch = F.xxhash64(F.slice(F.array_sort(_ids(terms_of(F.col("text")))), 1, SKETCH))
-    different = texts.groupBy(sketch.alias("sketch")).agg(F.min("text").alias("text"))
+    different = _without_near_copies(texts)
     # The empty term, which no text has, counts the texts.
     every = F.concat(terms_of(F.col("text")), F.array(F.lit("")))
     held, _ = stage(different.select(F.explode(every).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))

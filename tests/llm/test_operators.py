@@ -194,6 +194,24 @@ def test_large_groups_of_copies_keep_graded_fingerprints(spark, near):
     assert sum(r["near_edited"] > 0 for r in grouped) >= 0.9 * len(grouped)
 
 
+def test_only_near_copies_count_as_one_document(spark):
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(3000)]
+    hashes = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
+    in_order = [r["w"] for r in hashes.orderBy("h").collect()]
+    low, others = in_order[:4], in_order[4:]
+    # Ten texts that share their four least hashes and little else, and a hundred near copies of one more.
+    apart = [[*low, *others[i * 100 : i * 100 + 80]] for i in range(10)]
+    base = others[2000:2100]
+    near = [[*low, *(w for j, w in enumerate(base) if j != i)] for i in rng.integers(0, 100, 100)]
+    docs = spark.createDataFrame([(" ".join(t),) for t in [*apart, *near, apart[0]]], "text string")
+    assert {r["text"].split()[4] for r in imatch._without_near_copies(docs).collect()} >= {t[4] for t in apart}
+    assert imatch._without_near_copies(docs).count() <= 12
+    terms, n = imatch.lexicon(docs, 0.05, 0.5)
+    got = {r["term"] for r in terms.collect()}
+    assert n == len(got) and got >= {w for t in apart for w in t[4:]} and not got & set(low)
+
+
 def test_texts_without_band_terms_are_graded(spark):
     text = [f"only{x}" for x in range(100)]
     rows = [(1, " ".join(text)), (2, " ".join([*text[:99], "else"])), (3, "..."), (4, "???")]
