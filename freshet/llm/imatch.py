@@ -60,19 +60,22 @@ def _without_near_copies(texts: DataFrame) -> DataFrame:
     that agree with it in less than half of the long sketch stay apart; of these, such with the
     same terms are one.
     """
-    ids = F.array_sort(_ids(terms_of(F.col("text"))))
-    told = hold(texts.select("text"), "_ids", ids).select(
-        "text",
-        F.xxhash64(F.slice("_ids", 1, SKETCH)).alias("sketch"),
-        F.xxhash64("_ids").alias("own"),
-        F.slice("_ids", 1, LONG_SKETCH).alias("long"),
-    )
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        rows = hold(rows, "_ids", F.array_sort(_ids(terms_of(F.col("text")))))
+        # The lower halves, as least hashes have like upper ones.
+        long = F.transform(F.slice("_ids", 1, LONG_SKETCH), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        sketch = F.xxhash64(F.slice("_ids", 1, SKETCH))
+        return rows.withColumns({"sketch": sketch, "own": F.xxhash64("_ids"), "long": long}).drop("_ids")
+
+    told = sketched(texts.select("text"))
     firsts = told.groupBy("sketch").agg(F.min(F.struct("own", "long")).alias("first"), F.max("own").alias("last"))
     # Only where different texts share a sketch.
     leads, _ = stage(firsts.where(F.col("first.own") != F.col("last")).select("sketch", F.col("first.long").alias("lead")))
     shared, every = F.size(F.array_intersect("long", "lead")), F.size(F.array_union("long", "lead"))
     alike = F.col("lead").isNull() | (2 * shared >= every)
-    held = told.join(leads, "sketch", "left")
+    # Sketches are made again behind the join, as the shuffle is wide enough with the texts.
+    held = sketched(told.select("sketch", "text").join(leads, "sketch", "left").drop("sketch"))
     return held.groupBy(F.when(alike, F.col("sketch")).otherwise(F.col("own")).alias("_key")).agg(F.min("text").alias("text")).select("text")
 
 
