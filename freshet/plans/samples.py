@@ -5,6 +5,7 @@ The formulas are mirrored in SQL in ``oracle.py``; both work on whole tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyarrow import fs
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.times import epoch_seconds
 from freshet.operators.lineage import dependency_edges
+from freshet.sources.definitions import FILES_PER_TASK
 
 # 2024-01-31 00:00:00 UTC, just after the last sample event.
 NOW = 1706659200
@@ -300,4 +302,5 @@ def write_files(files: DataFrame, root: str) -> None:
             with store.open_output_stream(place) as file:
                 file.write(row.text.encode())
 
-    files.foreachPartition(write)
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, math.ceil(files.count() / FILES_PER_TASK))
+    files.repartition(tasks).foreachPartition(write)

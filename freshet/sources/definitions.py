@@ -5,8 +5,14 @@
 
 from __future__ import annotations
 
+import math
+import os
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,32 +26,141 @@ from freshet.functions.text import (
     strip_lines,
 )
 from freshet.functions.times import interval_minutes
+from freshet.session import stage
 
 # Settings layers, weakest first.
 GLOBAL, SCHEMA_OUTSIDE, SCHEMA_INSIDE, TABLE_OUTSIDE, TABLE_INSIDE = range(5)
 GLOBAL_SETTINGS = "global"
 
 
-FILE_KINDS = "*.{sql,py,conf,txt}"
+FILE_KINDS = (".sql", ".py", ".conf", ".txt")
 
+# About as many files as a task opens, and rows as it hands on at once.
+FILES_PER_TASK = 10_000
+_ROWS = 1_000
+# A batch of texts ends at so many bytes, or after one text.
+_BATCH_BYTES = 4_000_000
 
-def relative_path(full: Column, root: str) -> Column:
-    """A file's path below ``root``; ``full`` carries a scheme and the absolute folder."""
-    inner = root.rstrip("/").split(":", 1)[-1].lstrip("./")
-    return F.regexp_replace(full, rf"\A.*?{re.escape(inner)}/", "")
 
+def _absolute(spark: SparkSession, root: str) -> str:
+    """``root`` with the scheme and place that Spark would give it; a local one as a plain path."""
+    if "://" not in root and not root.startswith("file:"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+        if default and not default.startswith("file:"):
+            return f"{default.rstrip('/')}/{root.lstrip('/')}".rstrip("/")
+        return os.path.abspath(root)
+    return re.sub(r"\Afile:/+", "/", root).rstrip("/") or "/"
 
-def scan_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """``(path, text)`` of files or folders below ``root``, lines trimmed."""
-    found = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=FILE_KINDS)
-    # The metadata path is percent-encoded.
-    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return found.select(relative_path(full, root).alias("path"), strip_lines(F.col("value")).alias("text"))
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _entries(root: str, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """``(name, is a folder, length, nanoseconds of change)`` of what a folder holds."""
+    if root.startswith("/"):
+        # One by one: a folder may hold millions of files.
+        with os.scandir(f"{root}/{folder}") as found:
+            for entry in found:
+                if entry.is_dir():
+                    yield entry.name, True, 0, 0
+                elif entry.is_file():
+                    about = entry.stat()
+                    yield entry.name, False, about.st_size, about.st_mtime_ns
+        return
+    store, base = fs.FileSystem.from_uri(root)
+    for entry in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+        is_folder = entry.type == fs.FileType.Directory
+        if is_folder or entry.is_file:
+            yield entry.base_name, is_folder, entry.size or 0, entry.mtime_ns or 0
+
+
+def _tasks(spark: SparkSession, n: int, per_task: int) -> int:
+    """Tasks for ``n`` files or folders: all cores, and more if each would get more than ``per_task``."""
+    return max(1, min(n, max(spark.sparkContext.defaultParallelism, math.ceil(n / per_task))))
+
+
+def list_files(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """Stored ``(path, length, modified)`` of every definition file below ``root``, and their number.
+
+    Tasks list the folders, one round for each depth, so the driver holds no names.  Hidden and
+    empty files count as not there.
+    """
+    place = _absolute(spark, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, bool, int, int]] = []
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            rows.clear()
+            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "folder", "length", "changed"])
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                try:
+                    for name, is_folder, length, changed in _entries(place, folder):
+                        if not _hidden(name) and (is_folder or (length and name.endswith(FILE_KINDS))):
+                            rows.append((f"{folder}/{name}" if folder else name, is_folder, length, changed))
+                            if len(rows) >= _ROWS:
+                                yield made()
+                except FileNotFoundError:
+                    # A folder may go while others are listed; the one asked for has to be there.
+                    if not folder:
+                        raise
+        yield made()
+
+    folders, n = spark.createDataFrame([("",)], "path string"), 1
+    n_files, found = 0, []
+    while n:
+        listed = folders.repartition(_tasks(spark, n, _ROWS)).mapInArrow(run, "path string, folder boolean, length long, changed long")
+        entries, n_here = stage(listed)
+        folders = entries.where("folder").select("path")
+        n = folders.count()
+        n_files += n_here - n
+        # Spark's own listings give whole milliseconds.
+        modified = F.timestamp_millis(F.floor(F.col("changed") / 1_000_000))
+        found.append(entries.where("NOT folder").select("path", "length", modified.alias("modified")))
+    return reduce(DataFrame.unionByName, found), n_files
+
+
+def read_files(spark: SparkSession, root: str, files: DataFrame, n: int, per_task: int = FILES_PER_TASK) -> DataFrame:
+    """``(path, text)`` of ``n`` rows ``files(path)`` below ``root``, lines trimmed; tasks open them."""
+    place = _absolute(spark, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = (None, place) if place.startswith("/") else fs.FileSystem.from_uri(place)
+        paths: list[str] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], ["path", "text"])
+            paths.clear()
+            texts.clear()
+            return batch
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{base}/{path}") if store else open(f"{base}/{path}", "rb") as file:
+                    text = file.read()
+                paths.append(path)
+                texts.append(text)
+                size += len(text)
+                if len(paths) >= _ROWS or size >= _BATCH_BYTES:
+                    yield made()
+                    size = 0
+        yield made()
+
+    opened = files.select("path").repartition(_tasks(spark, n, per_task)).mapInArrow(run, "path string, text binary")
+    return opened.select("path", strip_lines(F.col("text").cast("string")).alias("text"))
 
 
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """Every definition file under ``root`` with its text, lines trimmed."""
-    return scan_files(spark, root, [root.rstrip("/")])
+    return read_files(spark, root, *list_files(spark, root))
 
 
 def _ends(path: Column, ending: str) -> Column:

@@ -1,24 +1,23 @@
 """Take in only what has changed in a definition folder.
 
 A manifest ``(path, length, modified)`` says what the last scan has seen.  A listing reads no
-file; only new and changed files are opened.  Spark lists no empty file, so one counts as not there.
+file; only new and changed files are opened.  An empty file counts as not there.
 """
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.session import stage
-from freshet.sources.definitions import FILE_KINDS, relative_path, scan_folder, scan_files
+from freshet.sources.definitions import FILES_PER_TASK, list_files, read_files
 
 MANIFEST_SCHEMA = "path string, length bigint, modified timestamp"
 
-# So many changed files are opened by their paths; beyond, the folder is read and joined.
-NAMED_PATHS = 10_000
+# About as many changed files as a task opens by their paths.
+NAMED_PATHS = FILES_PER_TASK
 
 
 class Changes(NamedTuple):
@@ -35,35 +34,18 @@ def empty_manifest(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MANIFEST_SCHEMA)
 
 
-def list_folder(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, length, modified)`` of every definition file under ``root``."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", FILE_KINDS)
-    return listed.load(root.rstrip("/")).select(
-        relative_path(F.col("path"), root).alias("path"), "length", F.col("modificationTime").alias("modified")
-    )
-
-
-def _literal(path: str) -> str:
-    """A path in which no character stands for others."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
-
-
 def scan_changes(spark: SparkSession, root: str, manifest: DataFrame, named_paths: int = NAMED_PATHS) -> Changes:
     """What differs from ``manifest``; a file counts as changed if its length or time of change differs.
 
     Nothing is stored: keep ``manifest`` of the result once its files have been taken in, so a
     scan that is broken off is done again.
     """
-    listed, _ = stage(list_folder(spark, root))
+    listed, _ = list_files(spark, root)
     known = manifest.select("path", F.lit(True).alias("known"))
     differing = listed.join(manifest, ["path", "length", "modified"], "left_anti").join(known, "path", "left")
     differing, n_changed = stage(differing.select("path", F.coalesce("known", F.lit(False)).alias("known")))
     gone, n_gone = stage(manifest.join(listed, "path", "left_anti").select("path"))
-    if 0 < n_changed <= named_paths:
-        base = root.rstrip("/")
-        texts = scan_files(spark, root, [_literal(f"{base}/{row.path}") for row in differing.toLocalIterator()])
-    else:
-        texts = scan_folder(spark, root) if n_changed else differing.select("path", F.lit("").alias("text"))
+    texts = read_files(spark, root, differing, n_changed, named_paths)
     # Read now: the folder may go on changing.
     files, _ = stage(texts.join(differing, "path"))
     return Changes(files, gone, listed, n_changed, n_gone)

@@ -111,3 +111,23 @@ def test_plan_from_changes(spark, tmp_path):
     write(tmp_path, {"s/d.sql": "select x from s.c"})
     with pytest.raises(PlanError, match="sources without an interval: s.d"):
         replan_changes(state, manifest.scan_changes(spark, root, changes.manifest), plan.catalog, NOW)
+
+
+def test_scan_lists_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver takes in no listing; what Spark's readers pass over is not there."""
+    some = {f"s{i % 3}/deep {i % 2}/t%20{i}ä — 1h.sql": f"select {i}" for i in range(30)}
+    over = {"_old/a.sql": "-", ".git/a.sql": "-", "s1/_a.sql": "-", "s1/.a.sql": "-", "s1/a.sql.bak": "-", "s1/empty.sql": ""}
+    root = write(tmp_path, {**some, **over, "x=1/_y=2.sql": "kept"})
+
+    def refuse(*_, **__):
+        raise AssertionError("the driver lists the folder")
+
+    with monkeypatch.context() as patched:
+        for reader in ("load", "text"):
+            patched.setattr(type(spark.read), reader, refuse)
+        first = manifest.scan_changes(spark, root, manifest.empty_manifest(spark))
+        assert texts(first.files) == {**some, "x=1/_y=2.sql": "kept"} == texts(folder.scan_folder(spark, f"file://{root}/"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{sql,py,conf,txt}").load(root)
+    assert sorted((r.length, r.modified) for r in first.manifest.collect()) == sorted((r.length, r.modificationTime) for r in listed.collect())
+    with pytest.raises(Exception, match="No such file"):
+        manifest.scan_changes(spark, f"{root}/gone", manifest.empty_manifest(spark))
