@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from freshet.functions.text import mentioned_names, retarget
 from freshet.operators import graph
 from freshet.operators.skew import find_hot_keys, spread_join
-from freshet.session import scratch_schema, stage
+from freshet.session import scratch_schema
+from freshet.session import stage_sized as stage
 
 
 class DependentsBroken(Exception):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from freshet.functions.times import whole_units
-from freshet.session import stage
+from freshet.session import stage, stage_sized
 
 # About as many rows of one key as a task should join.
 ROWS_PER_TASK = 50_000
@@ -28,7 +28,7 @@ def find_hot_keys(rows: DataFrame, key: str, rows_per_task: int | None = None) -
     Counts collapse before the shuffle.  At most one key in ``rows_per_task`` rows is hot.
     """
     parts = F.ceil(F.count(F.lit(1)) / (rows_per_task or ROWS_PER_TASK)).cast("int")
-    return HotKeys(*stage(rows.groupBy(key).agg(parts.alias("_salts")).where("_salts > 1")))
+    return HotKeys(*stage_sized(rows.groupBy(key).agg(parts.alias("_salts")).where("_salts > 1")))
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, how: str, by: list[str], hot: HotKeys) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from freshet.functions.times import MINUTE, whole_units
 from freshet.operators.catalog import is_deleted, set_flag
 from freshet.operators.graph import COMPACT_EVERY, levels, union_all
-from freshet.session import stage
+from freshet.session import sized
+from freshet.session import stage_sized as stage
 
 # Seconds after which a waiting flag no longer counts, and the
 # multiple of the mean duration after which a run is overdue.
@@ -134,9 +135,9 @@ def planned_tables(catalog: DataFrame, edges: DataFrame, now: int) -> DataFrame:
 
     first = catalog.where(_in_queue(now)).select("table_name", F.lit(_NO_INTERVAL).alias("asked"))
     frontier, n = stage(to_build(first))
-    rounds = [frontier]
+    rounds, n_known = [frontier], n
     while n:
-        known = _best(rounds).withColumnRenamed("interval", "known")
+        known = sized(_best(rounds), n_known).withColumnRenamed("interval", "known")
         # Only what is new, or goes by a shorter interval than before, asks on.
         step = (
             to_build(ask(frontier))
@@ -146,6 +147,7 @@ def planned_tables(catalog: DataFrame, edges: DataFrame, now: int) -> DataFrame:
         )
         frontier, n = stage(step)
         rounds.append(frontier)
+        n_known += n
         if len(rounds) == COMPACT_EVERY:
             rounds = [stage(_best(rounds))[0]]
     return _best(rounds).withColumn(

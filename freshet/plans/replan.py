@@ -13,7 +13,7 @@ from freshet.operators import checks, graph
 from freshet.operators.lineage import dependency_edges
 from freshet.operators.settings import table_configs
 from freshet.operators.skew import find_hot_keys, spread_join
-from freshet.session import stage
+from freshet.session import stage_sized as stage
 from freshet.sources.definitions import (
     classify,
     decode_config,

@@ -55,6 +55,29 @@ def stage(df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]
     return spark.read.schema(df.schema).parquet(path), seen.get.get("n") or 0
 
 
+# A stored table of so many rows at most may go to every node, and so through the driver.
+FEW_ROWS = 20_000
+
+
+def sized(df: DataFrame, n_rows: int) -> DataFrame:
+    """Let joins go by the number of rows: with few they send ``df`` to every node, else they shuffle both sides.
+
+    The size of stored files is no measure: names compress to a small part of what they take in memory.
+    """
+    return F.broadcast(df) if n_rows <= FEW_ROWS else df.hint("merge")
+
+
+def stage_sized(df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """``stage``, and joins of the stored table go by its number of rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    seen = Observation()
+    some = F.count(F.lit(1) if counted is None else F.when(counted, 1))
+    df.observe(seen, some.alias("n"), F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    n = seen.get
+    return sized(spark.read.schema(df.schema).parquet(path), n.get("rows") or 0), n.get("n") or 0
+
+
 def scratch_schema(spark: SparkSession, prefix: str = "freshet") -> str:
     """A new, empty schema whose tables live in the shared folder."""
     name = f"{prefix}_{uuid.uuid4().hex[:12]}"

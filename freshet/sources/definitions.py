@@ -26,7 +26,7 @@ from freshet.functions.text import (
     strip_lines,
 )
 from freshet.functions.times import interval_minutes
-from freshet.session import stage
+from freshet.session import stage_sized as stage
 
 # Settings layers, weakest first.
 GLOBAL, SCHEMA_OUTSIDE, SCHEMA_INSIDE, TABLE_OUTSIDE, TABLE_INSIDE = range(5)

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.session import stage
+from freshet.session import stage_sized as stage
 from freshet.sources.definitions import FILES_PER_TASK, list_files, read_files
 
 MANIFEST_SCHEMA = "path string, length bigint, modified timestamp"
