@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.skew import HotKeys, find_hot_keys, spread_join
-from freshet.session import stage
+from freshet.session import sized
+from freshet.session import stage_sized as stage
 
 COMPACT_EVERY = 8
 
@@ -68,11 +69,12 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All nodes that can be reached from ``starts(node)``, starts included."""
     edges, _ = stage(edges.select("src", "dst"))
     frontier, n = stage(starts.select("node").distinct())
-    seen = [frontier]
+    seen, n_seen = [frontier], n
     while n:
-        step = read_by(edges, frontier).join(union_all(seen), "node", "left_anti")
+        step = read_by(edges, frontier).join(sized(union_all(seen), n_seen), "node", "left_anti")
         frontier, n = stage(step)
         seen.append(frontier)
+        n_seen += n
         if len(seen) == COMPACT_EVERY:
             seen = [stage(union_all(seen))[0]]
     return union_all(seen)
@@ -105,10 +107,14 @@ def is_acyclic(edges: DataFrame) -> bool:
 def cycles(edges: DataFrame) -> DataFrame:
     """Every elementary cycle once, as ``(cycle, length)`` with the least node first.
 
-    Paths grow from each node of the cyclic core through greater nodes only, so
-    each cycle is met from its least node alone.
+    Paths grow from each node of a strong component through greater nodes of the same one,
+    so each cycle is met from its least node alone, and paths that no cycle closes do not leave it.
     """
-    core = cyclic_core(edges)
+    core, components = _components(edges)
+    of_src = components.select(F.col("node").alias("src"), F.col("component").alias("_src"))
+    of_dst = components.select(F.col("node").alias("dst"), F.col("component").alias("_dst"))
+    inside = spread_join(core.join(of_src, "src"), of_dst, "dst", "inner", ["src"], find_hot_keys(core, "dst"))
+    core, _ = stage(inside.where("_src = _dst").select("src", "dst"))
     found = [core.where("src = dst").select(F.array("src").alias("cycle"))]
     steps = core.where("src <> dst")
     paths = steps.where("src < dst").select(F.array("src", "dst").alias("path"))
@@ -151,17 +157,29 @@ def _least_reaching(edges: DataFrame) -> DataFrame:
     return colours.drop("_moved")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """``(node, component)`` of each node on a cycle; a component goes by its least node.
+def _mutual_groups(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Stored ``(node, group)`` of nodes that read each other, directly or through others that do, and how many."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    pairs, n = stage(edges.where("src <> dst").join(back, ["src", "dst"], "left_semi").select("src", "dst"))
+    groups = _least_reaching(pairs) if n else pairs.select(F.col("src").alias("node"), F.col("dst").alias("colour"))
+    return groups.withColumnRenamed("colour", "group"), n
 
-    Forward-backward colouring: each node takes the least node that reaches it as its colour.
-    The nodes of a colour that reach the node it is named after are one component.  Edges
-    between colours, and those of components found, go; what is left of the cyclic core is
-    coloured anew.  Every step is a join over edges, so memory does not grow with the number
-    of cycles.  A node that reads itself and is on no other cycle is a component of one.
-    """
-    rest = cyclic_core(edges)
-    loops = rest.where("src = dst").select(F.col("src").alias("component"), F.lit(True).alias("_loop"))
+
+def _merged(edges: DataFrame, groups: DataFrame, hot: HotKeys) -> DataFrame:
+    """The edges between groups, a node in none standing for itself; none from a group to itself."""
+    of_src = groups.select(F.col("node").alias("src"), F.col("group").alias("_src"))
+    of_dst = groups.select(F.col("node").alias("dst"), F.col("group").alias("_dst"))
+    named = spread_join(edges.join(of_src, "src", "left"), of_dst, "dst", "left", ["src"], hot)
+    named = named.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
+    return named.where("src <> dst").distinct()
+
+
+def _components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cyclic core of ``edges``, and the components of ``strong_components``; both stored."""
+    core = cyclic_core(edges)
+    loops = core.where("src = dst").select(F.col("src").alias("component"), F.lit(True).alias("_loop"))
+    groups, n_mutual = _mutual_groups(core)
+    rest = cyclic_core(_merged(core, groups, find_hot_keys(core, "dst"))) if n_mutual else core
     found = []
     while not rest.isEmpty():
         hot = find_hot_keys(rest, "dst")
@@ -171,10 +189,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
         inner = spread_join(rest.join(of_src, "src"), of_dst, "dst", "inner", ["src"], hot)
         inner, _ = stage(inner.where("_src = _dst").select("src", "dst"))
         frontier, n = stage(colours.where("node = colour").select("node"))
-        seen = [frontier]
+        seen, n_seen = [frontier], n
         while n:
-            frontier, n = stage(readers(inner, frontier, hot).join(union_all(seen), "node", "left_anti"))
+            frontier, n = stage(readers(inner, frontier, hot).join(sized(union_all(seen), n_seen), "node", "left_anti"))
             seen.append(frontier)
+            n_seen += n
             if len(seen) == COMPACT_EVERY:
                 seen = [stage(union_all(seen))[0]]
         members, _ = stage(union_all(seen).join(colours, "node").withColumnRenamed("colour", "component"))
@@ -183,15 +202,35 @@ def strong_components(edges: DataFrame) -> DataFrame:
         left = inner.join(done.withColumnRenamed("node", "src"), "src", "left_anti")
         left = spread_join(left, done.withColumnRenamed("node", "dst"), "dst", "left_anti", ["src"], hot)
         rest = cyclic_core(left)
-    if not found:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    none = core.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    every, _ = stage(union_all([none, *(members.select("node", "component") for members in found)]))
+    if n_mutual:
+        # A group is named after its least node, so a component of groups is named after its least node too.
+        members = spread_join(groups, every.withColumnRenamed("node", "group"), "group", "left", ["node"], find_hot_keys(groups, "group"))
+        members = members.select("node", F.coalesce("component", "group").alias("component"))
+        every, _ = stage(members.unionByName(every.join(groups.select("node"), "node", "left_anti")))
+        alone = loops.select(F.col("component").alias("node"), "component").join(every.select("node"), "node", "left_anti")
+        every, _ = stage(every.unionByName(alone.select("node", "component")))
     # A node between two cycles has been found as a component of its own.
-    every, _ = stage(union_all(found))
     cyclic = (
         every.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
         .join(loops, "component", "left").where("_n > 1 or _loop").select("component")
     )
-    return spread_join(every, cyclic, "component", "left_semi", ["node"], find_hot_keys(every, "component")).select("node", "component")
+    whole = spread_join(every, cyclic, "component", "left_semi", ["node"], find_hot_keys(every, "component"))
+    return core, stage(whole.select("node", "component"))[0]
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of each node on a cycle; a component goes by its least node.
+
+    Nodes that read each other are merged first and what is then on no cycle peeled off.  The
+    rest by forward-backward colouring: each node takes the least node that reaches it as its colour.
+    The nodes of a colour that reach the node it is named after are one component.  Edges
+    between colours, and those of components found, go; what is left of the cyclic core is
+    coloured anew.  Every step is a join over edges, so memory does not grow with the number
+    of cycles.  A node that reads itself and is on no other cycle is a component of one.
+    """
+    return _components(edges)[1]
 
 
 def condensed_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -167,3 +167,29 @@ def test_strong_components_of_random_graphs(spark, seed):
 
 def test_strong_components_of_no_edges(spark):
     assert graph.strong_components(edges_of(spark, [])).isEmpty()
+
+
+def test_paths_stay_in_a_component(spark, monkeypatch):
+    """Cycles far apart on a dense graph without others: paths between them are not walked."""
+    pairs = [(a, b) for a in range(30) for b in range(a)] + [(0, 1), (28, 29), (40, 40)]
+    staged = []
+
+    def watched(df, counted=None, stage=graph.stage):
+        stored, n = stage(df, counted)
+        if "path" in stored.columns:
+            staged.append(stored.count())
+        return stored, n
+
+    monkeypatch.setattr(graph, "stage", watched)
+    assert sorted(tuple(r.cycle) for r in graph.cycles(edges_of(spark, pairs)).collect()) == [(0, 1), (28, 29), (40,)]
+    assert max(staged) <= 2
+
+
+def test_large_tables_are_not_sent_to_every_node(spark):
+    pairs = spark.range(60_000).select(F.concat(F.lit("s.t"), "id").alias("src"), F.concat(F.lit("s.t"), (F.col("id") / 2).cast("long")).alias("dst"))
+    large, n = graph.stage(pairs)
+    small, _ = graph.stage(pairs.limit(5))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert n == 60_000
+    assert "Broadcast" not in plan(large.join(large.select("src").distinct(), "src", "left_semi"))
+    assert "BroadcastHashJoin" in plan(large.join(small.select("src"), "src", "left_semi"))
