@@ -50,6 +50,8 @@ LEAST_PARTS = 8
 MIX = 0x9E3779B1
 # A block of texts ends when it has so many entries of a rare window and a text.
 BLOCK_ENTRIES = 1 << 18
+# Distinct windows of the pieces so far that a worker holds while it counts.
+HELD = 1 << 19
 # Bytes of text that a worker cuts into windows at once.
 PIECE = 500_000
 
@@ -105,22 +107,24 @@ def count_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
         def merged() -> tuple[np.ndarray, np.ndarray]:
             codes = np.concatenate([c for c, _ in held])
             counts = np.concatenate([n for _, n in held])
+            held.clear()
             order_of = np.argsort(codes, kind="stable")
             codes, counts = codes[order_of], counts[order_of]
             first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             return codes[first], np.add.reduceat(counts, first)
 
         for batch in batches:
-            for at, rows in byte_slices(batch.column(0)):
+            for at, rows in byte_slices(batch.column(0), PIECE):
                 symbols, ends = framed(batch.column(0).slice(at, rows), order)
-                codes = windows(symbols, order)
-                codes = codes[_starts_inside(codes, ends, order)]
-                for lo in range(0, len(codes), STEP):
-                    held.append(np.unique(codes[lo : lo + STEP], return_counts=True))
-                if sum(len(c) for c, _ in held) > 6 * STEP:
-                    held = [merged()]
-                    if len(held[0][0]) > 4 * STEP:
-                        yield _pairs(*held.pop())
+                real = _starts_inside(symbols[order:], ends, order)
+                # In steps: one text may be long.
+                for lo in range(0, len(real), STEP):
+                    codes = windows(symbols[lo : lo + STEP + order], order)
+                    held.append(np.unique(codes[real[lo : lo + STEP]], return_counts=True))
+                    if sum(len(c) for c, _ in held) > HELD:
+                        held = [merged()]
+                        if len(held[0][0]) > HELD // 2:
+                            yield _pairs(*held.pop())
         if held:
             yield _pairs(*merged())
 
@@ -560,12 +564,30 @@ def settle(docs: DataFrame, corpus: Corpus, out: str, rare: str, source: DataFra
             return pa.table({"uid": pa.array([], pa.int64()), "more": pa.array([], pa.float64())})
         codes, n = counts["window"].to_numpy(), counts["n"].to_numpy()
         model = build([_fold(codes, n, k) for k in range(split, order + 1)], shared.value)
-        blocks = wanted.to_pylist()
-        every = [np.cumsum(_restored(b["windows"], b["n_windows"], np.int64)) for b in blocks]
-        own = np.unique(np.concatenate(every))
-        logs = model.log10(own)
+        del counts, codes, n
+        rows = range(wanted.num_rows)
+
+        def block(at: int) -> dict:
+            return {name: wanted[name][at].as_py() for name in ("first", "texts", "n_windows", "n_entries", "windows", "holders", "at", "n")}
+
+        def asked_by(b: dict) -> np.ndarray:
+            return np.cumsum(_restored(b["windows"], b["n_windows"], np.int64))
+
+        # Blocks share most of their windows; a few at a time become one list, and are taken apart again below.
+        own, held, size = np.empty(0, np.int64), [], 0
+        for i in rows:
+            held.append(asked_by(block(i)))
+            size += len(held[-1])
+            if size > max(HELD, len(own)) or i == rows[-1]:
+                own, held, size = np.unique(np.concatenate([own, *held])), [], 0
+        logs = np.empty(len(own))
+        for lo in range(0, len(own), STEP):
+            logs[lo : lo + STEP] = model.log10(own[lo : lo + STEP])
+        del model
         uids, sums = [], []
-        for b, held in zip(blocks, every, strict=True):
+        for i in rows:
+            b = block(i)
+            held = asked_by(b)
             each = np.repeat(logs[np.searchsorted(own, held)], _restored(b["holders"], b["n_windows"], np.int32))
             at = _restored(b["at"], b["n_entries"], np.int32)
             added = np.bincount(at, each * _restored(b["n"], b["n_entries"], np.int32), b["texts"])

@@ -1,5 +1,6 @@
 """Operators on small made cases: what the queries on sample tables do not show."""
 
+import random
 import brute
 import numpy as np
 import pyarrow as pa
@@ -350,3 +351,24 @@ def test_deduplicate_keeps_one_row_of_each_group(spark):
     got = simhash.deduplicate(docs)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"], r["fp"]) for r in got.collect()) == [(2, "b"), (7, "f"), (8, "e")]
+
+
+def test_counting_windows_holds_little(spark, monkeypatch):
+    """A worker's memory while it counts: 8 MB of text in one batch, most windows distinct."""
+    import tracemalloc
+
+    kept = []
+    with monkeypatch.context() as patched:
+        patched.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, _: kept.append(run) or self.selectExpr("0L AS window", "0L AS n"))
+        ppm.count_windows(spark.createDataFrame([("a",)], "text string"))
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("abcdefghijklmnop ", k=200_000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        counted = sum(made.column(1).to_numpy().sum() for made in kept[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counted == sum(len(t) + 1 for t in texts)
+    assert peak < 70e6, peak
