@@ -18,17 +18,19 @@ context are those of the next longer one, and all sums are known when the model
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import byte_slices, fresh, lower_ascii, modest_batches, text_of, words_of
+from freshet.llm.common import byte_slices, fresh, modest_batches, partitions, text_of
 from freshet.session import stage
 
 ORDER = 5
@@ -39,7 +41,7 @@ SYMBOLS = 257
 # Taken from the count of each window and given to its context's escape.
 DISCOUNT = 0.5
 # Symbols that are worked on at once.
-STEP = 1 << 18
+STEP = 1 << 19
 # Windows meet by so many symbols of their context; the levels below are on every node.
 SPLIT = 3
 # About as many windows as a task should hold.
@@ -50,10 +52,14 @@ LEAST_PARTS = 8
 MIX = 0x9E3779B1
 # A block of texts ends when it has so many entries of a rare window and a text.
 BLOCK_ENTRIES = 1 << 18
+# Windows that tasks have counted are added up in so many ranges at least.
+LEAST_RANGES = 128
 # Distinct windows of the pieces so far that a worker holds while it counts.
 HELD = 1 << 19
 # Bytes of text that a worker cuts into windows at once.
 PIECE = 500_000
+# Bytes of distinct words, or of packed windows, that a worker holds while it counts.
+HELD_BYTES = 16_000_000
 
 _LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
@@ -75,9 +81,13 @@ def framed(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     offsets = offsets - offsets[0]
     sizes = np.diff(offsets)
     symbols = np.full(len(data) + (order + 1) * len(sizes), END, np.uint16)
-    place = np.arange(len(data)) + np.repeat(np.arange(len(sizes)) * (order + 1) + order, sizes)
-    symbols[place] = _LOWER[data]
-    return symbols, offsets[1:] + np.arange(1, len(sizes) + 1) * (order + 1)
+    ends = offsets[1:] + np.arange(1, len(sizes) + 1) * (order + 1)
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False
+    for i in range(order):
+        inside[ends - 2 - sizes - i] = False
+    symbols[inside] = _LOWER[data]
+    return symbols, ends
 
 
 def windows(symbols: np.ndarray, order: int) -> np.ndarray:
@@ -98,37 +108,98 @@ def _starts_inside(codes: np.ndarray, ends: np.ndarray, order: int) -> np.ndarra
     return real
 
 
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending windows and their counts from several such lists; empties the list of them."""
+    codes = np.concatenate([c for c, _ in held])
+    counts = np.concatenate([n for _, n in held])
+    held.clear()
+    order_of = np.argsort(codes, kind="stable")
+    codes, counts = codes[order_of], counts[order_of]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(counts, first)
+
+
+def counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ascending windows of a task's texts and their counts, in as few lists as a worker can hold."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for at, rows in byte_slices(batch.column(0), PIECE):
+            symbols, ends = framed(batch.column(0).slice(at, rows), order)
+            real = _starts_inside(symbols[order:], ends, order)
+            # In steps: one text may be long.
+            for lo in range(0, len(real), STEP):
+                codes = windows(symbols[lo : lo + STEP + order], order)
+                held.append(np.unique(codes[real[lo : lo + STEP]], return_counts=True))
+                if sum(len(c) for c, _ in held) > HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield held.pop()
+    if held:
+        yield merged(held)
+
+
 def count_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """``(window, n)`` over all texts; tasks add up theirs before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for codes, counts in counted(batches, order):
+            yield _pairs(codes, counts)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes = np.concatenate([c for c, _ in held])
-            counts = np.concatenate([n for _, n in held])
-            held.clear()
-            order_of = np.argsort(codes, kind="stable")
-            codes, counts = codes[order_of], counts[order_of]
-            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            return codes[first], np.add.reduceat(counts, first)
+    return texts.select(text_of()).mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
 
-        for batch in batches:
-            for at, rows in byte_slices(batch.column(0), PIECE):
-                symbols, ends = framed(batch.column(0).slice(at, rows), order)
-                real = _starts_inside(symbols[order:], ends, order)
-                # In steps: one text may be long.
-                for lo in range(0, len(real), STEP):
-                    codes = windows(symbols[lo : lo + STEP + order], order)
-                    held.append(np.unique(codes[real[lo : lo + STEP]], return_counts=True))
-                    if sum(len(c) for c, _ in held) > HELD:
-                        held = [merged()]
-                        if len(held[0][0]) > HELD // 2:
-                            yield _pairs(*held.pop())
-        if held:
-            yield _pairs(*merged())
 
-    return texts.select(text_of()).mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+def _packed(codes: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
+    return len(codes), _squeezed(np.diff(codes, prepend=0)), _squeezed(counts)
+
+
+def _added(lists: Iterable[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and counts of packed lists, which are opened a few at a time."""
+    held, size, whole = [], 0, 0
+    for n, codes, counts in lists:
+        held.append((np.cumsum(_restored(codes, n, np.int64)), _restored(counts, n, np.int64)))
+        size += n
+        if size > max(HELD, 2 * whole):
+            held = [merged(held)]
+            size = whole = len(held[0][0])
+    return merged(held)
+
+
+def add_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``count_windows`` for many texts: what tasks have counted is packed by ranges of a hash, and added up range by range.
+
+    A worker holds ``HELD_BYTES`` of packed lists before it sends them, and adds up those of a range.  A
+    range's lists are one group, opened a few at a time; its distinct windows are held.
+    """
+    n_ranges = max(LEAST_RANGES, partitions(texts.sparkSession))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[tuple[int, bytes, bytes]]] = defaultdict(list)
+
+        def sent() -> pa.RecordBatch:
+            sizes, codes, counts = zip(*(x[0] if len(x) == 1 else _packed(*_added(x)) for x in kept.values()), strict=True)
+            columns = [pa.array(kept, pa.int32()), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary()), pa.array(counts, pa.binary())]
+            kept.clear()
+            return pa.RecordBatch.from_arrays(columns, ["dealt", "size", "windows", "counts"])
+
+        for codes, counts in counted(batches, order):
+            mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            dealt = (mixed * np.uint64(n_ranges) >> np.uint64(31)).astype(np.min_scalar_type(n_ranges))
+            order_of = np.argsort(dealt, kind="stable")
+            dealt, codes, counts = dealt[order_of], codes[order_of], counts[order_of]
+            cuts = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1], [True]]))
+            for a, b in pairwise(cuts.tolist()):
+                kept[int(dealt[a])].append(_packed(codes[a:b], counts[a:b]))
+            if sum(len(x) + len(y) for lists in kept.values() for _, x, y in lists) > HELD_BYTES:
+                yield sent()
+        if kept:
+            yield sent()
+
+    def add(packed: pa.Table) -> pa.Table:
+        codes, counts = _added(tuple(packed[x][i].as_py() for x in ("size", "windows", "counts")) for i in range(packed.num_rows))
+        return pa.table({"window": codes, "n": counts})
+
+    packed = texts.select(text_of()).mapInArrow(run, "dealt int, size int, windows binary, counts binary")
+    return packed.groupBy("dealt").applyInArrow(add, "window long, n long")
 
 
 def _pairs(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -150,6 +221,13 @@ class Table:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """``find`` for ascending keys, by bisection: next to no place is far from the one before."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, place, -1)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 for those that are not in it."""
         bits = max(4, len(self.keys).bit_length() + 1)
@@ -312,7 +390,7 @@ def learn(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Corpus:
     """Count all windows of ``texts``; ``nodes`` frequent ones at most reach the driver."""
     modest_batches(texts.sparkSession)
     split = min(SPLIT, order)
-    counts, n_windows = stage(count_windows(texts, order))
+    counts, n_windows = stage(add_windows(texts, order))
     n = counts.agg(F.sum("n")).first()[0] or 0
 
     def pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -327,6 +405,8 @@ def learn(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Corpus:
     often = F.col("n") * nodes >= n
     # The context of a frequent window is as frequent.
     codes, own = pairs(counts.where(often))
+    order_of = np.argsort(codes)
+    codes, own = codes[order_of], own[order_of]
     above, totals = pairs(sums(F.shiftright("window", BITS)).where(often))
     total = totals[Table(above, {}).find(codes >> BITS)]
     return Corpus(counts, n_windows, order, split, lower, Table(codes, {"log": np.log10((own - DISCOUNT) / total)}))
@@ -383,6 +463,28 @@ def part_of(codes, split: int, n_parts: int):
     return (((codes >> BITS) & _mask(split)) * MIX >> 20) % n_parts
 
 
+def entries(codes: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(window, text, n)`` of windows and the ascending numbers of their texts, by window and text.
+
+    A window of ``bits`` bits and its text are one number to sort where both fit one.
+    """
+    if not len(codes):
+        return codes, at, np.empty(0, np.int64)
+    low = int(at[0])
+    room = int(at[-1] - low).bit_length()
+    if bits + room <= 64:
+        both = np.sort((codes.astype(np.uint64) << np.uint64(room)) | (at - low).astype(np.uint64))
+        new = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        both = both[new]
+        found, held = (both >> np.uint64(room)).astype(np.int64), (both & np.uint64((1 << room) - 1)).astype(np.int64) + low
+    else:
+        order = np.argsort(codes, kind="stable")
+        found, held = codes[order], at[order]
+        new = np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (held[1:] != held[:-1])))
+        found, held = found[new], held[new]
+    return found, held, np.diff(np.append(new, len(codes)))
+
+
 class Block:
     """Rare windows of neighbouring texts: each window once, with the texts that hold it.
 
@@ -394,26 +496,23 @@ class Block:
         self._codes, self._at, self._n = ([] for _ in range(3))
         self.size = 0
 
-    def add(self, codes: np.ndarray, at: np.ndarray, n: np.ndarray | None = None) -> None:
-        """Add windows and the numbers of their texts; equal entries become one."""
-        order = np.lexsort((at, codes))
-        codes, at = codes[order], at[order]
-        new = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (at[1:] != at[:-1]))[: len(codes)])
-        if n is None:
-            n = np.diff(np.append(new, len(codes)))
-        elif len(new):
-            n = np.add.reduceat(n[order], new)
-        self._codes.append(codes[new])
-        self._at.append(at[new])
+    def add(self, codes: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Add entries in the order of their windows, of texts that are not before those added so far."""
+        self._codes.append(codes)
+        self._at.append(at.astype(np.int32))
         self._n.append(n.astype(np.int32))
-        self.size += len(new)
+        self.size += len(codes)
         if len(self._codes) > 64:
             self._merge()
 
     def _merge(self) -> None:
+        """One run of entries; a text that was cut may have left two of a window, which become one."""
         codes, at, n = (np.concatenate(x) for x in (self._codes, self._at, self._n))
-        self._codes, self._at, self._n, self.size = [], [], [], 0
-        self.add(codes, at, n)
+        order = np.argsort(codes, kind="stable")
+        codes, at = codes[order], at[order]
+        new = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (at[1:] != at[:-1]))[: len(codes)])
+        n = np.add.reduceat(n[order], new, dtype=np.int32) if len(new) else n
+        self._codes, self._at, self._n, self.size = [codes[new]], [at[new]], [n], len(new)
 
     def cut(self, split: int, n_parts: int) -> list[dict]:
         """What each part is asked by this block; empties the block."""
@@ -421,7 +520,8 @@ class Block:
             return []
         self._merge()
         codes, at, n = self._codes[0], self._at[0], self._n[0]
-        part = part_of(codes, split, n_parts)
+        # Numbers of two bytes are sorted by counting.
+        part = part_of(codes, split, n_parts).astype(np.min_scalar_type(n_parts))
         order = np.argsort(part, kind="stable")
         part, codes, at, n = part[order], codes[order], at[order], n[order]
         ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
@@ -473,11 +573,13 @@ def meet(docs: DataFrame, corpus: Corpus, out: str, rare: str, text: str = "text
     order, split, n_parts = corpus.order, corpus.split, _n_parts(corpus)
     shared = docs.sparkSession.sparkContext.broadcast(corpus.frequent)
     rest = docs.drop(out, rare)
+    # The text goes to a worker and back once, a null one as such.
     packed = rest.select(
-        F.struct(*(F.col(f"`{c}`") for c in rest.columns)).alias("row"),
-        text_of(text).alias("text"),
+        F.struct(*(F.col(f"`{c}`") for c in rest.columns if c != text)).alias("row"),
+        F.col(f"`{text}`").alias("text"),
         F.monotonically_increasing_id().alias("uid"),
     )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, block, held = shared.value, Block(), None
         # One more for windows that have no place.
@@ -500,11 +602,13 @@ def meet(docs: DataFrame, corpus: Corpus, out: str, rare: str, text: str = "text
                 starts = np.maximum(firsts[a:b], lo) - lo
                 row = np.repeat(np.arange(a, b), sizes)
                 inside = np.arange(len(row)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-                codes = codes[inside]
-                place = frequent.find(codes)
-                sums += np.bincount(row, logs[place], len(sums))
+                codes, row, n = entries(codes[inside], row, BITS * (order + 1))
+                # Each window of a step is looked up once.
+                new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+                place = frequent.among(codes[new])[np.cumsum(new) - 1]
+                sums += np.bincount(row, logs[place] * n, len(sums))
                 lost = place < 0
-                block.add(codes[lost], (row[lost] + (int(uids[0]) - block.first)).astype(np.int32))
+                block.add(codes[lost], row[lost] + (int(uids[0]) - block.first), n[lost])
             block.texts = int(uids[-1]) - block.first + 1
             return sums
 
@@ -518,18 +622,19 @@ def meet(docs: DataFrame, corpus: Corpus, out: str, rare: str, text: str = "text
             return pa.RecordBatch.from_arrays([row, text, pa.array(sums), rares], ["row", "text", "log", "rare"])
 
         for batch in batches:
-            for at, rows in byte_slices(batch.column("text"), PIECE):
-                piece = batch.slice(at, rows)
+            texts = batch.column("text").cast(pa.string())
+            for at, rows in byte_slices(texts, PIECE):
                 if held:
                     yield done(held, block.size >= BLOCK_ENTRIES)
-                text, uids = piece.column("text").cast(pa.string()), piece.column("uid").to_numpy()
-                held = (piece.column("row"), text, uids, scored(text, uids))
+                piece, uids = batch.slice(at, rows), batch.column("uid").slice(at, rows).to_numpy()
+                held = (piece.column("row"), piece.column("text"), uids, scored(texts.slice(at, rows), uids))
         if held:
             yield done(held, True)
 
-    kind = f"row {packed.schema['row'].dataType.simpleString()}, text string, log double, rare struct<uid:long,asked:array<{_ASKED_SQL}>>"
+    own = packed.schema
+    kind = f"row {own['row'].dataType.simpleString()}, text {own['text'].dataType.simpleString()}, log double, rare struct<uid:long,asked:array<{_ASKED_SQL}>>"
     met = packed.mapInArrow(run, kind)
-    columns = [F.col("row")[c].alias(c) for c in rest.columns]
+    columns = [(F.col("text") if c == text else F.col("row")[c]).alias(c) for c in rest.columns]
     return met.select(*columns, F.col("log").alias(out), F.col("rare").alias(rare))
 
 
@@ -612,24 +717,63 @@ class WordModel:
     """
 
     counts: DataFrame
-    frequent: dict[bytes, float]
+    frequent: dict[str, float]
     ends: int
     n_tokens: int
     total: float
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts and the number of each one's text; a text's first or last may be empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    return lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``(word, c)`` of lower-cased words over all texts; tasks add up theirs before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            whole = pa.concat_tables(held)
+            held.clear()
+            return whole.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+        for batch in batches:
+            for at, rows in byte_slices(batch.column(0)):
+                found = split_words(batch.column(0).slice(at, rows).cast(pa.string()))[0].value_counts()
+                made = pa.table({"word": found.field("values"), "c": found.field("counts")})
+                held.append(made.filter(pc.not_equal(made["word"], "")))
+                if sum(x.nbytes for x in held) > HELD_BYTES:
+                    held = [merged()]
+                    if held[0].nbytes > HELD_BYTES // 2:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from merged().to_batches()
+
+    return texts.select(text_of()).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
 def train_words(texts: DataFrame, frequent: int = 1 << 18) -> WordModel:
     """Count lower-cased words and ends over all rows of ``texts``.
 
-    At most ``frequent`` words, those with 1 / ``frequent`` of all tokens, reach the driver.
+    Of the most frequent words about ``frequent``, and not more, reach the driver.
     """
-    words = texts.select(F.explode(words_of(lower_ascii(text_of()))).alias("word"))
-    counts, n_kinds = stage(words.groupBy("word").agg(F.count(F.lit(1)).alias("c")))
+    modest_batches(texts.sparkSession)
+    counts, n_kinds = stage(count_words(texts))
     ends = texts.count()
-    n_tokens = (counts.agg(F.sum("c")).first()[0] or 0) + ends
+    # Words by the size of their counts, in steps of a sixteenth of a doubling.
+    steps = counts.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"), F.min("c").alias("least"))
+    steps = sorted(steps.collect(), key=lambda r: -r["step"])
+    n_tokens = sum(r["c"] for r in steps) + ends
     total = float(n_tokens + n_kinds + (ends > 0) + 1)
-    common = counts.where(F.col("c") * frequent >= n_tokens).collect()
-    logs = {r["word"].encode(): float(np.log10((r["c"] + 1) / total)) for r in common}
+    taken = [r["least"] for r, n in zip(steps, accumulate(r["n"] for r in steps), strict=True) if n <= frequent]
+    logs: dict[str, float] = {}
+    if taken:
+        common = counts.where(F.col("c") >= taken[-1]).toPandas()
+        values = np.log10((common["c"].to_numpy(np.float64) + 1) / total)
+        logs = dict(zip(common["word"], values.tolist(), strict=True))
     return WordModel(counts, logs, ends, n_tokens, total)
 
 
@@ -652,22 +796,28 @@ def cut_words(docs: DataFrame, model: WordModel, text: str = "text") -> DataFram
         for whole in batches:
             for at, rows in byte_slices(whole.column("text")):
                 batch = whole.slice(at, rows)
-                tokens, known, total, rare = [], [], [], []
-                for value in batch.column("text").cast(pa.binary()).to_pylist():
-                    words = value.lower().split()
-                    logs = list(map(get, words))
-                    others = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
-                    tokens.append(len(words) + 1)
-                    known.append(len(words) - others.total() + end[0])
-                    total.append(math.fsum(x for x in logs if x is not None) + end[1])
-                    rare.append([(w.decode(), n) for w, n in others.items()])
+                words, text = split_words(batch.column("text").cast(pa.string()))
+                coded = words.dictionary_encode()
+                words, code = coded.dictionary, coded.indices.to_numpy()
+                # Each word of a slice is looked up once.
+                logs = np.array(list(map(get, words.to_numpy(zero_copy_only=False))), float)
+                real = code != words.index("").as_py()
+                code, text = code[real], text[real]
+                each = logs[code]
+                other = np.isnan(each)
+                pairs, n = np.unique(text[other].astype(np.int64) * len(words) + code[other], return_counts=True)
+                each[other] = 0
+                tokens = np.bincount(text, minlength=rows)
+                known = tokens - np.bincount(text[other], minlength=rows)
+                ends = np.searchsorted(pairs, np.arange(rows + 1) * len(words))
+                rare = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(pairs % max(1, len(words)))), pa.array(n, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row"),
-                        pa.array(tokens, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(total, pa.float64()),
-                        pa.array(rare, pa.map_(pa.string(), pa.int64())),
+                        pa.array(tokens + 1, pa.int64()),
+                        pa.array(known + end[0], pa.int64()),
+                        pa.array(np.bincount(text, each, rows) + end[1], pa.float64()),
+                        rare,
                     ],
                     ["row", "tokens", "known", "log", "rare"],
                 )

@@ -1,6 +1,7 @@
 """Operators on small made cases: what the queries on sample tables do not show."""
 
 import random
+from collections import Counter
 import brute
 import numpy as np
 import pyarrow as pa
@@ -372,3 +373,74 @@ def test_counting_windows_holds_little(spark, monkeypatch):
         tracemalloc.stop()
     assert counted == sum(len(t) + 1 for t in texts)
     assert peak < 70e6, peak
+
+
+@pytest.mark.parametrize("held,ranges", [(1 << 19, 128), (300, 3), (300, 300)])
+def test_windows_added_up_by_ranges(spark, monkeypatch, held, ranges):
+    monkeypatch.setattr(ppm, "HELD", held)
+    monkeypatch.setattr(ppm, "LEAST_RANGES", ranges)
+    monkeypatch.setattr(ppm, "partitions", lambda _: 1)
+    draw = random.Random(11)
+    texts = [None, "", *("".join(draw.choices("abcdé ", k=draw.randrange(400))) for _ in range(60))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    wanted = {(r["window"], r["n"]) for r in ppm.count_windows(rows, 4).collect()}
+    got = [(r["window"], r["n"]) for r in ppm.add_windows(rows, 4).collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+    assert sum(n for _, n in got) == sum(len((t or "").encode()) + 1 for t in texts)
+
+
+def test_a_window_leaves_a_task_once(spark, monkeypatch):
+    """Lists that a worker has to give up while it counts are added up before they are sent."""
+    kept = []
+    monkeypatch.setattr(ppm, "HELD", 2000)
+    with monkeypatch.context() as patched:
+        empty = ("0 AS dealt", "0 AS size", "binary('') AS windows", "binary('') AS counts")
+        patched.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, _: kept.append(run) or self.selectExpr(*empty))
+        ppm.add_windows(spark.createDataFrame([("a",)], "text string"))
+    draw = random.Random(12)
+    texts = ["".join(draw.choices("abcdefgh ", k=2000)) for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in texts]
+    sent = sum(made.column("size").to_numpy().sum() for made in kept[0](iter(batches)))
+    symbols = [[256] * 5 + list(t.encode()) + [256] for t in texts]
+    assert sent == len({tuple(s[i : i + 6]) for s in symbols for i in range(len(s) - 5)})
+
+
+@pytest.mark.parametrize("bits,texts", [(54, 900), (54, 3000), (62, 7)])
+def test_entries_of_windows_and_texts(bits, texts):
+    rng = np.random.default_rng(13)
+    codes = rng.integers(0, 40, 5000) << (bits - 6)
+    at = np.sort(rng.integers(5, texts, 5000))
+    wanted = sorted((c, t, n) for (c, t), n in Counter(zip(codes.tolist(), at.tolist(), strict=True)).items())
+    assert list(zip(*(x.tolist() for x in ppm.entries(codes, at, bits)), strict=True)) == wanted
+    assert [len(x) for x in ppm.entries(codes[:0], at[:0], bits)] == [0, 0, 0]
+
+
+def test_words_at_hand_go_up_to_their_bound(spark):
+    """Few words are all at hand, however rare; then no row for a text and a word is joined."""
+    texts = ["a " * 5000 + "b c", "b d e", None]
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = ppm.train_words(training, 8)
+    assert sorted(words.frequent) == ["a", "b", "c", "d", "e"]
+    assert not any(r["rare"] for r in ppm.cut_words(training, words).collect())
+    assert sorted(ppm.train_words(training, 3).frequent) == ["a", "b"]
+    assert ppm.train_words(training.where("text = ''"), 8).frequent == {}
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 1 << 18])
+def test_words_of_odd_texts(spark, monkeypatch, frequent):
+    monkeypatch.setattr(ppm, "HELD_BYTES", 64)
+    texts = ["a\x0bB\x0cc\rd\ne\tf", " lead trail ", "\x1cx y\x1d", "n\u0085m \u00a0", "ÀÉ àé À", "\n \t", "", None, "a A a b"]
+    every = [*texts, "a new word", "À  à"]
+    rows = spark.createDataFrame(list(enumerate(every)), "i long, text string")
+    words = ppm.train_words(rows.where(F.col("i") < len(texts)).select("text"), frequent)
+    got = {r["i"]: (r["n_tokens"], r["n_known"], words.n_tokens, r["base_score"]) for r in ppm.base_scores(rows, words).collect()}
+    for i, wanted in enumerate(brute.word_scores(every, texts)):
+        assert got[i][:3] == tuple(wanted[:3]) and np.isclose(got[i][3], wanted[3], rtol=1e-12)
+
+
+def test_texts_come_back_from_scoring_as_they_were(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "Aé", None)], "i long, text string, other string")
+    corpus = ppm.learn(rows.select("text"))
+    met = ppm.meet(rows, corpus, "score", "rare")
+    assert met.columns == ["i", "text", "other", "score", "rare"]
+    assert sorted(met.select("i", "text", "other").collect()) == sorted(rows.collect())
