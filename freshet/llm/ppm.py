@@ -41,7 +41,7 @@ SYMBOLS = 257
 # Taken from the count of each window and given to its context's escape.
 DISCOUNT = 0.5
 # Symbols that are worked on at once.
-STEP = 1 << 19
+STEP = 1 << 18
 # Windows meet by so many symbols of their context; the levels below are on every node.
 SPLIT = 3
 # About as many windows as a task should hold.
@@ -56,10 +56,10 @@ BLOCK_ENTRIES = 1 << 18
 LEAST_RANGES = 128
 # Distinct windows of the pieces so far that a worker holds while it counts.
 HELD = 1 << 19
-# Bytes of text that a worker cuts into windows at once.
+# Bytes of text that a worker cuts into windows or words at once.
 PIECE = 500_000
 # Bytes of distinct words, or of packed windows, that a worker holds while it counts.
-HELD_BYTES = 16_000_000
+HELD_BYTES = 8_000_000
 
 _LOWER = np.arange(256, dtype=np.uint16)
 _LOWER[65:91] += 32
@@ -742,7 +742,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for at, rows in byte_slices(batch.column(0)):
-                found = split_words(batch.column(0).slice(at, rows).cast(pa.string()))[0].value_counts()
+                found = split_words(batch.column(0).slice(at, rows))[0].value_counts()
                 made = pa.table({"word": found.field("values"), "c": found.field("counts")})
                 held.append(made.filter(pc.not_equal(made["word"], "")))
                 if sum(x.nbytes for x in held) > HELD_BYTES:
@@ -794,7 +794,7 @@ def cut_words(docs: DataFrame, model: WordModel, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for whole in batches:
-            for at, rows in byte_slices(whole.column("text")):
+            for at, rows in byte_slices(whole.column("text"), PIECE):
                 batch = whole.slice(at, rows)
                 words, text = split_words(batch.column("text").cast(pa.string()))
                 coded = words.dictionary_encode()
